@@ -62,7 +62,7 @@ class Runs:
         start = np.flatnonzero(new)
         count = np.diff(np.append(start, n))
         real = whole[start]
-        self.start, self.count = start[real], count[real]
+        self.start, self.count = start[real].astype(np.int32), count[real].astype(np.int32)
         self.anchor = grams[where[self.start]]
         self.doc = owner[self.start]
         power, inverse = _powers(PIECE * 2 if len(data) <= PIECE * 2 else 1 << len(data).bit_length())
@@ -75,7 +75,7 @@ class Runs:
         count = self.count[chosen]
         total = int(count.sum())
         inside = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-        at = np.repeat(self.start[chosen], count) + inside
+        at = (np.repeat(self.start[chosen], count) + inside).astype(np.int32)
         words = np.ndarray((len(self.data) - 7,), "<u8", self.data, 0, (1,))
         value = np.full(total, _FACTORS[9], np.uint64)
         for k in [*range(0, self.depth - 7, 8), self.depth - 8]:
@@ -97,7 +97,9 @@ class Split:
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.ends = np.cumsum(self.sizes)
         self.text = b"".join(texts)
-        self.order = np.array(self.ids, np.int64).astype(np.uint64) + _TOP if self.ids else np.empty(0, np.uint64)
+        #: Ids as unsigned numbers in their order, and each document's place among them.
+        self.by_rank, rank = np.unique(np.array(self.ids, np.int64).astype(np.uint64) + _TOP, return_inverse=True)
+        self.rank = rank.astype(np.int32)
 
     def pieces(self) -> Iterator[Runs]:
         data = np.frombuffer(self.text, np.uint8)
@@ -121,9 +123,11 @@ def _smallest(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Distinct keys in order, with the smallest and the largest of their documents."""
     if not len(keys):
         return keys, docs, docs
-    order, first, _ = merged(keys)
-    docs = docs[order]
-    return keys[order][first], np.minimum.reduceat(docs, first), np.maximum.reduceat(docs, first)
+    order = np.argsort(keys)
+    keys, docs = keys[order], docs[order]
+    del order
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.minimum.reduceat(docs, first), np.maximum.reduceat(docs, first)
 
 
 def _cell(anchor: np.ndarray) -> np.ndarray:
@@ -180,10 +184,9 @@ def _run_keys(split: Split, anchors: str) -> tuple[np.ndarray, np.ndarray, list[
     pieces = list(_shared(split, anchors))
     one = np.uint64(1)
     hashes = _joined([r.hash[i] for r, i in pieces])
-    ids = _joined([split.order[r.doc[i]] for r, i in pieces])
-    runs, low, _ = _smallest(hashes >> one, ids)
+    runs, low, _ = _smallest(hashes >> one, _joined([split.rank[r.doc[i]] for r, i in pieces], np.int32))
     cells, least, most = _smallest(_joined([r.anchor[i] for r, i in pieces]) >> one | _TOP, hashes >> np.uint64(20) | one)
-    return np.concatenate([runs, cells]), np.concatenate([low, np.where(least == most, least, np.uint64(0))]), pieces
+    return np.concatenate([runs, cells]), np.concatenate([split.by_rank[low], np.where(least == most, least, np.uint64(0))]), pieces
 
 
 def _ask_runs(batches: Iterator[pa.RecordBatch], depth: int, anchors: str) -> tuple[np.ndarray, np.ndarray]:
@@ -220,24 +223,25 @@ def _edges(split: Split, anchors: str, runs_folder: str) -> Iterator[tuple[Runs,
     one = np.uint64(1)
     for runs, chosen in pieces:
         at = np.searchsorted(keys, runs.hash[chosen] >> one)
-        gone = (answer[at] == 1) | (split.order[runs.doc[chosen]] > values[at])
+        gone = (answer[at] == 1) | (split.by_rank[split.rank[runs.doc[chosen]]] > values[at])
         several = answer[np.searchsorted(keys, runs.anchor[chosen] >> one | _TOP)] == 1
         yield runs, chosen[gone], chosen[~gone & several]
 
 
 def _window_keys(split: Split, anchors: str, runs_folder: str):
-    hashes, ids, found = [], [], []
+    """Keys of the third digit with the rank of their smallest document, and the pieces they are from."""
+    found = []
     for runs, gone, asked in _edges(split, anchors, runs_folder):
         at, value, doc = runs.windows(asked)
-        hashes.append(value)
-        ids.append(split.order[doc])
-        found.append((runs, gone, at, value, doc))
-    keys, low, _ = _smallest(_joined(hashes), _joined(ids))
+        found.append((runs.base + runs.start[gone], runs.base + runs.start[gone] + runs.count[gone] + split.depth - 1, runs.base + at, value, split.rank[doc]))
+    keys, low, _ = _smallest(_joined([f[3] for f in found]), _joined([f[4] for f in found], np.int32))
     return keys, low, found
 
 
 def _ask_windows(batches: Iterator[pa.RecordBatch], depth: int, anchors: str, runs_folder: str) -> tuple[np.ndarray, np.ndarray]:
-    return _window_keys(Split(batches, depth), anchors, runs_folder)[:2]
+    split = Split(batches, depth)
+    keys, low, _ = _window_keys(split, anchors, runs_folder)
+    return keys, split.by_rank[low]
 
 
 def removed_bytes(split: Split, anchors: str, runs_folder: str, windows_folder: str) -> np.ndarray:
@@ -245,12 +249,12 @@ def removed_bytes(split: Split, anchors: str, runs_folder: str, windows_folder:
     keys, low, found = _window_keys(split, anchors, runs_folder)
     answer = answers(windows_folder, keys)
     change = np.zeros(len(split.text) + 1, np.int32)
-    for runs, gone, at, value, doc in found:
-        np.add.at(change, runs.base + runs.start[gone], 1)
-        np.add.at(change, runs.base + runs.start[gone] + runs.count[gone] + split.depth - 1, -1)
+    for begin, end, at, value, rank in found:
+        np.add.at(change, begin, 1)
+        np.add.at(change, end, -1)
         if len(at):
             k = np.searchsorted(keys, value)
-            at = at[(answer[k] == 1) | (split.order[doc] > low[k])] + runs.base
+            at = at[(answer[k] == 1) | (rank > low[k])]
             np.add.at(change, at, 1)
             np.add.at(change, at + split.depth, -1)
     return np.cumsum(change[:-1]) > 0
