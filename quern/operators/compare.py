@@ -14,7 +14,7 @@ from quern.operators.relational import ascii_lower
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
     """Source files under a path: object (the file's stem in lower case), path, text."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.[sS][rR][aAfFmMuUwW]").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.[sS][rR][aAfFmMuUwW]")
     place = F.col("_metadata.file_path")
     stem = F.regexp_replace(F.element_at(F.split(place, "/"), -1), r"\.[^.]*$", "")
     return files.select(ascii_lower(stem).alias("object"), place.alias("path"), F.col("value").alias("text"))
