@@ -145,7 +145,8 @@ def fit(examples: DataFrame, corpus: DataFrame, text: str = "text") -> Index:
     index.vectors = np.zeros((len(held), len(words)))
     for i, r in enumerate(held):
         index.vectors[i, r["columns"]] = r["weights"]
-    index.tops = np.array([index.vectors[a : a + BLOCK].max(axis=0) for a in range(0, len(held), BLOCK)]).reshape(-1, len(words)).T
+    tops = [index.vectors[a : a + BLOCK].max(axis=0) for a in range(0, len(held), BLOCK)]
+    index.tops = np.stack(tops, axis=1) if tops else np.empty((len(words), 0))
     return index
 
 
