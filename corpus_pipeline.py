@@ -21,7 +21,8 @@ from quern.llm.toxicity import score_toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity score does not reject."""
+    """Documents that the toxicity score does not reject. A rejected row takes other rows of its id along;
+    rows without an id stay."""
     rejected = score_toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id")
     return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
 
@@ -29,8 +30,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of line runs; a document that consisted of such copies goes."""
     clean = dedup_lines(docs)
-    left = clean.where("n_removed = 0 OR n_removed < n_lines")
-    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    n_lines, n_removed = (F.col(c) for c in clean.columns[-2:])
+    left = clean.where((n_removed == 0) | (n_removed < n_lines))
+    return left.withColumn("n_chars", F.when(n_removed > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
