@@ -65,9 +65,10 @@ def test_leaks_are_found(share, recall):
 
 
 def test_short_items_and_texts():
-    index = Index([(1, None), (2, ""), (3, "too short"), (4, "x" * 40), (5, "exactly thirty-two characters ok")])
-    assert [i for i, _ in index.items] == [4, 5]
-    assert index.matches(["", "x" * 40, "x", "é" * 50, "exactly thirty-two characters ok"], 0.15) == [(1, 0, 0), (4, 1, 0)]
+    line = "exactly forty-eight characters are in this line."
+    index = Index([(1, None), (2, ""), (3, "too short"), (4, "x" * 60), (5, line)])
+    assert len(line) == 48 and [i for i, _ in index.items] == [4, 5]
+    assert index.matches(["", "x" * 60, "x", "é" * 50, line], 0.15) == [(1, 0, 0), (4, 1, 0)]
     assert Index([]).matches(["a b"], 0.15) == []
 
 
@@ -96,6 +97,9 @@ def test_minimum_cut():
         ("<body><header><h1>Site</h1></header><main><p>Text <!-- <p>gone --> here</p><style>p{}</style></main><div id=sidebar>Side</div><div class='ad'>Buy</div>", "Text here"),
         ("<article><p>a<i>b</i>c <a href='/x'>link</a> in text that has enough words to count</p></article>", "abc link in text that has enough words to count"),
         ("<article>un<!--closed", "un"),
+        ("<div id=content><article><p>Text</p></article><p>more to read elsewhere on this site, in many words</p><article class='comment'>me too</article></div>", "Text"),
+        ("<body class='single post'><div class=cookie-banner>We use cookies</div><main><p>Main <a href=x>text</a> of this page in some words</main><div class='comment-list'><p>First!</div>", "Main text of this page in some words"),
+        ("<div class='post-content'><h2>Head</h2><p>One&nbsp;two&#8212;three</p></div><div class=sidebar><p>side</div><section id=comments><p>c</section>", "Head One two—three"),
         ("<article><p>x < y and <b title='>'>z</b></article>", "x < y and z"),
     ],
 )
