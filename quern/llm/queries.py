@@ -104,7 +104,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_html_text": r"""
         WITH main AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article[^>]*>(.*?)(</article>|<footer|$)', 1, 's') AS h FROM pages),
         plain AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM main),
-        decoded AS (SELECT page_id, url, replace(replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&amp;', '&') AS t FROM plain),
+        decoded AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&#x27;?', '''', 'g'), '&amp;?', '&', 'g') AS t FROM plain),
         words AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM decoded)
         SELECT page_id, url, text, length(text) AS n_chars FROM words""",
     "op6_url_filter": f"""
