@@ -11,20 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm import toxicity
 from quern.llm.bpe import token_digests
 from quern.llm.decontaminate import decontaminate
 from quern.llm.line_dedup import dedup_lines
 from quern.llm.ngram_join import ngram_groups
 from quern.llm.queries import table, word_tokenizer
 from quern.llm.shared import stored
-from quern.llm.toxicity import score_toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity score does not reject. A rejected row takes other rows of its id along;
-    rows without an id stay."""
-    rejected = score_toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that the toxicity score does not reject."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -190,3 +190,24 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     index = fit(labelled(docs, labels), docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(functools.partial(_scored, index=index), "doc_id long, score double, predicted int, evidence array<long>")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
+
+
+def _accepted(batches: Iterator[pa.RecordBatch], index: Index, at: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    known: dict[tuple, bool] = {}
+    for batch in batches:
+        keep = []
+        for text in batch.column(at).to_pylist():
+            key = tuple(sorted(_counts(text, index.words).items()))
+            if key not in known:
+                if len(known) > 100_000:
+                    known.clear()
+                known[key] = index.score(dict(key))[0] < threshold
+            keep.append(known[key])
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """`docs` without the rows that score_toxicity gives at least `threshold`. Rows are judged one by one,
+    also those without an id or with another's; nothing is shuffled but the examples."""
+    index = fit(labelled(docs, labels), docs)
+    return docs.mapInArrow(functools.partial(_accepted, index=index, at=docs.columns.index("text"), threshold=threshold), docs.schema)
