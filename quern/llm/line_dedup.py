@@ -6,9 +6,10 @@ lines themselves, ranks at depth 2^(k+1) from the pairs of ranks at i and i + 2^
 nobody else has, the larger part, leave at each step. In the order of their ranks the suffixes that
 stay form the intervals of the suffix array whose longest common prefix reaches the depth.
 
-Doubling ends at the shortest run that counts: a maximal repeated run of at least `min_lines` lines is
-the union of the blocks of `min_lines` lines in it, and each of these occurs earlier exactly if the run
-does. So the intervals at that depth mark every line of every maximal run, at every later copy.
+`repeated_runs` doubles until no block is left and reads the maximal runs, with their sources, from the
+intervals. To delete their later copies, the intervals at the depth of the shortest run that counts are
+enough: a maximal run of at least `min_lines` lines is the union of the blocks of `min_lines` lines in it,
+and each of these occurs earlier exactly if the run does. `repeated_lines` stops there.
 """
 
 from __future__ import annotations
@@ -38,6 +39,54 @@ def _pairs(x: DataFrame, y: DataFrame, step: int) -> DataFrame:
     return x.withColumnRenamed("rank", "first").join(on, list(_PLACE))
 
 
+def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc, print, seq and line of every line that is not blank."""
+    own = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull())
+    return own.select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("print"), F.posexplode(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"\S"))).alias("seq", "line"))
+
+
+def _single(lines: DataFrame, *more) -> DataFrame:
+    """Ranks at depth 1, by two hashes of the line."""
+    named = lines.select(*_PLACE, F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(7), "line").alias("l2"), *more)
+    return stored(_ranked(named, ["l1", "l2"]).distinct(), "ranks")
+
+
+def _deeper(ranks: DataFrame, step: int) -> DataFrame:
+    """Ranks `step` lines deeper; step is at most the depth of `ranks`."""
+    return stored(_ranked(_pairs(ranks, ranks, step), ["first", "second"]), "ranks")
+
+
+def repeated_runs(docs: DataFrame, min_lines: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Maximal runs of at least `min_lines` lines that begin earlier: doc, seq, n_lines, from_doc, from_seq
+    (line numbers count lines that are not blank). A run's source is the first place of the longest block,
+    by doublings, that starts with it; from there it is as long as both go on alike, and it is not part of
+    a run from one line above with the source one line above. Otherwise as repeated_lines.
+    """
+    ranks, depth, levels = _single(_lines(docs, key, text)), 1, []
+    while not ranks.isEmpty():
+        levels.append((depth, ranks))
+        step = min(depth, min_lines - depth) if depth < min_lines else depth
+        ranks, depth = _deeper(ranks, step), depth + step
+    place, runs = ["doc", "print", "seq"], None
+    for depth, ranks in reversed(levels):
+        if depth >= min_lines:
+            own = ranks.where(_place() > F.col("rank")).select(*place, "rank", F.lit(depth).alias("n_lines"))
+            runs = own if runs is None else runs.unionByName(own.join(runs.select(*place), place, "left_anti"))
+    if runs is None:
+        return docs.sparkSession.createDataFrame([], "doc long, seq int, n_lines int, from_doc long, from_seq int")
+    runs = stored(runs, "runs")
+    for depth, ranks in reversed(levels):
+        after = ranks.select("doc", "print", (F.col("seq")).alias("at"), F.col("rank").alias("own"))
+        theirs = ranks.select(F.col("doc").alias("d2"), F.col("print").alias("p2"), F.col("seq").alias("a2"), F.col("rank").alias("their"))
+        both = runs.withColumns({"at": F.col("seq") + F.col("n_lines"), "d2": F.col("rank.doc"), "p2": F.col("rank.print"), "a2": F.col("rank.seq") + F.col("n_lines")})
+        both = both.join(after, ["doc", "print", "at"], "left").join(theirs, ["d2", "p2", "a2"], "left")
+        more = F.when(F.col("own") == F.col("their"), depth).otherwise(0)
+        runs = stored(both.select(*place, "rank", (F.col("n_lines") + more).alias("n_lines")), "runs")
+    above = runs.select("doc", "print", (F.col("seq") + 1).alias("seq"), F.struct(F.col("rank.doc").alias("doc"), F.col("rank.print").alias("print"), (F.col("rank.seq") + 1).alias("seq")).alias("rank"))
+    maximal = runs.join(above, [*place, "rank"], "left_anti")
+    return maximal.select("doc", "seq", "n_lines", F.col("rank.doc").alias("from_doc"), F.col("rank.seq").alias("from_seq"))
+
+
 def repeated_lines(docs: DataFrame, min_lines: int = 2, min_chars: int = 40, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, print, seq) of each line to delete: its document's id and text hash, and its number among
     the document's lines that are not blank.
@@ -50,16 +99,12 @@ def repeated_lines(docs: DataFrame, min_lines: int = 2, min_chars: int = 40, key
     """
     if min_lines < 1:
         raise ValueError("min_lines must be at least 1")
-    lines = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull())
-    lines = lines.select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("print"), F.posexplode(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"\S"))).alias("seq", "line"))
-    lines = lines.select(*_PLACE, F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(7), "line").alias("l2"), (F.char_length("line") >= min_chars).alias("long"))
-    ranks = stored(_ranked(lines, ["l1", "l2"]).distinct(), "ranks")
+    ranks = _single(_lines(docs, key, text), (F.char_length("line") >= min_chars).alias("long"))
     gone = ranks.where("long").where(_place() > F.col("rank")).select(*_PLACE)
     ranks, depth = ranks.drop("long"), 1
     while depth < min_lines:
         step = min(depth, min_lines - depth)
-        ranks = stored(_ranked(_pairs(ranks, ranks, step), ["first", "second"]), "ranks")
-        depth += step
+        ranks, depth = _deeper(ranks, step), depth + step
     runs = ranks.where(_place() > F.col("rank")).select("doc", "print", F.explode(F.sequence("seq", F.col("seq") + min_lines - 1)).alias("seq"))
     return gone.unionByName(runs)
 

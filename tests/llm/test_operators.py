@@ -13,7 +13,7 @@ from quern.llm.components import components
 from quern.llm.decontaminate import decontaminate, find_items
 from quern.llm.embedding_dedup import near_duplicate_embeddings
 from quern.llm.html_text import extract_text
-from quern.llm.line_dedup import dedup_lines
+from quern.llm.line_dedup import dedup_lines, repeated_lines, repeated_runs
 from quern.llm.ngram_join import ngram_groups
 from quern.llm.substring_dedup import remove_repeats
 from quern.llm.toxicity import drop_toxic, score_toxicity
@@ -160,6 +160,26 @@ def test_dedup_lines(spark, least, chars):
     assert dedup_lines(empty(spark)).collect() == []
 
 
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_repeated_runs(spark, least):
+    rng = random.Random(least + 10)
+    pool = [f"l{i}" for i in range(6)]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(9))) for _ in range(30)]
+    long = [f"p{i}" for i in range(40)]
+    texts += ["\n".join(long), "x\n" + "\n".join(long[3:30]), "\n".join(long) + "\nend", "same\n" * 20, None, ""]
+    docs = documents(spark, list(enumerate(texts)))
+    lines = {i: [x for x in (t or "").split("\n") if x.strip()] for i, t in enumerate(texts)}
+    runs = repeated_runs(docs, least).collect()
+    covered = {(r.doc, r.seq + k) for r in runs for k in range(r.n_lines)}
+    assert covered == {(r.doc, r.seq) for r in repeated_lines(docs, least, 10**9).collect()}
+    for r in runs:
+        a, b = lines[r.doc][r.seq :], lines[r.from_doc][r.from_seq :]
+        assert (r.from_doc, r.from_seq) < (r.doc, r.seq) and r.n_lines >= least
+        assert a[: r.n_lines] == b[: r.n_lines] and a[r.n_lines : r.n_lines + 1] != b[r.n_lines : r.n_lines + 1] or len(a) == r.n_lines == len(b)
+    assert {(r.doc, r.seq, r.n_lines, r.from_doc, r.from_seq) for r in runs} >= {(31, 1, 27, 30, 3), (32, 0, 40, 30, 0)}
+    assert repeated_runs(empty(spark), least).collect() == []
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(60, 8))
