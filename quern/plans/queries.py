@@ -54,7 +54,7 @@ def coverage_summary(spark, sf_dir):
     return R.coverage(_t(spark, sf_dir, "lineitem"), F.col("l_linestatus") == "F", "l_returnflag")
 
 
-@bound("SELECT 0 AS n_rows, 0 AS n_covered, 0 AS n_open, 100.0::DOUBLE AS coverage")
+@bound("SELECT 0::BIGINT AS n_rows, 0::BIGINT AS n_covered, 0::BIGINT AS n_open, 100.0::DOUBLE AS coverage")
 def coverage_empty(spark, sf_dir):
     """An empty report is fully covered."""
     return R.coverage(_t(spark, sf_dir, "lineitem").where("l_orderkey < 0"), F.col("l_linestatus") == "F")
@@ -106,7 +106,7 @@ def exact_overlap(spark, sf_dir):
     return R.overlap(lines.where("l_quantity > 45").withColumnRenamed("l_returnflag", "family"), lines.where("l_quantity < 3"), "family", ["l_linenumber", "l_linestatus"], "l_orderkey")
 
 
-@bound("""SELECT source, doc_id, n_chars, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 3""")
+@bound("""SELECT source, doc_id, n_chars, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 3""")
 def top_examples(spark, sf_dir):
     return R.top_per_group(_t(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), ["source"], [F.desc("n_chars"), F.asc("doc_id")], 3)
 
@@ -156,7 +156,7 @@ def inherited_lookup(spark, sf_dir):
 
 @bound("""WITH a AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS n FROM orders WHERE o_orderstatus = 'O'),
     b AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS n FROM orders WHERE o_orderstatus = 'F')
-    SELECT a.o_custkey, a.o_orderkey, a.n AS occurrence, b.o_orderkey AS matched FROM a LEFT JOIN b ON a.o_custkey = b.o_custkey AND a.n = b.n""")
+    SELECT a.o_custkey, a.o_orderkey, a.n::INT AS occurrence, b.o_orderkey AS matched FROM a LEFT JOIN b ON a.o_custkey = b.o_custkey AND a.n = b.n""")
 def occurrence_match(spark, sf_dir):
     orders = _t(spark, sf_dir, "orders")
     number = lambda status: R.occurrence(orders.where(F.col("o_orderstatus") == status), ["o_custkey"], ["o_orderdate", "o_orderkey"])
@@ -242,7 +242,7 @@ def text_like(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", R.text_like(F.col("text")).alias("is_text"))
 
 
-@bound(r"SELECT doc_id, len(list_filter(list_transform(regexp_extract_all(text, '[\x20-\x7e]+'), lambda x: trim(x)), lambda x: length(x) >= 4)) AS runs FROM documents")
+@bound(r"SELECT doc_id, len(list_filter(list_transform(regexp_extract_all(text, '[\x20-\x7e]+'), lambda x: trim(x)), lambda x: length(x) >= 4))::INT AS runs FROM documents")
 def ascii_runs(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.size(R.ascii_runs(F.col("text"), 4)).alias("runs"))
 
