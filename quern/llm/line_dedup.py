@@ -28,9 +28,10 @@ def _place():
 
 def _ranked(blocks: DataFrame, names: list[str]) -> DataFrame:
     """Blocks that occur more than once, with their first place as `rank`. Blocks are grouped by `names`;
-    what is sent for a group is one row a task."""
+    what is sent for a group is one row a task. The groups are written before they are joined: both sides
+    are then dealt out for the join alone, and Spark splits a block that very many places have."""
     first = blocks.groupBy(*names).agg(F.min(_place()).alias("rank"), F.max(_place()).alias("last")).where("rank < last").drop("last")
-    return blocks.join(first, names).drop(*names)
+    return blocks.join(stored(first, "first"), names).drop(*names)
 
 
 def _pairs(x: DataFrame, y: DataFrame, step: int) -> DataFrame:
