@@ -193,8 +193,9 @@ def ngram_groups(docs: DataFrame, percent: int = 75, width: int = 5, key: str =
     sets = stored(sets.select("doc_id", "n", "tokens", "shingles"), "sets")
 
     dealt = sets.select("doc_id", "n", F.explode("tokens").alias("token"))
+    # What is grouped by token is written before it is joined by token, so that Spark can split a large one.
     entries = dealt.groupBy("token").agg(F.count("*").alias("held"), F.min(F.struct("doc_id", "n")).alias("head")).where("held > 1")
-    dealt = stored(dealt.join(entries, "token"), "entries")
+    dealt = stored(dealt.join(stored(entries, "heads"), "token"), "entries")
     listed = dealt.where(F.col("held") <= SMALL).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "doc_id"))).alias("docs"))
     fitting = F.flatten(
         F.transform(
@@ -211,7 +212,7 @@ def ngram_groups(docs: DataFrame, percent: int = 75, width: int = 5, key: str =
     large = dealt.where(F.col("held") > SMALL).select("token", "doc_id", "held")
     large = large.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     apart = large.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    large = stored(large.join(apart, "token").select("token", "doc_id", "component", F.ceil(F.col("held") / TILE).cast("int").alias("tiles")), "apart")
+    large = stored(large.join(stored(apart, "spans"), "token").select("token", "doc_id", "component", F.ceil(F.col("held") / TILE).cast("int").alias("tiles")), "apart")
     if not large.isEmpty():
         tiled = large.join(sets.select("doc_id", "shingles"), "doc_id").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
         tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
