@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.bpe import WordEncoder, tokenizer
+from quern.llm.bpe import shared_encoder, tokenizer
 
 _DOCS = 2_000  # documents of a batch that readers return
 
@@ -52,7 +52,7 @@ def _mapped(fs: pafs.FileSystem, path: str, kind: str) -> np.ndarray:
 
 
 def _write_shard(batches: Iterator[pa.RecordBatch], path: str, folder: str, end_id: int | None, kind: str) -> Iterator[pa.RecordBatch]:
-    shard, encoder = TaskContext.get().partitionId(), WordEncoder(path)
+    shard, encoder = TaskContext.get().partitionId(), shared_encoder(path)
     fs, inner = _place(folder)
     name = f"{inner}/{shard:08d}"
     counts, keys, nulls, total = [], [], [], 0
