@@ -1,16 +1,14 @@
-"""Passages of benchmark items in documents, by CGK embeddings and bit sampling.
-
-The CGK embedding walks along a string: at step j it writes the byte it stands on, and moves on or not
-by a random bit for j and that byte. Strings that differ by few edits fall into step again soon, so
-that edit distance becomes Hamming distance between walks. A table of the index samples some steps of
-one walk as a key; tables with walks of their own repeat this until the recall is reached.
-
-A walk starts at every word of a document, over a window of the item's size; items are entered at their
-first word and at further words along their length, so that edits in one place leave others to be found.
-A key is built up step by step, and windows leave as soon as no item has such a beginning: that gives
-the same result as a lookup of whole keys. Every window found is verified by the exact edit distance
-between the item and the nearest substring there, unless too few of the item's 4-character substrings are
-in it for that distance (an edit changes four of them at most). Documents are read once; nothing is shuffled.
+"""Passages of benchmark items in documents, by counts of shared substrings along diagonals.
+
+An edit changes q of a string's substrings of q characters at most. A document that holds an item of m
+characters within k edits therefore has m - q + 1 - q k of them or more, in places whose distance to their
+place in the item (the diagonal) varies by k at most. All the items' substrings stand in posting lists;
+those of a document's are looked up, and what they find is counted by item and by narrow bands of diagonals.
+Where the bands over k + 1 diagonals have the number, it is verified by the exact edit distance between the
+item and the nearest substring there. No item that is within the distance is lost, wherever its edits are.
+
+This replaces sampled CGK walks, whose keys lose items as their edits grow. Documents are read once; nothing
+is shuffled.
 """
 
 from __future__ import annotations
@@ -23,16 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shingles import mix
-
-#: Steps of a walk, steps that a key samples, tables; characters between the places an item is entered at;
-#: least characters of an item; edits allowed, as a share of the item's length.
-STEPS, SAMPLED, TABLES, EVERY, LEAST, MAX_EDITS = 48, 16, 5, 16, 48, 0.15
-#: Length of the substrings that an item and a window are compared by before their edit distance.
+#: Least characters of an item; edits allowed, as a share of the item's length.
+LEAST, MAX_EDITS = 48, 0.15
+#: Lengths of the substrings of items under LONG characters and of others; bits of their hashes at most.
+SHORT_GRAM, LONG_GRAM, LONG, BITS = 3, 5, 64, 22
+#: Places found that are counted at a time; bits for a place; characters of documents that are searched at a time.
+PLACES, PLACE_BITS, CHUNK = 1 << 21, 40, 1 << 18
+#: A band is this power of two narrower than the diagonals that edits may lead over.
+FINE = 3
+#: Length of the substrings that an item and a place are compared by before their edit distance.
 GRAM = 4
 #: Bytes of items that a task holds at a time; more items are taken in several rounds over the documents.
 ITEM_BYTES = 32 << 20
-_CHECKS = (3, 5, 7)
 
 
 def normalise(text: str | None) -> str:
@@ -40,11 +40,17 @@ def normalise(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def _word_starts(data: np.ndarray) -> np.ndarray:
-    letter = (data >= 128) | ((data >= 97) & (data <= 122)) | ((data >= 48) & (data <= 57))
-    new = letter.copy()
-    new[1:] &= ~letter[:-1]
-    return np.flatnonzero(new)
+def _characters(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _hashes(data: np.ndarray, size: int, bits: int) -> np.ndarray:
+    """A hash of `bits` bits of the `size` characters at each place but the last ones."""
+    n = max(0, len(data) - size + 1)
+    key = np.zeros(n, np.uint64)
+    for i in range(size):
+        key = key * np.uint64(0x100000001B3) + data[i : i + n]
+    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def edit_distance_within(item: str, text: str) -> int:
@@ -73,99 +79,103 @@ def edit_distance_within(item: str, text: str) -> int:
     return best
 
 
+class Postings:
+    """The substrings of `size` characters of some items (their numbers and texts), by hash. What is kept
+    of each is its item's number, shifted by PLACE_BITS, less its offset."""
+
+    def __init__(self, numbers: np.ndarray, texts: list[str], size: int):
+        self.numbers, self.size = numbers, size
+        lengths = np.array([len(t) - size + 1 for t in texts], np.int64)
+        self.bits = min(BITS, max(10, int(lengths.sum()).bit_length() + 4))
+        data, before = _characters(texts), np.cumsum(lengths + size - 1) - lengths - size + 1
+        offsets = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        key = _hashes(data, size, self.bits)[np.repeat(before, lengths) + offsets]
+        order = np.argsort(key, kind="stable")
+        self.values = ((np.repeat(numbers, lengths) << PLACE_BITS) - offsets)[order]
+        self.starts = np.searchsorted(key[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
+
+    def bands(self, data: np.ndarray, moved: np.ndarray, shift: int, most: int) -> np.ndarray:
+        """Sorted bands of 2^shift diagonals, with the item's number before them, one for each substring that
+        may be equal there, `most` at least if there are more; `moved` is added to each place."""
+        key = _hashes(data, self.size, self.bits)
+        low = self.starts[key]
+        many = self.starts[key + 1] - low
+        at = np.flatnonzero(many)
+        low, many, at = low[at].astype(np.int64), many[at].astype(np.int64), at + moved[at]
+        ends = np.cumsum(many)
+        bands = np.empty(0, np.int64)
+        a = 0
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] - many[a] + PLACES, "right")))
+            own = np.arange(int(ends[b - 1] - ends[a] + many[a])) + np.repeat(low[a:b] - ends[a:b] + many[a:b] + ends[a] - many[a], many[a:b])
+            new = (self.values[own] + np.repeat(at[a:b], many[a:b])) >> shift
+            bands = np.sort(np.concatenate([bands, new]) if len(bands) else new)
+            if b < len(at) or a:
+                bands = bands[np.append(np.ones(min(most, len(bands)), bool), bands[most:] != bands[:-most])]
+            a = b
+        return bands
+
+
 class Index:
-    """Keys of every table for a bounded set of items: [(item_id, normalised text)]."""
+    """A bounded set of items, [(item_id, normalised text)], and where their substrings are."""
 
-    def __init__(self, items: list[tuple[int, str]], seed: int = 7):
-        rng = np.random.Generator(np.random.PCG64(seed))
+    def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, t) for i, t in ((i, normalise(t)) for i, t in items) if len(t) >= LEAST]
-        self.encoded = [t.encode("utf-8", "surrogatepass") for _, t in self.items]
-        self.grams = [[t[i : i + GRAM] for i in range(len(t) - GRAM + 1)] for _, t in self.items]
-        self.moves = rng.integers(0, 2, (TABLES, STEPS, 256), dtype=np.uint8)
-        self.samples = [np.sort(rng.choice(STEPS, SAMPLED, replace=False)) for _ in range(TABLES)]
-        owners, offsets = [], []
-        data = np.frombuffer(b"".join(self.encoded) + b"\0" * STEPS, np.uint8)
-        base, places = 0, []
-        for k, text in enumerate(self.encoded):
-            after = -EVERY
-            for at in _word_starts(np.frombuffer(text, np.uint8)).tolist() or [0]:
-                if at >= after + EVERY and at + STEPS <= len(text):
-                    owners.append(k)
-                    offsets.append(at)
-                    places.append(base + at)
-                    after = at
-            base += len(text)
-        self.owners, self.offsets = np.array(owners, int), np.array(offsets, int)
-        self.tables = []
-        for t in range(TABLES):
-            partial, keys = self._walk(t, data, np.array(places, np.int64), None)
-            order = np.argsort(keys, kind="stable")
-            filters = []
-            for key in partial:
-                bits = np.zeros(1 << 20, bool)
-                bits[(mix(key) >> np.uint64(44)).astype(int)] = True
-                filters.append(bits)
-            self.tables.append((keys[order], order, filters))
-
-    def _walk(self, table: int, data: np.ndarray, at: np.ndarray, filters: list[np.ndarray] | None):
-        """Without filters: (keys so far at each check, whole keys) of all starts. With them: (starts left,
-        their whole keys)."""
-        start, place = at, at.copy()
-        key = np.zeros(len(at), np.uint64)
-        seen, kept, sampled = 0, [], set(self.samples[table].tolist())
-        for j in range(int(self.samples[table][-1]) + 1):
-            byte = data[place]
-            if j in sampled:
-                key = key * np.uint64(0x100000001B3) + byte
-                seen += 1
-                if seen in _CHECKS:
-                    if filters is None:
-                        kept.append(key.copy())
-                    else:
-                        left = filters[_CHECKS.index(seen)][(mix(key) >> np.uint64(44)).astype(np.int64)]
-                        start, place, key, byte = start[left], place[left], key[left], byte[left]
-            place = place + self.moves[table, j][byte]
-        return (kept, key) if filters is None else (start, key)
-
-    def candidates(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(entries of items, starts) of windows that have an item's key in some table."""
-        entries, found = [np.empty(0, int)], [np.empty(0, int)]
-        for t, (keys, order, filters) in enumerate(self.tables):
-            if len(keys):
-                at, key = self._walk(t, data, starts, filters)
-                low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                many = high - low
-                inside = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-                entries.append(order[np.repeat(low, many) + inside])
-                found.append(np.repeat(at, many))
-        pairs = np.unique(np.stack([np.concatenate(entries), np.concatenate(found)]), axis=1)
-        return pairs[0], pairs[1]
+        self.lengths = np.array([len(t) for _, t in self.items], np.int64)
+        self.postings = []
+        kinds = [(t_len >= LONG, int(MAX_EDITS * t_len).bit_length()) for t_len in self.lengths.tolist()]
+        for kind in sorted(set(kinds)):
+            numbers = np.array([k for k, own in enumerate(kinds) if own == kind], np.int64)
+            self.postings.append(Postings(numbers, [self.items[k][1] for k in numbers], LONG_GRAM if kind[0] else SHORT_GRAM))
+
+    def _windows(self, texts: list[str], share: float) -> Iterator[tuple[int, int, int, int]]:
+        """(text's index, item's index, begin, end) of places that may hold the item; every one that does
+        is within such a place."""
+        if not len(self.lengths) or not texts:
+            return
+        allowed = (share * self.lengths).astype(np.int64)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        # places are counted with a gap before each text, so that no place meets two texts
+        ends = np.cumsum(sizes + int((self.lengths + 8 * (allowed + 1)).max()))
+        firsts = np.cumsum(sizes + LONG_GRAM) - sizes - LONG_GRAM
+        before = ends - sizes
+        data = _characters([t + "\0" * LONG_GRAM for t in texts])
+        moved = np.repeat(before - firsts, sizes + LONG_GRAM)
+        for postings in self.postings:
+            needed = self.lengths - postings.size + 1 - postings.size * allowed
+            shift = max(0, int(allowed[postings.numbers].max()).bit_length() - FINE)
+            own = np.maximum(needed[postings.numbers], 1)
+            bands = postings.bands(data, moved, shift, int(own.max()))
+            reach, least = (allowed >> shift) + 1, int(own.min())
+            first = np.flatnonzero(bands[least - 1 :] - bands[: max(0, len(bands) - least + 1)] <= int(reach[postings.numbers].max()))
+            owner = bands[first] >> (PLACE_BITS - shift)
+            at = first + np.maximum(needed[owner], 1) - 1
+            good = (at < len(bands)) & (bands[np.minimum(at, len(bands) - 1)] - bands[first] <= reach[owner])
+            owner, start = owner[good], (bands[first[good]] & ((1 << (PLACE_BITS - shift)) - 1)) << shift
+            doc = np.searchsorted(ends, start, "left")
+            new = np.ones(len(start), bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] - start[:-1] > allowed[owner[1:]])
+            last = np.flatnonzero(np.append(new, True))[1:] - 1  # places that overlap are one
+            doc, owner, start, final = doc[new], owner[new], start[new], start[last]
+            begin = start - allowed[owner] - before[doc]
+            end = final + (1 << shift) + self.lengths[owner] + allowed[owner] - before[doc]
+            yield from zip(doc.tolist(), owner.tolist(), begin.tolist(), end.tolist(), strict=True)
+            for k in postings.numbers[needed[postings.numbers] <= 0].tolist():
+                yield from ((d, k, 0, len(t)) for d, t in enumerate(texts))
 
     def matches(self, texts: list[str], share: float) -> list[tuple[int, int, int]]:
         """(text's index, item's index, edits) for each item that a text holds within `share` of its length."""
-        encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
-        ends = np.cumsum([len(e) + STEPS for e in encoded])
-        data = np.frombuffer(b"".join([e + b"\0" * STEPS for e in encoded]), np.uint8)
-        entries, starts = self.candidates(data, _word_starts(data))
-        docs = np.searchsorted(ends, starts, side="right")
         best: dict[tuple[int, int], int] = {}
-        tried: set[tuple[int, int, int]] = set()
-        for entry, start, doc in zip(entries.tolist(), starts.tolist(), docs.tolist(), strict=True):
-            k = int(self.owners[entry])
-            text, item = encoded[doc], self.items[k][1]
-            allowed = int(share * len(item))
-            begin = start - int(ends[doc] - len(text) - STEPS) - int(self.offsets[entry])
-            slack = allowed * -(-len(self.encoded[k]) // len(item)) + 8
-            place = begin // slack
-            if best.get((doc, k)) == 0 or (doc, k, place) in tried:
+        for doc, k, begin, end in self._windows(texts, share):
+            item, text = self.items[k][1], texts[doc]
+            if best.get((doc, k)) == 0:
                 continue
-            tried.add((doc, k, place))
-            window = text[max(0, (place - 1) * slack) : (place + 2) * slack + len(self.encoded[k])].decode("utf-8", "ignore")
+            window, allowed = text[max(0, begin) : max(0, end)], int(share * len(item))
             if item in window:
                 edits = 0
             else:
                 held = {window[i : i + GRAM] for i in range(len(window) - GRAM + 1)}
-                if sum(map(held.__contains__, self.grams[k])) < len(self.grams[k]) - GRAM * allowed:
+                if sum(item[i : i + GRAM] in held for i in range(len(item) - GRAM + 1)) < len(item) - GRAM + 1 - GRAM * allowed:
                     continue
                 edits = edit_distance_within(item, window)
             if edits <= allowed:
@@ -173,7 +183,7 @@ class Index:
         return [(doc, k, edits) for (doc, k), edits in sorted(best.items())]
 
 
-def _found(batches: Iterator[pa.RecordBatch], index: Index, share: float, chunk: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _found(batches: Iterator[pa.RecordBatch], index: Index, share: float, chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
     def out(ids: list, texts: list[str]) -> pa.RecordBatch:
         rows = index.matches(texts, share)
         return pa.record_batch([pa.array([ids[d] for d, _, _ in rows], pa.int64()), pa.array([index.items[k][0] for _, k, _ in rows], pa.int64()), pa.array([e for _, _, e in rows], pa.int64()), pa.array([len(index.items[k][1]) for _, k, _ in rows], pa.int64())], ["doc_id", "item_id", "edits", "n_chars"])
@@ -203,7 +213,7 @@ def _indexes(items: DataFrame, key: str, text: str) -> Iterator[Index]:
 def find_items(docs: DataFrame, items: DataFrame, share: float = MAX_EDITS, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, edits, n_chars) for each document and each benchmark item that it holds: some
     substring of the document is within `share` times the item's length (n_chars) of the item, by edit
-    distance of the normalised texts, and starts in one of the tables where the item does.
+    distance of the normalised texts. All of them are found.
 
     Texts are compared in lower case with white space runs as one space. Items of fewer than LEAST
     characters, null and empty ones among them, match nothing: they are too short to tell a leak. Null
@@ -219,8 +229,8 @@ def find_items(docs: DataFrame, items: DataFrame, share: float = MAX_EDITS, key:
 
 def _clean(batches: Iterator[pa.RecordBatch], index: Index, share: float, at: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a in range(0, len(batch), 256):
-            part = batch.slice(a, 256)
+        for a in range(0, len(batch), 128):
+            part = batch.slice(a, 128)
             held = {d for d, _, _ in index.matches([normalise(t) for t in part.column(at).to_pylist()], share)}
             yield part.filter(pa.array([i not in held for i in range(len(part))], pa.bool_()))
 

@@ -60,6 +60,28 @@ def test_leaks_are_found(share, recall):
     found = {(d, index.items[k][0]) for d, k, _ in index.matches(texts, 0.15)}
     assert len(found & planted) >= recall * len(planted)
     assert not {d for d, _ in found} & set(range(clean, len(texts)))
+
+
+def changed(text, edits, rng):
+    """The text after so many random insertions, deletions and replacements."""
+    out = list(text)
+    for _ in range(edits):
+        k = rng.randrange(len(out))
+        out[k : k + 1] = rng.choice([[], [out[k], rng.choice("abcdefgh ")], [rng.choice("abcdefgh ")]])
+    return "".join(out)
+
+
+@pytest.mark.parametrize("length", [48, 60, 100, 150, 300])
+def test_all_leaks_within_the_distance_are_found(length):
+    rng = random.Random(length)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, normalise(prose(80)[:length].replace(" ", "x", 1) + "x")) for i in range(40)]
+    index = Index(items)
+    texts = [normalise(f"{prose(50)} {changed(t, int(0.15 * len(t)), rng)} {prose(60)}") for _, t in items]
+    want = {(d, k): e for d, t in enumerate(texts) for k, (_, item) in enumerate(index.items) for e in [edit_distance_within(item, t)] if e <= int(0.15 * len(item))}
+    assert set(want) >= {(k, k) for k in range(40)}
+    assert {(d, k): e for d, k, e in index.matches(texts, 0.15)} == want
     for d, k, edits in index.matches(texts[:10], 0.15):
         assert edits == distance(index.items[k][1], texts[d])
 
