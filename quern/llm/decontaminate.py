@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Least characters of an item; edits allowed, as a share of the item's length.
-LEAST, MAX_EDITS = 48, 0.15
+LEAST, MAX_EDITS = 10, 0.15
 #: Lengths of the substrings of items under LONG characters and of others; bits of their hashes at most.
 SHORT_GRAM, LONG_GRAM, LONG, BITS = 3, 5, 64, 22
 #: Places found that are counted at a time; bits for a place; characters of documents that are searched at a time.

@@ -82,6 +82,17 @@ def test_all_leaks_within_the_distance_are_found(length):
     want = {(d, k): e for d, t in enumerate(texts) for k, (_, item) in enumerate(index.items) for e in [edit_distance_within(item, t)] if e <= int(0.15 * len(item))}
     assert set(want) >= {(k, k) for k in range(40)}
     assert {(d, k): e for d, k, e in index.matches(texts, 0.15)} == want
+
+
+@pytest.mark.parametrize("length", [10, 13, 14, 20, 27, 33, 40, 47])
+def test_short_items_are_found(length):
+    rng = random.Random(length)
+    prose = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    index = Index([(i, prose(length)) for i in range(30)])
+    texts = [f"{prose(200)}{changed(t, rng.randrange(int(0.15 * length) + 1), rng)}{prose(200)}" for _, t in index.items]
+    want = [(d, k, e) for d, t in enumerate(texts) for k, (_, item) in enumerate(index.items) for e in [edit_distance_within(item, t)] if e <= int(0.15 * len(item))]
+    assert {(d, k) for d, k, _ in want} >= {(k, k) for k in range(30)}
+    assert index.matches(texts, 0.15) == want
     for d, k, edits in index.matches(texts[:10], 0.15):
         assert edits == distance(index.items[k][1], texts[d])
 
