@@ -1,19 +1,21 @@
 """Toxicity by the nearest labelled examples.
 
-Labelled documents are TF-IDF vectors over the words whose presence goes with the label (chosen by
-chi-square among the words of the labelled sample; document frequencies over the whole corpus). A
-document's score is the vote of its nearest examples by exact cosine, the nearer the heavier, drawn to
-the share of toxic examples without any such word. These examples are its evidence.
-
-Examples stand in an inverted index in blocks; for every word a block keeps its largest weight. The
-sums of a query's weights times these maxima bound every cosine in a block, and blocks are visited by
-falling bounds until the bound is below the worst of the examples in hand.
+Labelled documents are TF-IDF vectors over all their words (document frequencies over the whole corpus); a
+word weighs more the more its presence goes with the label, by 1 + chi-square. A document's score is the
+vote of its nearest examples by exact cosine, the nearer the heavier, drawn to the share of toxic examples.
+These examples are its evidence.
+
+Examples stand in blocks, shorter ones first; for every word a list holds the blocks that have it and its
+largest weight there. The sums of a query's weights times these maxima bound every cosine in a block, and
+blocks are visited by falling bounds until the bound is below the worst of the examples in hand.
 """
 
 from __future__ import annotations
 
 import functools
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,9 +27,9 @@ from pyspark.sql import functions as F
 
 from quern.llm.shared import stored
 
-#: Labelled examples (by the order of a hash of their ids) and words that the index holds at most; these
-#: bound what is broadcast. The least chi-square of a word, and documents it must be in.
-MAX_EXAMPLES, MAX_WORDS, LEAST_CHI2, LEAST_DOCS = 20_000, 512, 30.0, 5
+#: Labelled examples that the index holds at most (by the order of a hash of their ids); with their words
+#: these bound what is broadcast.
+MAX_EXAMPLES = 20_000
 NEIGHBOURS, BLOCK, NEAR, PRIOR_WEIGHT = 15, 64, 0.05, 1.0
 
 _word = re.compile(r"[^\W\d_]+")
@@ -38,22 +40,64 @@ def words_of(text: str | None) -> list[str]:
     return _word.findall((text or "").lower())
 
 
+@dataclass
+class Sparse:
+    """Rows of a matrix: places and values of row i are those from starts[i] to starts[i + 1]."""
+
+    starts: np.ndarray
+    places: np.ndarray
+    values: np.ndarray
+
+    @staticmethod
+    def of(matrix: np.ndarray | Sparse) -> Sparse:
+        if isinstance(matrix, Sparse):
+            return matrix
+        rows, places = np.nonzero(matrix)
+        return Sparse(np.searchsorted(rows, np.arange(len(matrix) + 1)), places, matrix[rows, places])
+
+    def spread(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where the rows' places are, how many each has)."""
+        low = self.starts[rows]
+        many = self.starts[rows + 1] - low
+        return np.arange(int(many.sum())) + np.repeat(low - (np.cumsum(many) - many), many), many
+
+
+def _tops(vectors: Sparse, n_words: int) -> Sparse:
+    """Words x blocks: the largest weights."""
+    blocks = -(-(len(vectors.starts) - 1) // BLOCK)
+    row = np.repeat(np.arange(len(vectors.starts) - 1) // BLOCK, np.diff(vectors.starts))
+    key = vectors.places.astype(np.int64) * max(blocks, 1) + row
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    values = np.maximum.reduceat(vectors.values[order], first) if len(first) else np.empty(0)
+    word, block = key[first] // max(blocks, 1), key[first] % max(blocks, 1)
+    return Sparse(np.searchsorted(word, np.arange(n_words + 1)), block.astype(np.int32), values)
+
+
 @dataclass
 class Index:
-    """words: column of each; idf; vectors: examples x words, unit rows, in blocks of BLOCK; tops: words x
-    blocks, largest weights; ids and labels of the rows; prior: share of toxic ones among the
-    examples without a word."""
+    """words: column of each; idf: their weights; vectors: examples x words, unit rows, in blocks of BLOCK;
+    tops: words x blocks, largest weights; ids and labels of the rows; prior: share of toxic examples."""
 
     words: dict[str, int]
     idf: np.ndarray
-    vectors: np.ndarray
-    tops: np.ndarray
+    vectors: np.ndarray | Sparse
+    tops: np.ndarray | Sparse
     ids: np.ndarray
     labels: np.ndarray
     prior: float
 
+    def __post_init__(self):
+        self.vectors, self.tops = Sparse.of(self.vectors), Sparse.of(self.tops)
+        self.query = np.zeros(len(self.idf))
+        self.packed = None
+
+    def __reduce__(self):
+        return (_unpacked, (self.packed,)) if self.packed else super().__reduce__()
+
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """(columns, weights of length 1) of word counts; a word that every document has weighs nothing."""
+        """(columns, weights of length 1) of word counts."""
         columns = np.array(sorted(counts), int)
         weights = (1 + np.log([counts[c] for c in columns.tolist()])) * self.idf[columns]
         length = np.sqrt((weights**2).sum())
@@ -61,16 +105,28 @@ class Index:
 
     def nearest(self, columns: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rows, cosines) of the nearest examples; of equally near ones, the first rows."""
-        bounds = weights @ self.tops[columns]
+        at, many = self.tops.spread(columns)
+        bounds = np.bincount(self.tops.places[at], self.tops.values[at] * np.repeat(weights, many), -(-len(self.ids) // BLOCK))
+        order = np.argsort(-bounds, kind="stable")
+        falling = -bounds[order]
         rows, cosines = np.empty(0, int), np.empty(0)
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or (len(rows) == NEIGHBOURS and bounds[block] < cosines[-1] - 1e-12):
+        self.query[columns] = weights
+        a, step = 0, 2
+        while a < len(order):
+            worst = cosines[-1] - 1e-12 if len(rows) == NEIGHBOURS else 0.0
+            left = int(np.searchsorted(falling, -worst, "right" if worst > 0 else "left"))
+            if a >= left:
                 break
-            own = np.arange(block * BLOCK, min((block + 1) * BLOCK, len(self.ids)))
-            found = self.vectors[own][:, columns] @ weights
+            b = min(left, a + step)
+            own = (order[a:b, None] * BLOCK + np.arange(BLOCK)).ravel()
+            own = own[own < len(self.ids)]
+            at, many = self.vectors.spread(own)
+            found = np.bincount(np.repeat(np.arange(len(own)), many), self.vectors.values[at] * self.query[self.vectors.places[at]], len(own))
             rows, cosines = np.concatenate([rows, own[found > 0]]), np.concatenate([cosines, found[found > 0]])
             best = np.lexsort((rows, -np.round(cosines, 12)))[:NEIGHBOURS]
             rows, cosines = rows[best], cosines[best]
+            a, step = b, min(2 * step, 16)
+        self.query[columns] = 0
         return rows, cosines
 
     def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
@@ -84,6 +140,27 @@ class Index:
         return min(1.0, max(0.0, score)), self.ids[rows[:3]].tolist()
 
 
+def _built(words: list[str], weight: np.ndarray, starts: np.ndarray, columns: np.ndarray, counts: np.ndarray, ids: np.ndarray, labels: np.ndarray, prior: float) -> Index:
+    """The index of examples whose words' columns and counts stand one after another."""
+    values = (1 + np.log(counts)) * weight[columns]
+    lengths = np.sqrt(np.add.reduceat(values**2, starts[:-1])) if len(ids) else np.empty(0)
+    held = Sparse(starts, columns, values / np.repeat(lengths, np.diff(starts)))
+    return Index({w: i for i, w in enumerate(words)}, weight, held, _tops(held, len(words)), ids, labels, prior)
+
+
+@functools.lru_cache(1)
+def _unpacked(packed: bytes) -> Index:
+    """The index from what is sent: a worker makes it once, not once a task."""
+    words, weight, starts, planes, counts, ids, labels, prior = pickle.loads(zlib.decompress(packed))
+    steps = np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
+    return _built(words.split(" ") if words else [], weight, starts, np.cumsum(steps).astype(np.int32), counts, ids, labels, prior)
+
+
+def _packed(words: list[str], weight: np.ndarray, starts: np.ndarray, columns: np.ndarray, *more) -> bytes:
+    planes = np.diff(columns, prepend=np.int32(0)).astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return zlib.compress(pickle.dumps((" ".join(words), weight, starts, planes, *more)), 3)
+
+
 def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n, toxic): in how many examples of a batch each word is, and how toxic they are in sum."""
     for batch in batches:
@@ -125,43 +202,35 @@ def fit(examples: DataFrame, corpus: DataFrame, text: str = "text") -> Index:
     d = F.lit(float(n - toxic)) - b
     both = F.col("n") * (n - F.col("n")) * float(toxic) * float(n - toxic)
     chi2 = F.when(both > 0, n * (F.col("a") * d - b * c) ** 2 / both).otherwise(0.0)
-    best = present.where(F.col("n") >= LEAST_DOCS).select("word", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "word").limit(MAX_WORDS)
-    words = {r.word: i for i, r in enumerate(best.collect())}
-    found = dict(corpus.select(text).mapInArrow(functools.partial(_frequencies, words=frozenset(words)), "word string, n long").groupBy("word").agg(F.sum("n")).collect())
-    idf = np.array([np.log((1 + found.get("", 0)) / (1 + found.get(w, 0))) for w in words])
-    index = Index(words, np.maximum(idf, 0), np.empty((0, len(words))), np.empty((len(words), 0)), np.empty(0, np.int64), np.empty(0), 0.0)
+    best = present.select("word", chi2.alias("chi2")).toArrow().sort_by("word")
+    names = best.column(0).to_pylist()
+    words = {w: i for i, w in enumerate(names)}
+    held = corpus.select(text).mapInArrow(functools.partial(_frequencies, words=frozenset(words)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    found = np.zeros(len(words) + 1)
+    found[[words.get(w, -1) for w in held.column(0).to_pylist()]] = held.column(1).to_numpy()
+    weight = np.log((2 + found[-1]) / (1 + found[:-1])) * (1 + best.column(1).to_numpy())
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [index.vector(_counts(t, words)) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array([c.tolist() for c, _ in made], pa.list_(pa.int64())), pa.array([w.tolist() for _, w in made], pa.list_(pa.float64()))], ["doc_id", "toxic", "columns", "weights"])
-
-    rows = chosen.select("doc_id", text, "toxic").mapInArrow(vectors, "doc_id long, toxic double, columns array<long>, weights array<double>")
-    bare, bare_toxic = rows.where("size(columns) = 0").agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0.0))).first()
-    index.prior = (bare_toxic + toxic / max(n, 1)) / (bare + 1) if n else 0.0
-    held = rows.where("size(columns) > 0").collect()  # at most MAX_EXAMPLES short vectors
-    held.sort(key=lambda r: (r["columns"][int(np.argmax(r["weights"]))], len(r["columns"]), r["columns"], r["doc_id"]))
-    index.ids, index.labels = np.array([r["doc_id"] for r in held], np.int64), np.array([r["toxic"] for r in held], float)
-    index.vectors = np.zeros((len(held), len(words)))
-    for i, r in enumerate(held):
-        index.vectors[i, r["columns"]] = r["weights"]
-    tops = [index.vectors[a : a + BLOCK].max(axis=0) for a in range(0, len(held), BLOCK)]
-    index.tops = np.stack(tops, axis=1) if tops else np.empty((len(words), 0))
+            made = [sorted(_counts(t, words).items()) for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), batch.column(2), *(pa.array([np.array([x[i] for x in m], np.int32).tobytes() for m in made], pa.binary()) for i in (0, 1))], ["doc_id", "toxic", "columns", "counts"])
+
+    rows = chosen.select("doc_id", text, "toxic").mapInArrow(vectors, "doc_id long, toxic double, columns binary, counts binary").where("length(columns) > 0").toArrow()  # MAX_EXAMPLES at most
+    columns, counts = rows.column("columns").to_pylist(), rows.column("counts").to_pylist()
+    ids, labels = rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy()
+    order = np.lexsort((ids, [len(c) for c in columns])).tolist()
+    starts = np.concatenate([[0], np.cumsum([len(columns[i]) // 4 for i in order])]).astype(np.int64)
+    parts = (names, weight, starts, *(np.frombuffer(b"".join([x[i] for i in order]), np.int32) for x in (columns, counts)), ids[order], labels[order], float(toxic) / n if n else 0.0)
+    index = _built(*parts)
+    index.packed = _packed(*parts)
     return index
 
 
 def _scored(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
-    known: dict[tuple, tuple[float, list[int]]] = {}
     for batch in batches:
         scores, evidence = [], []
         for text in batch.column(1).to_pylist():
-            counts = _counts(text, index.words)
-            key = tuple(sorted(counts.items()))
-            if key not in known:
-                if len(known) > 100_000:
-                    known.clear()
-                known[key] = index.score(counts)
-            score, near = known[key]
+            score, near = index.score(_counts(text, index.words))
             scores.append(score)
             evidence.append(near)
         yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "score", "predicted", "evidence"])
@@ -183,8 +252,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, score, predicted, evidence (ids of the nearest examples).
 
-    A null or empty text, and one without a word of the index, gets the share of toxic examples among
-    those without such words. Rows that repeat are each scored; a null id is scored and not held out.
+    A null or empty text, and one without a word of any example, gets the share of toxic examples. Rows that repeat are each scored; a null id is scored and not held out.
     Without labels every score is 0. Only `text` makes the score.
     """
     index = fit(labelled(docs, labels), docs)
@@ -193,16 +261,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _accepted(batches: Iterator[pa.RecordBatch], index: Index, at: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    known: dict[tuple, bool] = {}
     for batch in batches:
-        keep = []
-        for text in batch.column(at).to_pylist():
-            key = tuple(sorted(_counts(text, index.words).items()))
-            if key not in known:
-                if len(known) > 100_000:
-                    known.clear()
-                known[key] = index.score(dict(key))[0] < threshold
-            keep.append(known[key])
+        keep = [index.score(_counts(text, index.words))[0] < threshold for text in batch.column(at).to_pylist()]
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 

@@ -230,6 +230,20 @@ def test_toxicity(spark):
     assert score_toxicity(docs.limit(0), marks).collect() == []
 
 
+def test_toxicity_of_a_few_examples(spark):
+    """No word is in five examples; each example is indexed all the same."""
+    rng = random.Random(7)
+    marks = [i for i in range(40) if i % 5 and zlib.crc32(str(i).encode()) % 5][:24]
+    letters = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(12))
+    texts = {i: letters() + (" scum moron" if k < 4 else "") for k, i in enumerate(marks)}
+    rows = [*texts.items(), (1000, texts[marks[0]]), (1001, "scum"), (1002, texts[marks[9]])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in score_toxicity(docs, spark.createDataFrame([(i, int(k < 4)) for k, i in enumerate(marks)], "doc_id long, toxic int")).collect()}
+    assert len(marks) == 24 and all(found[i].evidence[0] == i for i in marks)
+    assert [found[i].predicted for i in (1000, 1001, 1002)] == [1, 1, 0]
+    assert found[1000].evidence[0] == marks[0] and found[1002].evidence[0] == marks[9]
+
+
 def test_decontamination(spark):
     rng = random.Random(8)
     items = [(i, prose(rng, 30, 5000)) for i in range(20)] + [(90, None), (91, ""), (92, "short")]
