@@ -6,9 +6,8 @@ one byte a key. The answers are stored by split; a later pass over the same spli
 Keys travel once a split however often they occur in it, so a key that a third of all rows hold costs
 no bucket more than one entry a split.
 
-Passes must see the same splits: `splits_of` takes a table's files as they are, and anything else is
-written to the shared folder first. Every answer names the number and the sum of the keys it is for;
-a pass whose keys differ stops the job rather than use it.
+Passes must see the same splits: `splits_of` settles them once. Every answer names the number and the sum
+of the keys it is for; a pass whose keys differ stops the job rather than use it.
 """
 
 from __future__ import annotations
@@ -22,21 +21,30 @@ import pyarrow.dataset as ds
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from quern.llm.shared import shared_path, stored
+from quern.llm.shared import release, shared_path, stored
 
 _SENT = "bucket int, split int, n long, total long, keys binary, values binary"
 _SENT_ARROW = pa.schema([("bucket", pa.int32()), ("split", pa.int32()), ("n", pa.int64()), ("total", pa.int64()), ("keys", pa.binary()), ("values", pa.binary())])
 _ANSWERED = "split int, bucket int, n long, total long, answer binary"
 
 
-def splits_of(df: DataFrame, name: str) -> DataFrame:
-    """df with splits that are the same each time it is read."""
+def splits_of(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """(df with splits that are the same each time it is read, number of buckets for its keys). A table's files
+    are read as they are; anything else is written to the shared folder first. Spark cuts files by the number
+    of cores it has just then: that number is held in spark.sql.files.minPartitionNum, unless it is set, so that
+    executors may be lost between passes. A bucket for each half megabyte of the files; a power of two."""
     node = df._jdf.queryExecution().optimizedPlan()
     while node.nodeName() == "Project":
         node = node.child()
-    return df if node.nodeName().startswith("LogicalRelation") or node.nodeName().startswith("Relation") else stored(df, name)
+    if not node.nodeName().startswith(("LogicalRelation", "Relation")):
+        df = stored(df, name)
+    spark, pinned = df.sparkSession, "spark.sql.files.minPartitionNum"
+    if not spark.conf.get(pinned, None):
+        spark.conf.set(pinned, str(spark.sparkContext.defaultParallelism))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df, 1 << max(6, (size >> 19).bit_length())
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -52,11 +60,6 @@ def unpack(data: bytes, n: int) -> np.ndarray:
     return planes.reshape(-1).view("<u8")
 
 
-def buckets_of(spark: SparkSession) -> int:
-    """Four buckets a shuffle partition, so that partitions are even; a power of two."""
-    return 1 << max(2, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-
-
 def _lows(n_buckets: int, bits: int) -> np.ndarray:
     """The smallest key of each bucket."""
     return np.arange(n_buckets, dtype=np.uint64) * np.uint64((1 << bits) // n_buckets)
@@ -69,6 +72,7 @@ def _total(keys: np.ndarray) -> int:
 def _send(batches: Iterator[pa.RecordBatch], ask: Callable, n_buckets: int, bits: int) -> Iterator[pa.RecordBatch]:
     split = TaskContext.get().partitionId()
     keys, values = ask(batches)
+    release()
     lows = _lows(n_buckets, bits)
     cuts = [*np.searchsorted(keys, lows).tolist(), len(keys)]
     for bucket in range(n_buckets):
@@ -90,7 +94,7 @@ def _answer(table: pa.Table, merge: Callable, n_buckets: int, bits: int) -> pa.T
     return pa.table({"split": pa.array([r["split"] for r in rows], pa.int32()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "n": pa.array([r["n"] for r in rows], pa.int64()), "total": pa.array([r["total"] for r in rows], pa.int64()), "answer": pa.array(packed, pa.binary())})
 
 
-def exchange(splits: DataFrame, ask: Callable, merge: Callable, name: str, bits: int = 64) -> str:
+def exchange(splits: DataFrame, n_buckets: int, ask: Callable, merge: Callable, name: str, bits: int = 64) -> str:
     """Folder with the answers to every split of `splits`.
 
     ask(batches) returns a split's sorted distinct keys (uint64, below 2 ** bits) and one unsigned value for each;
@@ -98,9 +102,9 @@ def exchange(splits: DataFrame, ask: Callable, merge: Callable, name: str, bits:
     not; a key occurs once a split) and returns one byte for each.
     """
     spark = splits.sparkSession
-    n_buckets = buckets_of(spark)
     sent = splits.mapInArrow(functools.partial(_send, ask=ask, n_buckets=n_buckets, bits=bits), _SENT)
-    answered = sent.groupBy("bucket").applyInArrow(lambda rows: _answer(rows, merge, n_buckets, bits), _ANSWERED)
+    # Sixteen buckets a partition, whatever the session's number of partitions is.
+    answered = sent.repartition(max(1, n_buckets // 16), "bucket").groupBy("bucket").applyInArrow(lambda rows: _answer(rows, merge, n_buckets, bits), _ANSWERED)
     folder = shared_path(spark, name)
     answered.repartition("split").write.option("compression", "none").partitionBy("split").parquet(folder)
     return folder

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +16,9 @@ from pyspark.sql import functions as F
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder that the driver and every executor see.
 
-    ``spark.checkpoint.dir`` of the session; only where it is unset (tests on one machine)
-    is a temporary folder taken, and set for the context.
+    ``spark.checkpoint.dir`` of the session, or the context's checkpoint folder. Only where both are unset and
+    all tasks run in the driver's process (tests) is a temporary folder taken, and set for the context; on a
+    cluster that raises ValueError, since executors would not see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -22,13 +27,21 @@ def checkpoint_root(spark: SparkSession) -> str:
             context.setCheckpointDir(root)
         return root.rstrip("/")
     if not context.getCheckpointDir():
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is to name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quern-checkpoint-"))
     return context.getCheckpointDir().rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that no other call returns."""
-    return f"{checkpoint_root(spark)}/quern-{name}-{uuid.uuid4().hex}"
+    """A path under the shared folder that no other call returns. All of an application's paths are in one
+    folder, which goes when the driver ends."""
+    folder = f"{checkpoint_root(spark)}/quern-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.mkdirs(path):
+        files.deleteOnExit(path)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -49,3 +62,28 @@ def fresh(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = f"_{wanted}"
     return wanted
+
+
+_resident: dict[tuple[str, str], tuple[Hashable, Any]] = {}
+
+
+def resident(use: str, name: str, key: Hashable, make: Callable[[], Any]) -> Any:
+    """A large object that a Python worker keeps from task to task, one for each name. The objects of one use
+    stay together; another use takes their place, so that what one stage needed does not weigh on the next."""
+    if (held := _resident.get((use, name))) and held[0] == key:
+        return held[1]
+    _resident.pop((use, name), None)
+    if any(other != use for other, _ in _resident):
+        _resident.clear()
+        release()
+    _resident[use, name] = key, make()
+    return _resident[use, name][1]
+
+
+def release() -> None:
+    """Give freed memory back to the system; workers live on and the allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

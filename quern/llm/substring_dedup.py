@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.exchange import answers, exchange, merged, splits_of
-from quern.llm.shingles import _BYTE, _FACTORS, _powers, mix
+from quern.llm.shared import release
+from quern.llm.shingles import _FACTORS, eights, mix
 
 GRAM, CELL_BITS, PIECE = 24, 36, 1 << 18
 _TOP = np.uint64(1 << 63)
@@ -43,7 +44,7 @@ class Runs:
         """owner: each byte's document in the split; base: the piece's first byte in the split."""
         self.data, self.base, self.depth = data, base, depth
         n = len(data) - depth + 1
-        words = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+        words = eights(data)
         grams = mix(words[:-16] * _FACTORS[0] + words[8:-8] * _FACTORS[1] + words[16:] * _FACTORS[2])
         least, where, width = grams, np.arange(len(grams), dtype=np.int32), 1
         target = depth - GRAM + 1
@@ -65,10 +66,18 @@ class Runs:
         self.start, self.count = start[real].astype(np.int32), count[real].astype(np.int32)
         self.anchor = grams[where[self.start]]
         self.doc = owner[self.start]
-        power, inverse = _powers(PIECE * 2 if len(data) <= PIECE * 2 else 1 << len(data).bit_length())
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power[: len(data)], dtype=np.uint64)])
-        length = self.count + depth - 1
-        self.hash = mix((sums[self.start + length] - sums[self.start]) * inverse[self.start] + length.astype(np.uint64) * _FACTORS[5])
+        length = self.count.astype(np.int64) + depth - 1
+        self.hash = self._hashes(self.start, length, depth - GRAM)
+
+    def _hashes(self, at: np.ndarray, length: np.ndarray, more: int = 0) -> np.ndarray:
+        """Hashes of the strings from `at`, `depth` bytes long and up to `more` longer: eight bytes at a time,
+        first the front, then the end. Each step is mixed before the next."""
+        words, value = eights(self.data), length.astype(np.uint64) * _FACTORS[9]
+        for k in [*range(0, self.depth - 7, 8), self.depth - 8]:
+            value = mix(value * _FACTORS[10] + words[at + k])
+        for k in range(8, more + 8, 8) if more else ():
+            value = mix(value * _FACTORS[11] + words[at + length - k])
+        return value
 
     def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first bytes, hashes, documents) of the windows of the chosen runs."""
@@ -76,10 +85,7 @@ class Runs:
         total = int(count.sum())
         inside = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
         at = (np.repeat(self.start[chosen], count) + inside).astype(np.int32)
-        words = np.ndarray((len(self.data) - 7,), "<u8", self.data, 0, (1,))
-        value = np.full(total, _FACTORS[9], np.uint64)
-        for k in [*range(0, self.depth - 7, 8), self.depth - 8]:
-            value = mix(value * _FACTORS[10] + words[at + k])
+        value = self._hashes(at, np.full(total, self.depth))
         return at, value, np.repeat(self.doc[chosen], count)
 
 
@@ -88,27 +94,30 @@ class Split:
     window is in one of them."""
 
     def __init__(self, batches: Iterator[pa.RecordBatch], depth: int):
-        self.depth, self.ids, self.named, texts = depth, [], [], []
+        self.depth = depth
+        ids, named, sizes, texts = [np.empty(0, np.int64)], [np.empty(0, bool)], [np.empty(0, np.int64)], []
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                self.ids.append(doc_id or 0)
-                self.named.append(doc_id is not None)
-                texts.append((text or "").encode("utf-8", "surrogatepass"))
-        self.sizes = np.array([len(t) for t in texts], np.int64)
+            named.append(batch.column(0).is_valid().to_numpy(zero_copy_only=False))
+            ids.append(batch.column(0).fill_null(0).to_numpy())
+            column = batch.column(1).fill_null("")
+            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            sizes.append(np.diff(offsets).astype(np.int64))
+            if len(column) and offsets[-1] > offsets[0]:
+                texts.append(column.buffers()[2][int(offsets[0]) : int(offsets[-1])].to_pybytes())
+        self.ids, self.named, self.sizes = np.concatenate(ids), np.concatenate(named), np.concatenate(sizes)
         self.ends = np.cumsum(self.sizes)
         self.text = b"".join(texts)
         #: Ids as unsigned numbers in their order, and each document's place among them.
-        self.by_rank, rank = np.unique(np.array(self.ids, np.int64).astype(np.uint64) + _TOP, return_inverse=True)
+        self.by_rank, rank = np.unique(self.ids.astype(np.uint64) + _TOP, return_inverse=True)
         self.rank = rank.astype(np.int32)
 
     def pieces(self) -> Iterator[Runs]:
         data = np.frombuffer(self.text, np.uint8)
-        named = np.array(self.named, bool)
         for a in range(0, len(data) - self.depth + 1, PIECE):
             z = min(a + PIECE + self.depth - 1, len(data))
             owner = np.searchsorted(self.ends, np.arange(a, z), side="right") if z - a < 256 else self._owners(a, z)
             runs = Runs(data[a:z], owner.astype(np.int32), a, self.depth)
-            keep = named[runs.doc]
+            keep = self.named[runs.doc]
             for name in ("start", "count", "anchor", "hash", "doc"):
                 setattr(runs, name, getattr(runs, name)[keep])
             yield runs
@@ -263,6 +272,7 @@ def removed_bytes(split: Split, anchors: str, runs_folder: str, windows_folder:
 def _cleaned(batches: Iterator[pa.RecordBatch], depth: int, anchors: str, runs_folder: str, windows_folder: str, text: bool) -> Iterator[pa.RecordBatch]:
     split = Split(batches, depth)
     gone = removed_bytes(split, anchors, runs_folder, windows_folder)
+    release()
     data = np.frombuffer(split.text, np.uint8)
     rows, begin = [], 0
     for size, end in zip(split.sizes.tolist(), split.ends.tolist(), strict=True):
@@ -274,8 +284,8 @@ def _cleaned(batches: Iterator[pa.RecordBatch], depth: int, anchors: str, runs_f
         begin = end
     for a in range(0, len(rows), 500):
         n_bytes, n_removed, n_spans, digest, kept = zip(*rows[a : a + 500], strict=True)
-        ids = [i if named else None for i, named in zip(split.ids[a : a + 500], split.named[a : a + 500], strict=True)]
-        columns = [pa.array(ids, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest)]
+        ids = pa.array(split.ids[a : a + 500], pa.int64(), mask=~split.named[a : a + 500])
+        columns = [ids, pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest)]
         yield pa.record_batch([*columns, *([pa.array(kept, pa.binary())] if text else [])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if text else [])])
 
 
@@ -291,9 +301,9 @@ def remove_repeats(docs: DataFrame, depth: int = 50, key: str = "doc_id", text:
     """
     if depth < GRAM + 8:
         raise ValueError("depth must be at least 32")
-    rows = splits_of(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "texts")
-    anchors = exchange(rows, functools.partial(_ask_anchors, depth=depth), _merge_anchors, "anchors", CELL_BITS)
-    runs = exchange(rows, functools.partial(_ask_runs, depth=depth, anchors=anchors), _merge_runs, "runs")
-    windows = exchange(rows, functools.partial(_ask_windows, depth=depth, anchors=anchors, runs_folder=runs), _merge_earlier, "windows")
+    rows, buckets = splits_of(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "texts")
+    anchors = exchange(rows, buckets, functools.partial(_ask_anchors, depth=depth), _merge_anchors, "anchors", CELL_BITS)
+    runs = exchange(rows, buckets, functools.partial(_ask_runs, depth=depth, anchors=anchors), _merge_runs, "runs")
+    windows = exchange(rows, buckets, functools.partial(_ask_windows, depth=depth, anchors=anchors, runs_folder=runs), _merge_earlier, "windows")
     clean = functools.partial(_cleaned, depth=depth, anchors=anchors, runs_folder=runs, windows_folder=windows, text=with_text)
     return rows.mapInArrow(clean, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
