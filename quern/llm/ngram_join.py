@@ -5,36 +5,42 @@ The sum of the smaller coordinates of two points is at least their sets' overlap
 smaller upper bounds of two boxes is at least that of any points in them: an R-tree over the points
 skips what cannot reach the overlap that the threshold asks for. What is left is verified on the sets.
 
-The tree's directory over a whole corpus is by shared shingles. Two sets over the threshold share one
-of the first `n - ceil(t n) + 1` shingles of each, in any order that both use; here the rarest come
+Boxes of unlike documents overlap in nearly every coordinate, so one tree over a corpus would compare
+all its leaves. Points are therefore dealt to trees by shared shingles: two sets over the threshold share
+one of the first `n - ceil(t n) + 1` shingles of each, in any order that both use; here the rarest come
 first, by counts over the whole corpus (kept by hash cells: cells that collide change the order, not
-the result). Shingles of a single document lead nowhere and are not dealt out, so that a document
-without near copies costs nothing beyond its counts. Under a directory entry
- - of up to SMALL documents, all pairs of fitting sizes are verified;
- - of more, each document is first verified against the entry's first one, which joins a group of
-   copies in a linear number of steps; then an R-tree join over tiles of the entry finds the pairs
-   between documents that are not yet joined.
+the result). Shingles of a single document lead nowhere and are not dealt out, and of shingles that lead
+to the same documents one is.
+
+Every tree is first contracted: each document is verified against the tree's first one, which joins a
+group of copies in a linear number of steps. Trees whose documents are then all joined are done. The rest
+are packed into tiles by set size, at most TILE points or WEIGHT shingles each; boxes of tiles that cannot
+reach the threshold do not meet; tiles that do are joined by the tree over their points; a pair that shares several trees is looked at in the first
+that the sketches of both name. Documents that it leaves over take their sets there, are
+verified, and each of their components answers with the smallest that it is linked with: a row a component,
+not a pair.
 Documents with equal sets are one document throughout.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quern.llm.components import components
 from quern.llm.exchange import answers, exchange, merged, splits_of
-from quern.llm.shared import stored
+from quern.llm.shared import release, stored
 from quern.llm.shingles import mix, shingle_set
 
-#: Cells that counts are kept by; groups of the count vectors; see above; rows of a tile, entries of a leaf.
-CELL_BITS, GROUPS, SMALL, TILE, LEAF = 36, 256, 64, 1024, 32
+#: Cells that counts are kept by; groups of the count vectors, of those of tiles' boxes; most points and
+#: shingles of a tile; entries of a leaf; trees that a sketch names.
+CELL_BITS, GROUPS, COARSE, TILE, WEIGHT, LEAF, SKETCH = 36, 256, 16, 1024, 1 << 20, 32, 32
 
 
 def needed_overlap(a, b, percent: int):
@@ -42,8 +48,28 @@ def needed_overlap(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def count_vector(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles >> np.uint64(20)) % np.uint64(GROUPS), minlength=GROUPS).astype(np.uint16 if len(shingles) < 1 << 16 else np.uint32)
+def groups_of(n: int) -> int:
+    """Groups of the count vector of n shingles: with many shingles in a group, unlike large sets would look
+    alike. A multiple of GROUPS; more groups are folded to fewer."""
+    return max(GROUPS, 1 << max(0, n // 2 - 1).bit_length())
+
+
+def count_vector(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    return np.bincount((shingles >> np.uint64(20)) % np.uint64(groups), minlength=groups).astype(np.uint16 if len(shingles) < 1 << 16 else np.uint32)
+
+
+def vector_bytes(vector: np.ndarray) -> bytes:
+    return vector.astype(np.uint8 if vector.max(initial=0) < 256 else np.uint32).tobytes()
+
+
+def vector_of(data: bytes, n: int) -> np.ndarray:
+    """The count vector of n shingles."""
+    return np.frombuffer(data, np.uint8 if len(data) == groups_of(n) else np.uint32)
+
+
+def fold(vector: np.ndarray, groups: int) -> np.ndarray:
+    """The count vector by fewer groups."""
+    return vector.reshape(-1, groups).sum(axis=0, dtype=np.uint32)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> list[np.ndarray]:
@@ -70,7 +96,7 @@ def _ranks(cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-_POINT = "doc_id long, n long, d1 long, d2 long, tokens array<long>, shingles binary"
+_POINT = "doc_id long, n long, d1 long, d2 long, tokens array<long>, point array<int>, vector binary, shingles binary"
 
 
 def _points(batches: Iterator[pa.RecordBatch], folder: str, width: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -82,14 +108,19 @@ def _points(batches: Iterator[pa.RecordBatch], folder: str, width: int, percent:
     rank = answers(folder, cells)
     for a in range(0, len(ids), 500):
         rows = []
-        for doc_id, shingles in zip(ids[a : a + 500], sets[a : a + 500], strict=True):
+        for shingles in sets[a : a + 500]:
             n = len(shingles)
             own = rank[np.searchsorted(cells, shingles >> np.uint64(64 - CELL_BITS))]
             prefix = np.lexsort((shingles, own))[: n - (percent * n + 99) // 100 + 1] if n else np.empty(0, int)
             tokens = shingles[prefix[own[prefix] > 0]]
-            rows.append((n, int(shingles.sum(dtype=np.uint64).view(np.int64)) if n else 0, int(mix(shingles + np.uint64(77)).sum(dtype=np.uint64).view(np.int64)) if n else 0, tokens.view(np.int64), shingles.tobytes() if len(tokens) else None))
-        n, d1, d2, tokens, blobs = zip(*rows, strict=True)
-        yield pa.record_batch([pa.array(ids[a : a + 500], pa.int64()), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(blobs, pa.binary())], ["doc_id", "n", "d1", "d2", "tokens", "shingles"])
+            vector = count_vector(shingles, groups_of(n))
+            point = fold(vector, COARSE).astype(np.int32) if len(tokens) else None
+            rows.append((n, int(shingles.sum(dtype=np.uint64).view(np.int64)) if n else 0, int(mix(shingles + np.uint64(77)).sum(dtype=np.uint64).view(np.int64)) if n else 0, tokens.view(np.int64), point, *((vector_bytes(vector), shingles.tobytes()) if len(tokens) else (None, None))))
+        n, d1, d2, tokens, points, vectors, blobs = zip(*rows, strict=True)
+        columns = [pa.array(ids[a : a + 500], pa.int64()), *(pa.array(x, pa.int64()) for x in (n, d1, d2)), pa.array(tokens, pa.list_(pa.int64())), pa.array(points, pa.list_(pa.int32())), pa.array(vectors, pa.binary()), pa.array(blobs, pa.binary())]
+        yield pa.record_batch(columns, ["doc_id", "n", "d1", "d2", "tokens", "point", "vector", "shingles"])
+    del ids, sets, cells, rank
+    release()
 
 
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -163,17 +194,86 @@ def tree_pairs(sizes: np.ndarray, points: np.ndarray, groups: np.ndarray, first:
     return tuple(np.concatenate([f[k] for f in found] or [np.empty(0, int)]) for k in (0, 1))
 
 
-def _tile_pairs(table: pa.Table, percent: int) -> pa.Table:
-    table = table.combine_chunks()
-    sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("shingles")]
-    ids, tile = table.column("doc_id").to_numpy(), table.column("tile").to_numpy()
-    points = np.stack([count_vector(s).astype(np.uint32) for s in sets])
-    first = None if table.column("one")[0].as_py() else tile == tile.min()
-    i, j = tree_pairs(np.array([len(s) for s in sets]), points, table.column("component").to_numpy(), first, percent)
-    return pa.table({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
-
-
-def ngram_groups(docs: DataFrame, percent: int = 75, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The groups of rows with equal tree, t0 and t1, which stand together."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = np.stack([batch.column(c).to_numpy() for c in ("tree", "t0", "t1")])
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), len(batch)]
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and tuple(key[:, a]) != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(a, z - a))
+            last = tuple(key[:, a])
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _pairs(rows: pa.Table, vectors: list[np.ndarray], component: np.ndarray, percent: int) -> Iterator[tuple[int, int, int]]:
+    """(i, j, overlap they need) of what the tree over the vectors leaves over, and then all the groups of the
+    vectors: the smaller of the two numbers of groups. Rows whose sketches name an earlier tree that both are in
+    meet there."""
+    sizes, tree = rows.column("n").to_numpy(), rows.column("tree")[0].as_py()
+    sketches = rows.column("sketch").to_pylist()
+    known = [set(s) for s in sketches]
+    tile = rows.column("tile").to_numpy()
+    points = np.stack([fold(v, GROUPS) for v in vectors])
+    i, j = tree_pairs(sizes, points, component, None if rows.column("t0")[0] == rows.column("t1")[0] else tile == tile.min(), percent)
+    need = needed_overlap(sizes[i], sizes[j], percent)
+    for i, j, need in zip(i.tolist(), j.tolist(), need.tolist(), strict=True):
+        if next((t for t in sketches[i] if t in known[j]), tree) != tree:
+            continue
+        x, y = vectors[i], vectors[j]
+        groups = min(len(x), len(y))
+        if groups == GROUPS or int(np.minimum(fold(x, groups), fold(y, groups)).sum()) >= need:
+            yield i, j, need
+
+
+def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The rows of each group that some row of another component may be linked with, by their count vectors;
+    without these."""
+    for rows in _groups(batches):
+        vectors = [vector_of(v, n) for n, v in zip(rows.column("n").to_pylist(), rows.column("vector").to_pylist(), strict=True)]
+        found = np.zeros(len(rows), bool)
+        for i, j, _ in _pairs(rows, vectors, rows.column("component").to_numpy(), percent):
+            found[[i, j]] = True
+        if found.any():
+            yield from rows.drop_columns(["vector"]).filter(pa.array(found)).to_batches()
+    release()
+
+
+def _joined(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(components, smallest components that links join them to) of a tile, or of two that meet."""
+    sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.column("shingles").combine_chunks()]
+    names, group = np.unique(rows.column("component").to_numpy(), return_inverse=True)
+    low = list(range(len(names)))  # a forest: of two joined components the smaller is above the larger
+
+    def top(x: int) -> int:
+        while low[x] != x:
+            low[x] = x = low[low[x]]
+        return x
+
+    for i, j, need in _pairs(rows, [count_vector(s, groups_of(len(s))) for s in sets], group, percent):
+        x, y = top(group[i]), top(group[j])
+        if x != y and len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= need:
+            low[max(x, y)] = min(x, y)
+    moved = np.array([k for k in range(len(names)) if low[k] != k], int)
+    return names[moved], names[[top(k) for k in moved.tolist()]]
+
+
+def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between components: at most one for each component of a group."""
+    for rows in _groups(batches):
+        ids, reached = _joined(rows, percent)
+        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(reached, pa.int64())], ["a", "b"])
+    release()
+
+
+def ngram_groups(docs: DataFrame, percent: int = 75, width: int = 5, key: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id.
 
     A document's set is its distinct `width`-word shingles (words are runs of characters other than
@@ -183,43 +283,58 @@ def ngram_groups(docs: DataFrame, percent: int = 75, width: int = 5, key: str =
     their links; a null id has a null component and no links. Other columns are not read. An empty
     table gives an empty one.
     """
-    rows = splits_of(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "texts")
-    folder = exchange(rows, functools.partial(_ask, width=width), _ranks, "cells", CELL_BITS)
+    rows, buckets = splits_of(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "texts")
+    folder = exchange(rows, buckets, functools.partial(_ask, width=width), _ranks, "cells", CELL_BITS)
     points = stored(rows.mapInArrow(functools.partial(_points, folder=folder, width=width, percent=percent), _POINT), "points")
     shared = points.where("shingles IS NOT NULL AND doc_id IS NOT NULL")
     alike = stored(shared.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "classes")
     copies = shared.select("doc_id", "n", "d1", "d2").join(alike.where("first < last"), ["n", "d1", "d2"]).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     sets = shared.join(alike.select(F.col("first").alias("doc_id"), "n", "d1", "d2"), ["doc_id", "n", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "n", "d1", "d2"])
-    sets = stored(sets.select("doc_id", "n", "tokens", "shingles"), "sets")
-
-    dealt = sets.select("doc_id", "n", F.explode("tokens").alias("token"))
-    # What is grouped by token is written before it is joined by token, so that Spark can split a large one.
-    entries = dealt.groupBy("token").agg(F.count("*").alias("held"), F.min(F.struct("doc_id", "n")).alias("head")).where("held > 1")
-    dealt = stored(dealt.join(stored(entries, "heads"), "token"), "entries")
-    listed = dealt.where(F.col("held") <= SMALL).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "doc_id"))).alias("docs"))
-    fitting = F.flatten(
-        F.transform(
-            "docs",
-            lambda x, i: F.transform(F.filter(F.slice(F.col("docs"), i + 2, F.size("docs")), lambda y: x["n"] * 100 >= y["n"] * percent), lambda y: F.struct(F.least(x["doc_id"], y["doc_id"]).alias("a"), F.greatest(x["doc_id"], y["doc_id"]).alias("b"))),
-        )
-    )
-    small = listed.select(F.inline(fitting))
-    heads = dealt.where(F.col("held") > SMALL).where("n * 100 >= head.n * {0} AND head.n * 100 >= n * {0}".format(percent)).select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b"))
-    pairs = small.unionByName(heads).where("a < b").distinct()
-    links = stored(copies.where("a < b").unionByName(_links(pairs, sets, percent)), "links")
+    sets = stored(sets.select("doc_id", "n", "d1", "tokens", "point", "vector", "shingles"), "sets")
+
+    dealt = sets.select("doc_id", "n", "d1", F.explode("tokens").alias("tree"))
+    # What is grouped by tree is written before it is joined by tree, so that Spark can split a large one.
+    marks = F.xxhash64("doc_id", "n", "d1")
+    trees = dealt.groupBy("tree").agg(F.count("*").alias("held"), F.sum("n").alias("weight"), F.min(F.struct("doc_id", "n")).alias("head"), F.bit_xor(marks).alias("mark")).where("held > 1")
+    trees = trees.groupBy("held", "weight", "head", "mark").agg(F.min("tree").alias("tree"))
+    dealt = stored(dealt.join(stored(trees.select("tree", "held", "weight", "head"), "heads"), "tree"), "trees")
+    heads = dealt.where(f"n * 100 >= head.n * {percent} AND head.n * 100 >= n * {percent}").select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).where("a < b").distinct()
+    links = stored(copies.where("a < b").unionByName(_links(heads, sets, percent)), "links")
     found = components(links)
 
-    large = dealt.where(F.col("held") > SMALL).select("token", "doc_id", "held")
-    large = large.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    apart = large.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    large = stored(large.join(stored(apart, "spans"), "token").select("token", "doc_id", "component", F.ceil(F.col("held") / TILE).cast("int").alias("tiles")), "apart")
-    if not large.isEmpty():
-        tiled = large.join(sets.select("doc_id", "shingles"), "doc_id").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
-        tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        tiled = tiled.select("token", F.least("tile", "other").alias("t0"), F.greatest("tile", "other").alias("t1"), "tile", (F.col("tile") == F.col("other")).alias("one"), "doc_id", "component", "shingles")
-        over = tiled.groupBy("token", "t0", "t1").applyInArrow(lambda rows: _tile_pairs(rows, percent), "a long, b long").distinct()
-        more = stored(_links(over, sets, percent), "links")
-        if not more.isEmpty():
-            found = components(links.unionByName(more))
+    # A tree of two is done: its one pair was verified.
+    left = dealt.where("held > 2").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    apart = stored(left.groupBy("tree").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("tree"), "apart")
+    # Sizes of linked sets differ by two bands at most.
+    band = F.floor(F.log("n") / max(1e-3, math.log(100 / percent) / 2 * 1.0001))
+    left = stored(left.join(apart, "tree"), "apart")
+    own, place = ["doc_id", "n", "d1"], ["tree", "t0", "t1"]
+    # A document's largest trees, in an order that all documents use.
+    order = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("held")).alias("held"), "tree"))), 1, SKETCH)
+    sketches = left.groupBy(*own).agg(F.transform(order, lambda x: x["tree"]).alias("sketch"))
+    left = left.withColumn("band", F.when((F.col("held") <= tile) & (F.col("weight") <= WEIGHT), F.lit(0)).otherwise(band))
+    parts = left.groupBy("tree", "band").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n") / WEIGHT)).alias("parts"))
+    left = left.join(stored(parts, "parts"), ["tree", "band"]).join(sets.select("doc_id", "n", "d1", "point"), ["doc_id", "n", "d1"])
+    left = stored(left.select("tree", (F.col("band") * (1 << 32) + F.pmod(F.xxhash64("doc_id"), "parts")).alias("tile"), "doc_id", "n", "d1", "component", "point"), "points")
+    tops = F.array(*[F.max(F.get("point", F.lit(i))) for i in range(COARSE)])
+    boxes = stored(left.groupBy("tree", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("lo"), F.max("component").alias("hi"), tops.alias("top")), "boxes")
+    x, y = boxes.alias("x"), boxes.alias("y")
+    bound = F.aggregate(F.zip_with("x.top", "y.top", lambda p, q: F.least(p, q)), F.lit(0), lambda total, v: total + v)
+    near = F.col("y.high") * 100 >= F.col("x.low") * percent
+    near &= (F.col("x.high") * 100 >= F.col("y.low") * percent) & (bound * (100 + percent) >= (F.col("x.low") + F.col("y.low")) * percent)
+    apart = F.least("x.lo", "y.lo") < F.greatest("x.hi", "y.hi")
+    meeting = x.join(y, F.col("x.tree") == F.col("y.tree")).where((F.col("x.tile") <= F.col("y.tile")) & near & apart)
+    meeting = stored(meeting.select("x.tree", F.col("x.tile").alias("t0"), F.col("y.tile").alias("t1")), "meeting")
+    sides = [left.join((meeting.where("t0 < t1") if i else meeting).withColumn("tile", F.col(f"t{i}")), ["tree", "tile"]) for i in (0, 1)]
+    sides = sides[0].unionByName(sides[1]).select(*place, "tile", "component", *own).join(sets.join(stored(sketches, "sketches"), own).select(*own, "vector", "sketch"), own)
+    sides = sides.select(*place, "tile", "component", *own, "sketch", "vector").repartition(*place).sortWithinPartitions(*place)
+    # Only what a tree leaves over takes its set along.
+    near = stored(sides.mapInArrow(functools.partial(_near, percent=percent), sides.drop("vector").schema), "near")
+    near = near.join(sets.select(*own, "shingles"), own).repartition(*place).sortWithinPartitions(*place)
+    more = stored(near.mapInArrow(functools.partial(_linked, percent=percent), "a long, b long"), "links")
+    # The trees' links are between components: what these become is carried over to their documents.
+    up = components(more).select(F.col("id").alias("component"), F.col("component").alias("up"))
+    found = found.join(up, "component", "left").select("id", F.coalesce("up", "component").alias("component")).unionByName(up.select(F.col("component").alias("id"), F.col("up").alias("component")))
+    found = found.groupBy("id").agg(F.min("component").alias("component"))
     answer = points.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("id"), "left")
     return answer.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

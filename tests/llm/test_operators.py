@@ -84,6 +84,24 @@ def test_ngram_groups(spark):
     assert ngram_groups(empty(spark)).collect() == []
 
 
+def test_ngram_trees(spark):
+    """Links that only a tree finds: the documents of a band share a passage whose first document is linked with
+    none of them. Tiles of four rows, so that tiles of one and of several sizes meet."""
+    rng = random.Random(11)
+    passage = prose(rng, 40, 10**6)
+    alone = f"{passage} {prose(rng, 12, 10**6)}"
+    rows = [(0, alone)]
+    for _ in range(12):
+        base = f"{passage} {prose(rng, rng.randrange(8, 40), 10**6)}"
+        rows += [(len(rows) + k, f"{base} {prose(rng, k, 10**6)}".strip()) for k in range(5)]
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(i, j) for i in sets for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    low = roots(links, sets)
+    assert len(set(low.values())) > 2
+    for tile in (4, 1024):
+        assert {r.doc_id: r.component_id for r in ngram_groups(documents(spark, rows), tile=tile).collect()} == low
+
+
 def removed(rows, depth=50):
     first = {}
     for i, t in rows:
@@ -230,6 +248,22 @@ def test_toxicity(spark):
     assert score_toxicity(docs.limit(0), marks).collect() == []
 
 
+def test_toxicity_is_calibrated(spark):
+    """Of the held-out texts with a score near s, about the share s is toxic; scores separate the labels."""
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(3000):
+        hints = rng.choice([0, 1, 3])
+        rows.append((i, " ".join([*prose(rng, 25).split(), *(rng.choice(["rude", "harsh", "grim"]) for _ in range(hints))])))
+        labels.append((i, int(rng.random() < (0.05, 0.5, 0.95)[(0, 1, 3).index(hints)])))
+    truth = dict(labels)
+    found = [(r.score, truth[r.doc_id]) for r in score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect() if r.held_out]
+    assert len(found) > 500 and sum((s - t) ** 2 for s, t in found) / len(found) < 0.16
+    for lo, hi in ((0, 0.3), (0.3, 0.7), (0.7, 1.01)):
+        own = [(s, t) for s, t in found if lo <= s < hi]
+        assert len(own) > 50 and abs(sum(s for s, _ in own) / len(own) - sum(t for _, t in own) / len(own)) < 0.12
+
+
 def test_toxicity_of_a_few_examples(spark):
     """No word is in five examples; each example is indexed all the same."""
     rng = random.Random(7)
