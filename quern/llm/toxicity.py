@@ -5,235 +5,301 @@ word weighs more the more its presence goes with the label, by 1 + chi-square. A
 vote of its nearest examples by exact cosine, the nearer the heavier, drawn to the share of toxic examples.
 These examples are its evidence.
 
-Examples stand in blocks, shorter ones first; for every word a list holds the blocks that have it and its
-largest weight there. The sums of a query's weights times these maxima bound every cosine in a block, and
-blocks are visited by falling bounds until the bound is below the worst of the examples in hand.
+The index is inverted: each word has a list of the examples that hold it, with their weights, and a list of
+the blocks of BLOCK examples that hold it, with the largest weight in each. A query's words are taken by
+falling bounds (their weight times the word's largest weight) until what is left adds up to SKIP at most.
+The sums so far give a least cosine that the nearest examples have; the block maxima of the words left say
+which examples may reach it, and only these are computed in full. No example is lost. The longest lists are
+held as rows over all examples, and many queries at a time are multiplied with them.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import pickle
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared import stored
+from quern.llm.shared import release, resident, stored
+from quern.llm.shingles import run_hashes
 
 #: Labelled examples that the index holds at most (by the order of a hash of their ids); with their words
 #: these bound what is broadcast.
 MAX_EXAMPLES = 20_000
-NEIGHBOURS, BLOCK, NEAR, PRIOR_WEIGHT = 15, 64, 0.05, 1.0
-
-_word = re.compile(r"[^\W\d_]+")
-
-
-def words_of(text: str | None) -> list[str]:
-    """Runs of letters, in lower case."""
-    return _word.findall((text or "").lower())
-
-
-@dataclass
-class Sparse:
-    """Rows of a matrix: places and values of row i are those from starts[i] to starts[i + 1]."""
-
-    starts: np.ndarray
-    places: np.ndarray
-    values: np.ndarray
+NEIGHBOURS, BLOCK, NEAR, PRIOR_WEIGHT, SKIP = 15, 64, 0.05, 1.0, 0.02
+#: Lists held as rows: at most so many, of words that this share of the examples have; queries at a time.
+ROWS, SHARE, QUERIES = 512, 0.05, 64
+#: Bytes of texts whose words are read at a time; texts that are taken from a batch at a time.
+CHUNK, TEXTS = 1 << 18, 512
+#: More than single precision errs by.
+SLACK = 1e-5
+
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
+#: Other than ASCII, what is neither a letter nor a digit.
+_odd = re.compile(r"[^\x00-\x7f\w]")
+
+
+def _plain(text: str | None) -> bytes:
+    """The text in lower case, with its letters and those other digits as the only bytes marked as letters."""
+    low = (text or "").lower()
+    return (low if low.isascii() else _odd.sub(" ", low)).encode("utf-8", "surrogatepass")
+
+
+def words_of(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(a, z, index of each word's text from a on, the word's hash) of texts a to z, some at a time. Words are
+    runs of letters, in lower case; they go by 64-bit hashes."""
+    parts, a, size = [], 0, 0
+    for z, text in enumerate(texts, 1):
+        parts.append(_plain(text))
+        size += len(parts[-1])
+        if size > CHUNK or z == len(texts):
+            ends = np.cumsum([len(p) + 1 for p in parts])
+            at, hashes = run_hashes(b" ".join(parts), _LETTER)
+            yield a, z, np.searchsorted(ends, at, "right"), hashes.view(np.int64)
+            parts, a, size = [], z, 0
+
+
+def _counted(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, value, how often) of the distinct pairs, in order."""
+    order = np.lexsort((values, owner))
+    owner, values = owner[order], values[order]
+    first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (values[1:] != values[:-1]))[: len(owner)])
+    return owner[first], values[first], np.diff(np.append(first, len(owner)))
+
+
+class Lists:
+    """One list of places and values after another: list i is from starts[i] to starts[i + 1]."""
+
+    def __init__(self, starts: np.ndarray, places: np.ndarray, values: np.ndarray):
+        self.starts, self.places, self.values = starts, places, values
 
     @staticmethod
-    def of(matrix: np.ndarray | Sparse) -> Sparse:
-        if isinstance(matrix, Sparse):
+    def of(matrix: np.ndarray | Lists) -> Lists:
+        """The rows of a matrix, as far as they are not 0."""
+        if isinstance(matrix, Lists):
             return matrix
         rows, places = np.nonzero(matrix)
-        return Sparse(np.searchsorted(rows, np.arange(len(matrix) + 1)), places, matrix[rows, places])
+        return Lists(np.searchsorted(rows, np.arange(len(matrix) + 1)), places, matrix[rows, places])
 
-    def spread(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(where the rows' places are, how many each has)."""
-        low = self.starts[rows]
-        many = self.starts[rows + 1] - low
+    def at(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where the entries of some lists are, how many each has)."""
+        low = self.starts[lists]
+        many = self.starts[lists + 1] - low
         return np.arange(int(many.sum())) + np.repeat(low - (np.cumsum(many) - many), many), many
 
+    def sums(self, lists: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
+        """The sums of weighted values by place. Short lists are gathered together, long ones taken one by one."""
+        many = self.starts[lists + 1] - self.starts[lists]
+        short, long = np.flatnonzero(many < 32), np.flatnonzero(many >= 32)
+        at, _ = self.at(lists[short])
+        cuts = list(zip(self.starts[lists[long]].tolist(), self.starts[lists[long] + 1].tolist(), strict=True))
+        places = np.concatenate([self.places[at], *[self.places[a:z] for a, z in cuts]])
+        values = np.concatenate([self.values[at], *[self.values[a:z] for a, z in cuts]])
+        values *= np.repeat(weights[both := np.concatenate([short, long])].astype(values.dtype), many[both])
+        return np.bincount(places, values, size)
 
-def _tops(vectors: Sparse, n_words: int) -> Sparse:
-    """Words x blocks: the largest weights."""
-    blocks = -(-(len(vectors.starts) - 1) // BLOCK)
-    row = np.repeat(np.arange(len(vectors.starts) - 1) // BLOCK, np.diff(vectors.starts))
-    key = vectors.places.astype(np.int64) * max(blocks, 1) + row
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-    values = np.maximum.reduceat(vectors.values[order], first) if len(first) else np.empty(0)
-    word, block = key[first] // max(blocks, 1), key[first] % max(blocks, 1)
-    return Sparse(np.searchsorted(word, np.arange(n_words + 1)), block.astype(np.int32), values)
 
-
-@dataclass
 class Index:
-    """words: column of each; idf: their weights; vectors: examples x words, unit rows, in blocks of BLOCK;
-    tops: words x blocks, largest weights; ids and labels of the rows; prior: share of toxic examples."""
-
-    words: dict[str, int]
-    idf: np.ndarray
-    vectors: np.ndarray | Sparse
-    tops: np.ndarray | Sparse
-    ids: np.ndarray
-    labels: np.ndarray
-    prior: float
-
-    def __post_init__(self):
-        self.vectors, self.tops = Sparse.of(self.vectors), Sparse.of(self.tops)
-        self.query = np.zeros(len(self.idf))
-        self.packed = None
-
-    def __reduce__(self):
-        return (_unpacked, (self.packed,)) if self.packed else super().__reduce__()
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """(columns, weights of length 1) of word counts."""
-        columns = np.array(sorted(counts), int)
-        weights = (1 + np.log([counts[c] for c in columns.tolist()])) * self.idf[columns]
-        length = np.sqrt((weights**2).sum())
-        return (columns, weights / length) if length else (columns[:0], weights[:0])
-
-    def nearest(self, columns: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, cosines) of the nearest examples; of equally near ones, the first rows."""
-        at, many = self.tops.spread(columns)
-        bounds = np.bincount(self.tops.places[at], self.tops.values[at] * np.repeat(weights, many), -(-len(self.ids) // BLOCK))
+    """words: hashes of the columns' words, in order; idf: their weights; examples: columns and values of each, of
+    length 1; by_word and tops: each word's examples and blocks; ids and labels of the examples; prior: share
+    of toxic examples."""
+
+    def __init__(self, words: np.ndarray, idf: np.ndarray, examples: np.ndarray | Lists, ids: np.ndarray, labels: np.ndarray, prior: float):
+        self.words, self.idf, self.ids, self.labels, self.prior = words, idf, ids, labels, prior
+        self.examples = Lists.of(examples)
+        self.blocks = -(-len(ids) // BLOCK)
+        rows = np.arange(len(ids), dtype=np.uint16 if self.blocks * BLOCK < 1 << 16 else np.uint32)
+        rows = np.repeat(rows, np.diff(self.examples.starts))
+        order = np.argsort(self.examples.places, kind="stable")
+        column, block, inside = self.examples.places[order], rows[order] // BLOCK, rows[order] % BLOCK
+        # Sums over examples stand block by block in columns, so that a block's largest is found along rows.
+        self.by_word = Lists(np.searchsorted(column, np.arange(len(idf) + 1)), inside * rows.dtype.type(self.blocks) + block, self.examples.values[order])
+        first = np.flatnonzero(np.append(True, (column[1:] != column[:-1]) | (block[1:] != block[:-1]))[: len(column)])
+        top = np.maximum.reduceat(self.by_word.values, first) if len(first) else self.by_word.values
+        self.tops = Lists(np.searchsorted(column[first], np.arange(len(idf) + 1)), block[first], top)
+        self.most = np.zeros(len(idf))
+        np.maximum.at(self.most, column[first], top)
+        del rows, order, column, block, inside, first
+        many = np.diff(self.by_word.starts)
+        long = np.argsort(-many, kind="stable")[:ROWS]
+        long = long[many[long] > SHARE * len(ids)]
+        self.row_of = np.full(len(idf), -1)
+        self.row_of[long] = np.arange(len(long))
+        self.rows = np.zeros((len(long), self.blocks * BLOCK), np.float32)
+        for i, word in enumerate(long.tolist()):
+            a, z = self.by_word.starts[word], self.by_word.starts[word + 1]
+            self.rows[i, self.by_word.places[a:z]] = self.by_word.values[a:z]
+        self.query = np.zeros(len(idf))
+
+    def columns(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(columns, counts) of each text's words that the index has."""
+        for a, z, owner, words in words_of(texts):
+            owner, words, count = _counted(owner, words)
+            column = np.minimum(np.searchsorted(self.words, words), max(0, len(self.words) - 1))
+            known = np.flatnonzero(self.words[column] == words) if len(self.words) else np.empty(0, int)
+            cuts = np.searchsorted(owner[known], np.arange(z - a + 1))
+            for b, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                yield column[known[b:e]], count[known[b:e]]
+
+    def by_rows(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Queries x examples: what the words with rows add to the cosines, in single precision."""
+        weights = np.zeros((len(queries), len(self.rows)), np.float32)
+        for i, (columns, values) in enumerate(queries):
+            row = self.row_of[columns]
+            weights[i, row[row >= 0]] = values[row >= 0]
+        return weights @ self.rows
+
+    def nearest(self, columns: np.ndarray, weights: np.ndarray, found: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, cosines) of the nearest examples, those with a common word; of equally near ones, the first
+        rows. weights are of length 1; found: what by_rows gives."""
+        found = self.by_rows([(columns, weights)])[0] if found is None else found
+        short = self.row_of[columns] < 0
+        own, values = columns[short], weights[short]
+        bounds = values * self.most[own]
         order = np.argsort(-bounds, kind="stable")
-        falling = -bounds[order]
-        rows, cosines = np.empty(0, int), np.empty(0)
+        cut = len(order) - int(np.searchsorted(np.cumsum(bounds[order][::-1]), SKIP, "right"))
+        heavy, light = order[:cut], order[cut:]
+        found = (self.by_word.sums(own[heavy], values[heavy], len(found)).astype(np.float32) + found).reshape(BLOCK, self.blocks)
+        best = found.max(axis=0)
+        # the best of so many blocks are so many examples
+        least = np.partition(best, len(best) - NEIGHBOURS)[len(best) - NEIGHBOURS] if len(best) > NEIGHBOURS else 0.0
+        reach = self.tops.sums(own[light], values[light], self.blocks).astype(np.float32)
+        at = np.flatnonzero(found >= np.maximum(least - SLACK, 1e-30) - reach)
+        rows = np.sort(at % self.blocks * BLOCK + at // self.blocks)
+        rows = rows[rows < len(self.ids)]
         self.query[columns] = weights
-        a, step = 0, 2
-        while a < len(order):
-            worst = cosines[-1] - 1e-12 if len(rows) == NEIGHBOURS else 0.0
-            left = int(np.searchsorted(falling, -worst, "right" if worst > 0 else "left"))
-            if a >= left:
-                break
-            b = min(left, a + step)
-            own = (order[a:b, None] * BLOCK + np.arange(BLOCK)).ravel()
-            own = own[own < len(self.ids)]
-            at, many = self.vectors.spread(own)
-            found = np.bincount(np.repeat(np.arange(len(own)), many), self.vectors.values[at] * self.query[self.vectors.places[at]], len(own))
-            rows, cosines = np.concatenate([rows, own[found > 0]]), np.concatenate([cosines, found[found > 0]])
-            best = np.lexsort((rows, -np.round(cosines, 12)))[:NEIGHBOURS]
-            rows, cosines = rows[best], cosines[best]
-            a, step = b, min(2 * step, 16)
+        at, many = self.examples.at(rows)
+        cosines = np.bincount(np.repeat(np.arange(len(rows)), many), self.examples.values[at] * self.query[self.examples.places[at]], len(rows))
         self.query[columns] = 0
-        return rows, cosines
+        best = np.lexsort((rows, -np.round(cosines, 12)))[:NEIGHBOURS]
+        best = best[cosines[best] > 0]
+        return rows[best], cosines[best]
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
+    def vote(self, rows: np.ndarray, cosines: np.ndarray) -> tuple[float, list[int]]:
         """(score, ids of up to three nearest examples)."""
-        columns, weights = self.vector(counts)
-        if not len(columns) or not len(self.ids):
-            return self.prior, []
-        rows, cosines = self.nearest(columns, weights)
         votes = 1 / (1 - np.minimum(cosines, 1) + NEAR) * NEAR * cosines
         score = (float(votes @ self.labels[rows]) + PRIOR_WEIGHT * NEAR * self.prior) / (float(votes.sum()) + PRIOR_WEIGHT * NEAR)
         return min(1.0, max(0.0, score)), self.ids[rows[:3]].tolist()
 
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
+        """Of each text. Without examples, or a word of theirs, that is the share of toxic examples."""
+        queries = []
+        for columns, counts in self.columns(texts):
+            weights = (1 + np.log(counts)) * self.idf[columns]
+            length = np.sqrt((weights**2).sum())
+            queries.append((columns, weights / length) if length else (columns[:0], weights[:0]))
+        out = []
+        for a in range(0, len(queries), QUERIES):
+            for (columns, weights), found in zip(queries[a : a + QUERIES], self.by_rows(queries[a : a + QUERIES]), strict=True):
+                out.append(self.vote(*self.nearest(columns, weights, found)) if len(columns) and len(self.ids) else (self.prior, []))
+        return out
 
-def _built(words: list[str], weight: np.ndarray, starts: np.ndarray, columns: np.ndarray, counts: np.ndarray, ids: np.ndarray, labels: np.ndarray, prior: float) -> Index:
-    """The index of examples whose words' columns and counts stand one after another."""
-    values = (1 + np.log(counts)) * weight[columns]
-    lengths = np.sqrt(np.add.reduceat(values**2, starts[:-1])) if len(ids) else np.empty(0)
-    held = Sparse(starts, columns, values / np.repeat(lengths, np.diff(starts)))
-    return Index({w: i for i, w in enumerate(words)}, weight, held, _tops(held, len(words)), ids, labels, prior)
+
+class Packed:
+    """An index as it is sent. Where it arrives it is the index; a worker makes that once, not once a task."""
+
+    def __init__(self, *parts):
+        self.packed = zlib.compress(pickle.dumps(parts), 3)
+
+    def __reduce__(self):
+        return _sent, (hashlib.blake2b(self.packed).digest(), self.packed)
+
+
+def _sent(digest: bytes, packed: bytes) -> Index:
+    return resident("toxicity", "index", digest, lambda: _unpacked(packed))
 
 
-@functools.lru_cache(1)
 def _unpacked(packed: bytes) -> Index:
-    """The index from what is sent: a worker makes it once, not once a task."""
-    words, weight, starts, planes, counts, ids, labels, prior = pickle.loads(zlib.decompress(packed))
-    steps = np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
-    return _built(words.split(" ") if words else [], weight, starts, np.cumsum(steps).astype(np.int32), counts, ids, labels, prior)
+    words, idf, starts, planes, counts, ids, labels, prior = pickle.loads(zlib.decompress(packed))
+    columns = np.cumsum(np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel(), dtype=np.int32)
+    values = (1 + np.log(np.arange(int(counts.max(initial=0)) + 1).clip(1))).astype(np.float32)[counts]
+    values *= idf.astype(np.float32)[columns]
+    if len(ids):
+        values /= np.repeat(np.sqrt(np.add.reduceat(values**2, starts[:-1])), np.diff(starts))
+    index = Index(words, idf, Lists(starts, columns, values), ids, labels, prior)
+    release()
+    return index
 
 
-def _packed(words: list[str], weight: np.ndarray, starts: np.ndarray, columns: np.ndarray, *more) -> bytes:
-    planes = np.diff(columns, prepend=np.int32(0)).astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
-    return zlib.compress(pickle.dumps((" ".join(words), weight, starts, planes, *more)), 3)
+def _planes(columns: np.ndarray) -> bytes:
+    """Steps between numbers, by bytes: these compress well."""
+    return np.diff(columns, prepend=np.int32(0)).astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n, toxic): in how many examples of a batch each word is, and how toxic they are in sum."""
-    for batch in batches:
-        n: Counter[str] = Counter()
-        toxic: Counter[str] = Counter()
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = set(words_of(text))
-            n.update(words)
-            if label:
-                for word in words:
-                    toxic[word] += label
-        yield pa.record_batch([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([float(toxic[w]) for w in n], pa.float64())], ["word", "n", "toxic"])
-
-
-def _frequencies(batches: Iterator[pa.RecordBatch], words: frozenset[str]) -> Iterator[pa.RecordBatch]:
-    n: Counter[str] = Counter()
-    docs = 0
+    """(word, n, toxic): in how many examples each word is, and how toxic they are in sum, some at a time."""
     for batch in batches:
-        docs += len(batch)
-        for text in batch.column(0).to_pylist():
-            n.update(words.intersection(words_of(text)))
-    n[""] = docs
-    yield pa.record_batch([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+        labels = batch.column(1).to_numpy()
+        for a, _, owner, words in words_of(batch.column(0).to_pylist()):
+            owner, words, _ = _counted(owner, words)
+            names, group = np.unique(words, return_inverse=True)
+            n, toxic = np.bincount(group, minlength=len(names)), np.bincount(group, labels[a + owner], len(names))
+            yield pa.record_batch([pa.array(names), pa.array(n), pa.array(toxic)], ["word", "n", "toxic"])
 
 
-def _counts(text: str | None, words: dict[str, int]) -> dict[int, int]:
-    return dict(Counter([words[w] for w in words_of(text) if w in words]))
+def _frequencies(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(column, n): in how many texts each of the words is; column -1 counts the texts."""
+    n, docs = np.zeros(len(words), np.int64), 0
+    for batch in batches:
+        docs += len(batch)
+        for _, _, owner, found in words_of(batch.column(0).to_pylist()):
+            _, found, _ = _counted(owner, found)
+            if len(words):
+                column = np.minimum(np.searchsorted(words, found), len(words) - 1)
+                n += np.bincount(column[words[column] == found], minlength=len(words))
+    held = np.flatnonzero(n)
+    yield pa.record_batch([pa.array(np.append(held, -1)), pa.array(np.append(n[held], docs))], ["column", "n"])
 
 
-def fit(examples: DataFrame, corpus: DataFrame, text: str = "text") -> Index:
+def fit(examples: DataFrame, corpus: DataFrame, text: str = "text") -> Packed:
     """Index of `examples` (doc_id, text, toxic from 0 to 1; MAX_EXAMPLES ids at most), with document
     frequencies of `corpus`. Rows with a null label or id are left out; rows that repeat an id are one
     example. Without examples every score is 0."""
     chosen = examples.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(text).alias(text), F.avg(F.col("toxic").cast("double")).alias("toxic"))
     chosen = stored(chosen, "examples")
     n, toxic = chosen.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0.0))).first()
-    present = chosen.select(text, "toxic").mapInArrow(_present, "word string, n long, toxic double").groupBy("word").agg(F.sum("n").alias("n"), F.sum("toxic").alias("a"))
+    present = chosen.select(text, "toxic").mapInArrow(_present, "word long, n long, toxic double").groupBy("word").agg(F.sum("n").alias("n"), F.sum("toxic").alias("a"))
     b, c = F.col("n") - F.col("a"), F.lit(float(toxic)) - F.col("a")
     d = F.lit(float(n - toxic)) - b
     both = F.col("n") * (n - F.col("n")) * float(toxic) * float(n - toxic)
     chi2 = F.when(both > 0, n * (F.col("a") * d - b * c) ** 2 / both).otherwise(0.0)
-    best = present.select("word", chi2.alias("chi2")).toArrow().sort_by("word")
-    names = best.column(0).to_pylist()
-    words = {w: i for i, w in enumerate(names)}
-    held = corpus.select(text).mapInArrow(functools.partial(_frequencies, words=frozenset(words)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    best = present.select("word", chi2.alias("chi2")).toArrow().sort_by("word")  # the words of MAX_EXAMPLES at most
+    words = best.column(0).to_numpy()
+    held = corpus.select(text).mapInArrow(functools.partial(_frequencies, words=words), "column long, n long").groupBy("column").agg(F.sum("n").alias("n")).toArrow()
     found = np.zeros(len(words) + 1)
-    found[[words.get(w, -1) for w in held.column(0).to_pylist()]] = held.column(1).to_numpy()
-    weight = np.log((2 + found[-1]) / (1 + found[:-1])) * (1 + best.column(1).to_numpy())
+    found[held.column(0).to_numpy()] = held.column(1).to_numpy()
+    idf = np.log((2 + found[-1]) / (1 + found[:-1])) * (1 + best.column(1).to_numpy())
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Index(words, idf, np.zeros((0, len(words))), np.empty(0, int), np.empty(0), 0.0)
         for batch in batches:
-            made = [sorted(_counts(t, words).items()) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), batch.column(2), *(pa.array([np.array([x[i] for x in m], np.int32).tobytes() for m in made], pa.binary()) for i in (0, 1))], ["doc_id", "toxic", "columns", "counts"])
+            made = list(reader.columns(batch.column(1).to_pylist()))
+            yield pa.record_batch([batch.column(0), batch.column(2), *(pa.array([m[i].astype(np.int32).tobytes() for m in made], pa.binary()) for i in (0, 1))], ["doc_id", "toxic", "columns", "counts"])
 
     rows = chosen.select("doc_id", text, "toxic").mapInArrow(vectors, "doc_id long, toxic double, columns binary, counts binary").where("length(columns) > 0").toArrow()  # MAX_EXAMPLES at most
     columns, counts = rows.column("columns").to_pylist(), rows.column("counts").to_pylist()
     ids, labels = rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy()
     order = np.lexsort((ids, [len(c) for c in columns])).tolist()
     starts = np.concatenate([[0], np.cumsum([len(columns[i]) // 4 for i in order])]).astype(np.int64)
-    parts = (names, weight, starts, *(np.frombuffer(b"".join([x[i] for i in order]), np.int32) for x in (columns, counts)), ids[order], labels[order], float(toxic) / n if n else 0.0)
-    index = _built(*parts)
-    index.packed = _packed(*parts)
-    return index
+    every, often = (np.frombuffer(b"".join([x[i] for i in order]), np.int32) for x in (columns, counts))
+    return Packed(words, idf, starts, _planes(every), often, ids[order], labels[order], float(toxic) / n if n else 0.0)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        scores, evidence = [], []
-        for text in batch.column(1).to_pylist():
-            score, near = index.score(_counts(text, index.words))
-            scores.append(score)
-            evidence.append(near)
-        yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "score", "predicted", "evidence"])
+    for whole in batches:
+        for a in range(0, len(whole), TEXTS):
+            batch = whole.slice(a, TEXTS)
+            made = index.scores(batch.column(1).to_pylist())
+            yield pa.record_batch([batch.column(0), pa.array([s for s, _ in made], pa.float64()), pa.array([int(s >= 0.5) for s, _ in made], pa.int32()), pa.array([near for _, near in made], pa.list_(pa.int64()))], ["doc_id", "score", "predicted", "evidence"])
+    release()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -261,9 +327,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _accepted(batches: Iterator[pa.RecordBatch], index: Index, at: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = [index.score(_counts(text, index.words))[0] < threshold for text in batch.column(at).to_pylist()]
-        yield batch.filter(pa.array(keep, pa.bool_()))
+    for whole in batches:
+        for a in range(0, len(whole), TEXTS):
+            batch = whole.slice(a, TEXTS)
+            yield batch.filter(pa.array([score < threshold for score, _ in index.scores(batch.column(at).to_pylist())], pa.bool_()))
+    release()
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

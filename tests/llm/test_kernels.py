@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from quern.llm.exchange import pack, unpack
 from quern.llm.html_text import main_text, min_cut
 from quern.llm.ngram_join import count_vector, needed_overlap, tree_pairs
 from quern.llm.shingles import shingle_set, word_hashes
-from quern.llm.toxicity import BLOCK, NEIGHBOURS
+from quern.llm.toxicity import NEIGHBOURS, words_of
 from quern.llm.toxicity import Index as ToxicIndex
 
 
@@ -207,13 +208,37 @@ def test_nearest_examples_are_exact():
     vectors = vectors[vectors.any(axis=1)]
     vectors /= np.linalg.norm(vectors, axis=1)[:, None]
     n = len(vectors)
-    tops = np.array([vectors[a : a + BLOCK].max(axis=0) for a in range(0, n, BLOCK)]).T
-    index = ToxicIndex({}, np.ones(m), vectors, tops, np.arange(n), np.zeros(n), 0.0)
-    for _ in range(50):
-        columns = np.sort(rng.choice(m, 4, replace=False))
-        weights = rng.random(4)
+    index = ToxicIndex(np.arange(m), np.ones(m), vectors, np.arange(n), np.zeros(n), 0.0)
+    for k in range(90):
+        columns = np.sort(rng.choice(m, k % 9 + 1, replace=False))
+        weights = rng.random(len(columns)) ** (k % 5 + 1)
         weights /= np.linalg.norm(weights)
         every = vectors[:, columns] @ weights
         rows, cosines = index.nearest(columns, weights)
         assert np.allclose(np.sort(every)[::-1][:NEIGHBOURS], cosines)
         assert np.allclose(every[rows], cosines)
+
+
+def test_words_of_texts():
+    texts = ["A b1c  É\u00e9_x", None, "", "\u201cvile\u201d", "\ud800 z" + "y" * 200, "vile VILE"] * 3
+    want = [re.findall(r"[a-z\x80-\U0010ffff]+", re.sub(r"[^\x00-\x7f\w]", " ", (t or "").lower())) for t in texts]
+    found = [[] for _ in texts]
+    for a, z, owner, hashes in words_of(texts):
+        assert z > a
+        for o, h in zip(owner.tolist(), hashes.tolist()):
+            found[a + o].append(h)
+    names = {}
+    for words, hashes in zip(want, found, strict=True):
+        assert len(words) == len(hashes)
+        for w, h in zip(words, hashes):
+            assert names.setdefault(w, h) == h
+    assert len(set(names.values())) == len(names)
+
+
+def test_words_that_a_polynomial_confuses():
+    """Words and their complements by the Thue-Morse sequence have one sum under any odd base."""
+    for n in (64, 1024, 4096):
+        one = "".join("ab"[i.bit_count() % 2] for i in range(n))
+        two = one.translate(str.maketrans("ab", "ba"))
+        assert len(set(word_hashes(f"{one} {two}".encode()).tolist())) == 2
+        assert not set(shingle_set(one).tolist()) & set(shingle_set(two).tolist())
