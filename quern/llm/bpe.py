@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quern.llm.shared import fresh, shared_path
+from quern.llm.shared import fresh, release, resident, shared_path
 
 #: Fixed values of the tokenizer file: its word pattern, and the special strings it takes from raw text.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -43,15 +44,18 @@ _special = re.compile(SPECIAL, re.IGNORECASE)
 _odd_space = re.compile("[\x1c-\x1f]")
 
 
-@functools.cache
 def tokenizer(path: str):
     """The tokenizer of a worker, without truncation and padding."""
-    from tokenizers import Tokenizer
 
-    loaded = Tokenizer.from_file(path)
-    loaded.no_truncation()
-    loaded.no_padding()
-    return loaded
+    def load():
+        from tokenizers import Tokenizer
+
+        loaded = Tokenizer.from_file(path)
+        loaded.no_truncation()
+        loaded.no_padding()
+        return loaded
+
+    return resident("tokens", "tokenizer", path, load)
 
 
 def split_words(text: str, path: str) -> list[str] | None:
@@ -77,10 +81,9 @@ def encode_word(word: str, path: str) -> list[int]:
     return tokenizer(path).encode(word, add_special_tokens=False).ids
 
 
-@functools.cache
 def shared_encoder(path: str) -> WordEncoder:
     """The encoder of a Python worker: what one task has encoded serves the next."""
-    return WordEncoder(path, bound=1_000_000)
+    return resident("tokens", "encoder", path, lambda: WordEncoder(path, bound=1_000_000))
 
 
 class WordEncoder:
@@ -101,8 +104,12 @@ class WordEncoder:
         return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
 
 
+#: Distinct words that a task remembers before it sends them; texts that are taken from a batch at a time.
+REMEMBERED, TEXTS = 400_000, 500
+
+
 def _distinct_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """(split, word) of a task, each word once while at most a million are remembered."""
+    """(split, word) of a task, each word once while at most REMEMBERED are remembered."""
     split = TaskContext.get().partitionId()
     seen: set[str] = set()
 
@@ -114,11 +121,13 @@ def _distinct_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa
         seen.clear()
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            seen.update(split_words(text or "", path) or ())
-        if len(seen) > 1_000_000:
-            yield from out()
+        for a in range(0, len(batch), TEXTS):
+            for text in batch.column(0).slice(a, TEXTS).to_pylist():
+                seen.update(split_words(text or "", path) or ())
+            if len(seen) > REMEMBERED:
+                yield from out()
     yield from out()
+    release()
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -135,19 +144,28 @@ def pieces(path: str) -> list[str]:
 
 
 class _Dictionary(dict):
-    """word -> (number of ids, ids in decimal joined by spaces, pieces joined by spaces); words that are
-    missing are encoded in place."""
+    """word -> its number; the ids of word k are ids[starts[k] : starts[k + 1]]. Words that are missing are
+    encoded in place."""
 
     def __init__(self, path: str):
-        self.path, self.pieces = path, pieces(path)
+        self.path, self.starts, self.ids = path, array("q", [0]), array("I")
 
-    def entry(self, ids) -> tuple[int, str, str]:
-        return len(ids), " ".join(map(str, ids)), " ".join([self.pieces[i] for i in ids])
+    def __missing__(self, word: str) -> int:
+        return self.put(word, encode_word(word, self.path))
 
-    def __missing__(self, word: str) -> tuple[int, str, str]:
-        self[word] = out = self.entry(encode_word(word, self.path))
+    def put(self, word: str, ids: list[int]) -> int:
+        self[word] = out = len(self.starts) - 1
+        self.ids.extend(ids)
+        self.starts.append(len(self.ids))
         return out
 
+    def of(self, words: list[str]) -> list[int]:
+        """The ids of a text, by the positions of its words."""
+        at = np.array([self[w] for w in words], np.int64)
+        starts, ids = np.frombuffer(self.starts, np.int64), np.frombuffer(self.ids, np.uint32)
+        many = starts[at + 1] - starts[at]
+        return ids[np.arange(int(many.sum())) + np.repeat(starts[at] - (np.cumsum(many) - many), many)].tolist() if len(at) else []
+
 
 def _dictionary(folder: str, split: int, path: str) -> _Dictionary:
     out = _Dictionary(path)
@@ -155,29 +173,31 @@ def _dictionary(folder: str, split: int, path: str) -> _Dictionary:
     if fs.get_file_info(inner).type == pafs.FileType.NotFound:
         return out
     table = ds.dataset(inner, filesystem=fs, format="parquet", ignore_prefixes=["_", "."])
-    for batch in table.to_batches(columns=["word", "ids"], batch_size=20_000):
+    for batch in table.to_batches(columns=["word", "ids"], batch_size=5_000, batch_readahead=1, fragment_readahead=1):
         for word, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            out[word] = out.entry(ids)
+            out.put(word, ids)
     return out
 
 
 def _digest(batches: Iterator[pa.RecordBatch], path: str, folder: str, schema: pa.Schema, n_keep: int) -> Iterator[pa.RecordBatch]:
-    known = None
-    for batch in batches:
+    known, piece = None, resident("tokens", "pieces", path, lambda: pieces(path))
+    decimal = resident("tokens", "decimal", path, lambda: [str(i) for i in range(len(piece))])
+    sha = lambda names, ids: hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest()
+    for whole in batches:
         if known is None:
             known = _dictionary(folder, TaskContext.get().partitionId(), path)
-        counts, digests, decoded = [], [], []
-        for text in batch.column(n_keep).to_pylist():
-            words = split_words(text or "", path)
-            if words is None:
-                ids = tokenizer(path).encode(text, add_special_tokens=False).ids
-                entries = [known.entry(ids)] if ids else []
-            else:
-                entries = [known[w] for w in words]
-            counts.append(sum([e[0] for e in entries]))
-            digests.append(hashlib.sha256(" ".join([e[1] for e in entries]).encode()).hexdigest())
-            decoded.append(hashlib.sha256(" ".join([e[2] for e in entries]).encode()).hexdigest())
-        yield pa.record_batch([*batch.columns[:n_keep], pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)], schema=schema)
+        for a in range(0, len(whole), TEXTS):
+            batch = whole.slice(a, TEXTS)
+            counts, digests, decoded = [], [], []
+            for text in batch.column(n_keep).to_pylist():
+                words = split_words(text or "", path)
+                ids = known.of(words) if words is not None else tokenizer(path).encode(text, add_special_tokens=False).ids
+                counts.append(len(ids))
+                digests.append(sha(decimal, ids))
+                decoded.append(sha(piece, ids))
+            yield pa.record_batch([*batch.columns[:n_keep], pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)], schema=schema)
+    del known
+    release()
 
 
 def token_digests(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -195,7 +215,7 @@ def token_digests(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",
     encoded = found.mapInArrow(functools.partial(_encoded, path=path), "word string, splits array<int>, ids array<int>")
     folder = shared_path(spark, "words")
     needed = encoded.select(F.explode("splits").alias("split"), "word", "ids")
-    needed.repartition("split", F.pmod(F.hash("word"), F.lit(2))).write.option("compression", "zstd").partitionBy("split").parquet(folder)
+    needed.repartition("split", F.pmod(F.hash("word"), F.lit(8))).write.option("compression", "zstd").partitionBy("split").parquet(folder)
     schema = T.StructType([source.schema[c] for c in keep])
     for name, kind in (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())):
         schema = schema.add(name, kind)

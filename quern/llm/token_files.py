@@ -17,6 +17,7 @@ import functools
 import json
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from quern.llm.bpe import shared_encoder, tokenizer
 
 _DOCS = 2_000  # documents of a batch that readers return
+#: Bytes of input (as its files are, compressed) for each shard.
+SHARD = 8 << 20
 
 
 def _place(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -55,7 +58,7 @@ def _write_shard(batches: Iterator[pa.RecordBatch], path: str, folder: str, end_
     shard, encoder = TaskContext.get().partitionId(), shared_encoder(path)
     fs, inner = _place(folder)
     name = f"{inner}/{shard:08d}"
-    counts, keys, nulls, total = [], [], [], 0
+    counts, keys, nulls = array("Q"), array("q"), bytearray()
     end = np.array([] if end_id is None else [end_id], kind).tobytes()
     with fs.open_output_stream(tmp := f"{name}.bin.{uuid.uuid4().hex}") as out:
         for batch in batches:
@@ -69,11 +72,10 @@ def _write_shard(batches: Iterator[pa.RecordBatch], path: str, folder: str, end_
         fs.delete_file(tmp)
         return
     fs.move(tmp, f"{name}.bin")
-    total = sum(counts)
     _put(fs, f"{name}.len", [np.array(counts, "<u8").tobytes()])
     _put(fs, f"{name}.key", [np.array(keys, "<i8").tobytes()])
-    _put(fs, f"{name}.null", [np.array(nulls, "u1").tobytes()])
-    yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([len(counts)], pa.int64()), pa.array([total], pa.int64())], ["shard", "n_docs", "n_ids"])
+    _put(fs, f"{name}.null", [bytes(nulls)])
+    yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([len(counts)], pa.int64()), pa.array([sum(counts)], pa.int64())], ["shard", "n_docs", "n_ids"])
 
 
 def _write_offsets(batches: Iterator[pa.RecordBatch], folder: str, bases: dict[int, int]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +104,9 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int | Non
     fs.create_dir(inner, recursive=True)
     order = (F.col("key").asc_nulls_first(), F.xxhash64("text"))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # A table that Spark cannot size counts as endless there; then the session's partitions hold.
+    shards = max(1, -(-size // SHARD)) if size < 1 << 62 else int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     write = functools.partial(_write_shard, path=path, folder=folder, end_id=end_id, kind=kind)
     found = sorted(tuple(r) for r in sorted_rows.mapInArrow(write, "shard int, n_docs long, n_ids long").collect())
