@@ -3,19 +3,17 @@
 Documents are sequences of lines. A suffix's rank at depth 2^k names the block of 2^k lines that it
 starts with: the place (document, line) where that block occurs first. Ranks at depth 1 come from the
 lines themselves, ranks at depth 2^(k+1) from the pairs of ranks at i and i + 2^k. Suffixes whose rank
-nobody else has, the larger part, leave at each step. In the order of their ranks the suffixes that
-stay form the intervals of the suffix array whose longest common prefix reaches the depth.
-
-`repeated_runs` doubles until no block is left and reads the maximal runs, with their sources, from the
-intervals. To delete their later copies, the intervals at the depth of the shortest run that counts are
-enough: a maximal run of at least `min_lines` lines is the union of the blocks of `min_lines` lines in it,
-and each of these occurs earlier exactly if the run does. `repeated_lines` stops there.
+nobody else has, the larger part, leave at each step, and doubling ends when none is left. In the order
+of their ranks the suffixes that stay form the intervals of the suffix array whose longest common prefix
+reaches the depth; the maximal repeated runs, with their sources, are read from them, and what these
+cover is deleted.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quern.llm.shared import fresh, stored
 
@@ -57,35 +55,38 @@ def _deeper(ranks: DataFrame, step: int) -> DataFrame:
     return stored(_ranked(_pairs(ranks, ranks, step), ["first", "second"]), "ranks")
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Maximal runs of at least `min_lines` lines that begin earlier: doc, seq, n_lines, from_doc, from_seq
-    (line numbers count lines that are not blank). A run's source is the first place of the longest block,
-    by doublings, that starts with it; from there it is as long as both go on alike, and it is not part of
-    a run from one line above with the source one line above. Otherwise as repeated_lines.
-    """
-    ranks, depth, levels = _single(_lines(docs, key, text)), 1, []
+def _maximal(ranks: DataFrame, min_lines: int) -> DataFrame:
+    """doc, print, seq, n_lines and rank (the source's place) of the maximal runs of at least `min_lines` lines
+    that begin earlier, from the ranks at depth 1."""
+    depth, levels = 1, []
     while not ranks.isEmpty():
         levels.append((depth, ranks))
         step = min(depth, min_lines - depth) if depth < min_lines else depth
         ranks, depth = _deeper(ranks, step), depth + step
-    place, runs = ["doc", "print", "seq"], None
-    for depth, ranks in reversed(levels):
+    own = ranks.select(*_PLACE, "rank", F.lit(0).alias("n_lines"))  # none
+    for depth, ranks in levels:
         if depth >= min_lines:
-            own = ranks.where(_place() > F.col("rank")).select(*place, "rank", F.lit(depth).alias("n_lines"))
-            runs = own if runs is None else runs.unionByName(own.join(runs.select(*place), place, "left_anti"))
-    if runs is None:
-        return docs.sparkSession.createDataFrame([], "doc long, seq int, n_lines int, from_doc long, from_seq int")
-    runs = stored(runs, "runs")
+            own = own.unionByName(ranks.where(_place() > F.col("rank")).select(*_PLACE, "rank", F.lit(depth).alias("n_lines")))
+    runs = stored(own.groupBy(*_PLACE).agg(F.max_by("rank", "n_lines").alias("rank"), F.max("n_lines").alias("n_lines")), "runs")
     for depth, ranks in reversed(levels):
         after = ranks.select("doc", "print", (F.col("seq")).alias("at"), F.col("rank").alias("own"))
         theirs = ranks.select(F.col("doc").alias("d2"), F.col("print").alias("p2"), F.col("seq").alias("a2"), F.col("rank").alias("their"))
         both = runs.withColumns({"at": F.col("seq") + F.col("n_lines"), "d2": F.col("rank.doc"), "p2": F.col("rank.print"), "a2": F.col("rank.seq") + F.col("n_lines")})
         both = both.join(after, ["doc", "print", "at"], "left").join(theirs, ["d2", "p2", "a2"], "left")
         more = F.when(F.col("own") == F.col("their"), depth).otherwise(0)
-        runs = stored(both.select(*place, "rank", (F.col("n_lines") + more).alias("n_lines")), "runs")
+        runs = stored(both.select(*_PLACE, "rank", (F.col("n_lines") + more).alias("n_lines")), "runs")
     above = runs.select("doc", "print", (F.col("seq") + 1).alias("seq"), F.struct(F.col("rank.doc").alias("doc"), F.col("rank.print").alias("print"), (F.col("rank.seq") + 1).alias("seq")).alias("rank"))
-    maximal = runs.join(above, [*place, "rank"], "left_anti")
-    return maximal.select("doc", "seq", "n_lines", F.col("rank.doc").alias("from_doc"), F.col("rank.seq").alias("from_seq"))
+    return runs.join(above, [*_PLACE, "rank"], "left_anti")
+
+
+def repeated_runs(docs: DataFrame, min_lines: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Maximal runs of at least `min_lines` lines that begin earlier: doc, seq, n_lines, from_doc, from_seq
+    (line numbers count lines that are not blank). A run's source is the first place of the longest block,
+    by doublings, that starts with it; from there it is as long as both go on alike, and it is not part of
+    a run from one line above with the source one line above. Otherwise as repeated_lines.
+    """
+    runs = _maximal(_single(_lines(docs, key, text)), min_lines)
+    return runs.select("doc", "seq", "n_lines", F.col("rank.doc").alias("from_doc"), F.col("rank.seq").alias("from_seq"))
 
 
 def repeated_lines(docs: DataFrame, min_lines: int = 2, min_chars: int = 40, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -101,13 +102,13 @@ def repeated_lines(docs: DataFrame, min_lines: int = 2, min_chars: int = 40, key
     if min_lines < 1:
         raise ValueError("min_lines must be at least 1")
     ranks = _single(_lines(docs, key, text), (F.char_length("line") >= min_chars).alias("long"))
-    gone = ranks.where("long").where(_place() > F.col("rank")).select(*_PLACE)
-    ranks, depth = ranks.drop("long"), 1
-    while depth < min_lines:
-        step = min(depth, min_lines - depth)
-        ranks, depth = _deeper(ranks, step), depth + step
-    runs = ranks.where(_place() > F.col("rank")).select("doc", "print", F.explode(F.sequence("seq", F.col("seq") + min_lines - 1)).alias("seq"))
-    return gone.unionByName(runs)
+    ones = ranks.where("long").where(_place() > F.col("rank")).select(*_PLACE, F.col("seq").alias("end"))
+    spans = _maximal(ranks.drop("long"), min_lines).select(*_PLACE, (F.col("seq") + F.col("n_lines") - 1).alias("end")).unionByName(ones)
+    # Runs of a document may overlap, in a text of equal lines each with each: of every run, what those that
+    # begin before it do not reach.
+    before = Window.partitionBy("doc", "print").orderBy("seq", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("seq", F.greatest("seq", F.coalesce(F.max("end").over(before) + 1, "seq"))).where("seq <= end")
+    return spans.select("doc", "print", F.explode(F.sequence("seq", "end")).alias("seq"))
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = 2, min_chars: int = 40, key: str = "doc_id", text: str = "text") -> DataFrame:
