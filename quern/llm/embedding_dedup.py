@@ -110,16 +110,19 @@ def near_duplicate_embeddings(vectors: DataFrame, threshold: float = 0.93, tile:
     Vectors are compared if their labels are equal and not null, by cosine in double precision; pairs
     at or above `threshold` are linked. A vector that is null, empty, zero, or holds a null or a
     non-finite component links with nothing, and is its own component; so do vectors of unlike
-    lengths among themselves. Rows with equal labels and components link with each other. `key` is
-    to be unique and not null: rows that repeat an id are compared as rows of that id. Other columns are not read. An empty table
-    gives an empty one.
+    lengths among themselves. Rows with equal labels and components link with each other (they are told by
+    two 64-bit hashes). A row with a null id links with nothing, has no component and is kept; rows that repeat
+    an id are compared as rows of that id. Other columns are not read. An empty table gives an empty one.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"), F.col(label).alias("label"))
+    kind = vectors.schema[embedding].dataType
+    # Single-precision components travel as they are; everything else as double.
+    own = F.col(embedding) if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else F.col(embedding).cast("array<double>")
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), own.alias("embedding"), F.col(label).alias("label"))
+    rows = rows.withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(7), "embedding")})
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     sound = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
-    classes = rows.where(sound).groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
-    classes = stored(classes.withColumn("size", F.size("embedding")), "vectors")
+    classes = rows.where(sound).groupBy("label", "h1", "h2", F.size("embedding").alias("size")).agg(F.min_by("embedding", "vec_id").alias("embedding"), F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
+    classes = stored(classes, "vectors")
     sizes = classes.groupBy("label", "size").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"))
     dealt = classes.join(F.broadcast(sizes) if sizes.limit(10_001).count() <= 10_000 else sizes, ["label", "size"]).withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int"))
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -129,6 +132,7 @@ def near_duplicate_embeddings(vectors: DataFrame, threshold: float = 0.93, tile:
     found = components(met.select(F.col("vec_id").alias("a"), F.col("reached").alias("b")))
     links = met.groupBy("vec_id").agg(F.sum("links").alias("links"))
     per_class = classes.join(links, "vec_id", "left").join(found, classes["vec_id"] == found["id"], "left")
-    per_class = per_class.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    answer = rows.join(per_class, ["label", "embedding"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return answer.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    per_class = per_class.select("label", "h1", "h2", "size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    asked = rows.select("vec_id", *(F.when(sound, F.col(c)).alias(c) for c in ("label", "h1", "h2")), F.size("embedding").alias("size"))
+    answer = asked.join(per_class, ["label", "h1", "h2", "size"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return answer.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

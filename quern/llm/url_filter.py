@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.shared import fresh, stored
 
-#: Listed keys of one verdict that a literal may hold: at 2.2 bytes a key and level, under 32 MB.
+#: Listed keys that one cascade holds: at 2.2 bytes a key and level, under 32 MB. Longer lists are dealt to several
+#: cascades by a hash of the key.
 MAX_LISTED = 4_000_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -86,17 +87,22 @@ def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.transform(F.array_sort(pairs), lambda x: x["key"])
 
 
+def pack_bits(size: int, places: list[int], values: list[int]) -> bytes:
+    bits = bytearray(size)
+    for place, value in zip(places, values, strict=True):
+        bits[place] = value
+    return bytes(bits)
+
+
 def _level(keys: DataFrame, count: int, share: float, seed: int) -> Level:
     """A Bloom filter of `count` keys that takes about `share` of other keys. Its bits come to the
     driver by bytes, n_bits / 8 rows at most."""
     n_hashes = max(1, round(math.log2(1 / share)))
     n_bits = max(64, 8 * math.ceil(1.45 * count * n_hashes / 8))
     at = F.explode(F.array(*[F.pmod(F.xxhash64(F.col("key"), F.lit(seed + j)), F.lit(n_bits)) for j in range(n_hashes)]))
-    rows = keys.select(at.alias("at")).groupBy((F.col("at") / 8).cast("int").alias("byte")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("at") % 8).cast("int"))).alias("bits")).collect()
-    bits = bytearray(n_bits // 8)
-    for byte, value in rows:
-        bits[byte] = value
-    return Level(bytes(bits), n_bits, n_hashes, seed)
+    rows = keys.select(at.alias("at")).groupBy((F.col("at") / 8).cast("int").alias("byte")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("at") % 8).cast("int"))).alias("bits")).toArrow()
+    bits = pack_bits(n_bits // 8, rows.column(0).to_pylist(), rows.column(1).to_pylist())
+    return Level(bits, n_bits, n_hashes, seed)
 
 
 @dataclass(frozen=True)
@@ -112,14 +118,39 @@ class Cascade:
         return inside
 
 
+@dataclass(frozen=True)
+class Cascades:
+    """A list's keys, dealt to cascades by a hash."""
+
+    parts: tuple[Cascade, ...]
+
+    def has(self, key: Column) -> Column:
+        if len(self.parts) == 1:
+            return self.parts[0].has(key)
+        part, inside = part_of(key, len(self.parts)), F.lit(False)
+        for i, own in enumerate(self.parts):
+            inside = F.when(part == i, own.has(key)).otherwise(inside)
+        return inside
+
+
+def part_of(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(parts))
+
+
+def build_cascades(listed: DataFrame, universe: DataFrame, n_universe: int, most: int = MAX_LISTED) -> Cascades:
+    """Cascades of `most` listed keys each, about, otherwise as build_cascade."""
+    parts = max(1, -(-listed.count() // most))
+    if parts == 1:
+        return Cascades((build_cascade(listed, universe, n_universe),))
+    return Cascades(tuple(build_cascade(listed.where(part_of(F.col("key"), parts) == i), universe.where(part_of(F.col("key"), parts) == i), n_universe // parts + 1) for i in range(parts)))
+
+
 def build_cascade(listed: DataFrame, universe: DataFrame, n_universe: int) -> Cascade:
     """Cascade of the distinct ``key`` in `listed`, exact over `universe` (column ``key``; rows may
-    repeat, listed keys may be among them). `listed` is bounded by MAX_LISTED. An empty list gives no
-    level: nothing is a member. Null keys are left out on both sides."""
+    repeat, listed keys may be among them). An empty list gives no level: nothing is a member. Null keys are
+    left out on both sides."""
     listed = listed.where(F.col("key").isNotNull()).select("key").distinct()
     n = listed.count()
-    if n > MAX_LISTED:
-        raise ValueError(f"{n} listed keys; a cascade holds {MAX_LISTED}")
     if not n:
         return Cascade(())
     levels = [_level(listed, n, min(0.5, n / max(n_universe, 1)), 1000)]
@@ -157,7 +188,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url
         listed = [(key,) for key, v in verdicts.items() if v == verdict]
         others = [(key,) for key, v in verdicts.items() if v != verdict]
         also = spark.createDataFrame(others, "key string") if others else None
-        cascades[verdict] = build_cascade(spark.createDataFrame(listed, "key string"), universe.unionByName(also) if also else universe, n_universe + len(others))
+        cascades[verdict] = build_cascades(spark.createDataFrame(listed, "key string"), universe.unionByName(also) if also else universe, n_universe + len(others))
 
     def verdict_of(key: Column) -> Column:
         found = none
