@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.shared import entering, release
+
 #: Least characters of an item; edits allowed, as a share of the item's length.
 LEAST, MAX_EDITS = 10, 0.15
 #: Lengths of the substrings of items under LONG characters and of others; bits of their hashes at most.
@@ -188,6 +190,7 @@ def _found(batches: Iterator[pa.RecordBatch], index: Index, share: float, chunk:
         rows = index.matches(texts, share)
         return pa.record_batch([pa.array([ids[d] for d, _, _ in rows], pa.int64()), pa.array([index.items[k][0] for _, k, _ in rows], pa.int64()), pa.array([e for _, _, e in rows], pa.int64()), pa.array([len(index.items[k][1]) for _, k, _ in rows], pa.int64())], ["doc_id", "item_id", "edits", "n_chars"])
 
+    entering("items")
     for batch in batches:
         ids, texts, size = [], [], 0
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -199,6 +202,7 @@ def _found(batches: Iterator[pa.RecordBatch], index: Index, share: float, chunk:
                 ids, texts, size = [], [], 0
         if texts:
             yield out(ids, texts)
+    release()
 
 
 def _indexes(items: DataFrame, key: str, text: str) -> Iterator[Index]:
@@ -228,11 +232,13 @@ def find_items(docs: DataFrame, items: DataFrame, share: float = MAX_EDITS, key:
 
 
 def _clean(batches: Iterator[pa.RecordBatch], index: Index, share: float, at: int) -> Iterator[pa.RecordBatch]:
+    entering("items")
     for batch in batches:
         for a in range(0, len(batch), 128):
             part = batch.slice(a, 128)
             held = {d for d, _, _ in index.matches([normalise(t) for t in part.column(at).to_pylist()], share)}
             yield part.filter(pa.array([i not in held for i in range(len(part))], pa.bool_()))
+    release()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, share: float = MAX_EDITS, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quern.llm.shared import release, shared_path, stored
+from quern.llm.shared import entering, release, shared_path, stored
 
 _SENT = "bucket int, split int, n long, total long, keys binary, values binary"
 _SENT_ARROW = pa.schema([("bucket", pa.int32()), ("split", pa.int32()), ("n", pa.int64()), ("total", pa.int64()), ("keys", pa.binary()), ("values", pa.binary())])
@@ -70,6 +70,7 @@ def _total(keys: np.ndarray) -> int:
 
 
 def _send(batches: Iterator[pa.RecordBatch], ask: Callable, n_buckets: int, bits: int) -> Iterator[pa.RecordBatch]:
+    entering("exchange")
     split = TaskContext.get().partitionId()
     keys, values = ask(batches)
     release()

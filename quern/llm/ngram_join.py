@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.components import components
 from quern.llm.exchange import answers, exchange, merged, splits_of
-from quern.llm.shared import release, stored
+from quern.llm.shared import entering, release, stored
 from quern.llm.shingles import mix, shingle_set
 
 #: Cells that counts are kept by; groups of the count vectors, of those of tiles' boxes; most points and
@@ -100,6 +100,7 @@ _POINT = "doc_id long, n long, d1 long, d2 long, tokens array<long>, point array
 
 
 def _points(batches: Iterator[pa.RecordBatch], folder: str, width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    entering("ngrams")
     ids, sets = [], []
     for batch in batches:
         ids += batch.column(0).to_pylist()

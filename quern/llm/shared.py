@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Settings for texts of some kilobytes, where the session has none: rows that a Python worker gets at a time.
+SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder that the driver and every executor see.
 
@@ -20,6 +24,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     all tasks run in the driver's process (tests) is a temporary folder taken, and set for the context; on a
     cluster that raises ValueError, since executors would not see it.
     """
+    for name, value in SETTINGS.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if root:
@@ -67,15 +74,20 @@ def fresh(df: DataFrame, wanted: str) -> str:
 _resident: dict[tuple[str, str], tuple[Hashable, Any]] = {}
 
 
+def entering(use: str) -> None:
+    """Lets go of what a worker keeps for other uses."""
+    if any(other != use for other, _ in _resident):
+        _resident.clear()
+        release()
+
+
 def resident(use: str, name: str, key: Hashable, make: Callable[[], Any]) -> Any:
     """A large object that a Python worker keeps from task to task, one for each name. The objects of one use
     stay together; another use takes their place, so that what one stage needed does not weigh on the next."""
     if (held := _resident.get((use, name))) and held[0] == key:
         return held[1]
     _resident.pop((use, name), None)
-    if any(other != use for other, _ in _resident):
-        _resident.clear()
-        release()
+    entering(use)
     _resident[use, name] = key, make()
     return _resident[use, name][1]
 

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -285,12 +286,15 @@ def fit(examples: DataFrame, corpus: DataFrame, text: str = "text") -> Packed:
             yield pa.record_batch([batch.column(0), batch.column(2), *(pa.array([m[i].astype(np.int32).tobytes() for m in made], pa.binary()) for i in (0, 1))], ["doc_id", "toxic", "columns", "counts"])
 
     rows = chosen.select("doc_id", text, "toxic").mapInArrow(vectors, "doc_id long, toxic double, columns binary, counts binary").where("length(columns) > 0").toArrow()  # MAX_EXAMPLES at most
-    columns, counts = rows.column("columns").to_pylist(), rows.column("counts").to_pylist()
-    ids, labels = rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy()
-    order = np.lexsort((ids, [len(c) for c in columns])).tolist()
-    starts = np.concatenate([[0], np.cumsum([len(columns[i]) // 4 for i in order])]).astype(np.int64)
-    every, often = (np.frombuffer(b"".join([x[i] for i in order]), np.int32) for x in (columns, counts))
-    return Packed(words, idf, starts, _planes(every), often, ids[order], labels[order], float(toxic) / n if n else 0.0)
+    # Shorter ones first; taken in Arrow, for the driver's sake.
+    order = np.lexsort((rows.column("doc_id").to_numpy(), pc.binary_length(rows.column("columns")).to_numpy()))
+    rows = rows.take(order).combine_chunks()
+    starts = np.concatenate([[0], np.cumsum(pc.binary_length(rows.column("columns")).to_numpy() // 4)]).astype(np.int64)
+    every, often = (np.frombuffer(b"".join(c.buffers()[2] for c in rows.column(x).chunks if c.buffers()[2]), np.int32)[: starts[-1]] for x in ("columns", "counts"))
+    packed = Packed(words, idf, starts, _planes(every), often, rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy(), float(toxic) / n if n else 0.0)
+    del rows, every, often
+    release()
+    return packed
 
 
 def _scored(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
