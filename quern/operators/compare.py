@@ -69,7 +69,7 @@ def compare(previews: DataFrame, known: DataFrame, keys: list[str], order: list[
     n-th serves the n-th (by `order`), and beyond them the match is ambiguous.
 
     Results: source_file_not_found, source_routine_not_found, ambiguous_source_routine,
-    semantic_rules_incomplete, verified (basis normalized_equality or safe_canonicalization),
+    semantic_rules_incomplete, verified (basis normalized_equality or safe_semantic_canonicalization),
     normalized_body_mismatch.
     """
     mine = prepared(previews, [*keys, *[o for o in order if o not in keys]])
@@ -92,7 +92,7 @@ def compare(previews: DataFrame, known: DataFrame, keys: list[str], order: list[
         .when((F.col("_c.body") == F.col("body")) | (F.col("_c.s_canonical") == F.col("canonical")), "verified")
         .otherwise("normalized_body_mismatch")
     )
-    basis = F.when(F.col("_c.body") == F.col("body"), "normalized_equality").otherwise("safe_canonicalization")
+    basis = F.when(F.col("_c.body") == F.col("body"), "normalized_equality").otherwise("safe_semantic_canonicalization")
     return both.select(*keys, result.alias("result"), F.when(result == "verified", basis).alias("basis"), F.col("_c.source_reference").alias("source_reference"))
 
 
@@ -102,9 +102,11 @@ def oracle_constructs(previews: DataFrame, manifest: DataFrame, keys: list[str])
     a preview, the one with the smallest oracle_id holds."""
     at = lambda c: ascii_lower(F.col(c))
     wanted = manifest.groupBy(at("entry_name").alias("_e"), at("signature").alias("_s")).agg(F.min(F.struct("oracle_id", "fragments")).alias("_m"))
-    text = F.regexp_replace(F.lower(F.array_join("statements", "\n")), r"\s+", "")
+    # White space goes outside strings only.
+    bare = lambda text: F.regexp_replace(F.lower(text), r'("[^"]*")|\s+', "$1")
+    text = bare(F.array_join("statements", "\n"))
     found = previews.withColumns({"_e": at("entry_name"), "_s": at("signature"), "_t": text}).join(wanted, ["_e", "_s"])
-    held = F.forall("_m.fragments", lambda f: F.contains(F.col("_t"), F.regexp_replace(F.lower(f), r"\s+", "")))
+    held = F.forall("_m.fragments", lambda f: F.contains(F.col("_t"), bare(f)))
     return found.select(*keys, F.col("_m.oracle_id").alias("oracle_id"), held.alias("verified"))
 
 

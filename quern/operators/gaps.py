@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.mismatches import shape
 from quern.operators.relational import first_per_group, percent, top_per_group
 
 
@@ -88,9 +89,8 @@ def gap_changes(old: DataFrame, new: DataFrame, direct: list[int]) -> DataFrame:
 
 
 def statement_kinds(statements: str) -> Column:
-    """Counts of control statements in an array column: if, else, endif, choose, goto."""
-    count = lambda pattern: F.size(F.filter(statements, lambda s: s.rlike(pattern)))
-    return F.struct(*[count(p).alias(n) for n, p in (("ifs", "^if"), ("elses", "^else"), ("endifs", "^end ?if"), ("chooses", "^choose"), ("gotos", "goto"))])
+    """Counts of control statements in an array column: ifs, elses, endifs, chooses, gotos."""
+    return shape(F.transform(F.col(statements), lambda s: F.regexp_replace(F.lower(s), r"\s+", "")))
 
 
 def nested_report(instructions: DataFrame) -> DataFrame:

@@ -25,45 +25,113 @@ KINDS = [
     ("call_or_event", r"\(|\bevent\b|^call"),
     ("declaration", r"^[a-z_][a-z0-9_]*(\[\])?[a-z_][a-z0-9_]*(\[.*\])?$"),
 ]
+SHAPE = [("ifs", r"^(if|elseif).+then$"), ("elses", r"^else$|^elseif"), ("endifs", r"^endif$"), ("chooses", r"^(choosecase|case|endchoose)"), ("gotos", r"goto")]
+# Classes of open opcodes, by mnemonic, and of differing functions, by the fields named. A class
+# may have several rows; a test says whether its pattern is to be found. Case does not matter.
 OLD_FAMILIES = [
-    ("sql_and_embedded_sql", r"^DB|^(ENTER|EXIT)_EMBEDDED$"),
-    ("exception_handling", r"^(THROW_EXCEPTION|POP_TRY)$"),
+    ("sql_and_embedded_sql", r"^DB"),
+    ("sql_and_embedded_sql", r"^ENTER_EMBEDDED$"),
+    ("sql_and_embedded_sql", r"^EXIT_EMBEDDED$"),
+    ("exception_handling", r"^THROW_EXCEPTION$"),
+    ("exception_handling", r"^POP_TRY$"),
     ("typed_numeric_constants", r"^PUSH_CONST_(DEC|DOUBLE)$"),
     ("call_protocol", r"^(CLASS_CALL|DOTFUNCCALL|FREE_INV_METH_ARGS)"),
-    ("numeric_and_compound_operations", r"^(INCR_|ADDASSIGN_|MOD_)|^INT$"),
-    ("lvalue_array_and_creation", r"^(DUP_STACKED_LVALUE|ARRAY_BOUND_INFO|CREATE_USING)$"),
+    ("numeric_and_compound_operations", r"^(INCR_|ADDASSIGN_|MOD_)"),
+    ("numeric_and_compound_operations", r"^INT$"),
+    ("lvalue_array_and_creation", r"^DUP_STACKED_LVALUE$"),
+    ("lvalue_array_and_creation", r"^ARRAY_BOUND_INFO$"),
+    ("lvalue_array_and_creation", r"^CREATE_USING$"),
     ("unknown_pb2022_opcode", r"^PB2022_OP_"),
 ]
+_DECLARED = (("source", DECLARATION, True), ("rebuilt", DECLARATION, True))
+FIRST_FAMILIES = [
+    ("implicit_this_event_receiver", (("source", r"^triggerevent\(this,", True), ("rebuilt", r"^triggerevent\(", True))),
+    ("event_return_scaffolding", (("rebuilt", r"ancestorreturnvalue|^n_msg(?:::)?message$", True),)),
+    ("event_return_scaffolding", (("rebuilt_only", r"ancestorreturnvalue|::message\.returnvalue", True), ("source", r"^(callsuper::|call[a-z0-9_]+::)", True))),
+    ("choose_case_lowering", (("rebuilt", "\u0001case", True),)),
+    ("choose_case_lowering", (("source", r"^choosecase", True),)),
+    ("structured_if_not_recovered", (("source", r"^if", True), ("rebuilt", r"^if", True), ("every_rebuilt", r"\bgoto", True))),
+    ("compiled_symbol_resolution_boundary", (("source", r"\b(invo_constants|lnvo_constants)\.", True), ("rebuilt", r"\d", True))),
+    ("compiled_symbol_resolution_boundary", (("source", r"^return[a-z_][a-z0-9_]*$", True), ("rebuilt", r"^return-?\d+$", True))),
+    ("compiled_symbol_resolution_boundary", (("source", r"\bcst_[a-z0-9_]+", True), ("rebuilt", r"\d", True))),
+    ("compiled_symbol_resolution_boundary", (("source", r"is_msgsrc=(database|file)then", True), ("rebuilt", r'="(database|file)"then', True))),
+    ("source_initializer_not_preserved", (*_DECLARED, ("source", r"=", True), ("rebuilt", r"=", False))),
+    ("array_or_grouped_declaration_form", (*_DECLARED, ("source", r",", True))),
+    ("array_or_grouped_declaration_form", (*_DECLARED, ("source", r"\[\]", True), ("rebuilt", r"\[\]", False))),
+    ("array_marker_not_preserved", (("source", r"\[\]", True), ("rebuilt", r"\[\]", False))),
+    ("array_marker_not_preserved", (("source", r"item\[\]", True), ("rebuilt", r"^item=", True))),
+    ("compiled_accessor_not_collapsed", (("rebuilt", r"__get_attribute_item|getclassdefinition\(\)|getis(userdefined|systemtype)|getsystemfunction", True),)),
+    ("receiver_qualification_or_member_mapping", (("rebuilt", r"\bparent\.", True), ("source", r"\bparent\.", False))),
+    ("source_super_call_absent_from_pcode", (("source", r"^callsuper::", True), ("rebuilt", r"^returnof_", True))),
+    ("ancestor_dispatch_spelling", (("source", r"^call[a-z0-9_]+::", True), ("rebuilt", r"^callsuper::", True))),
+    ("ancestor_dispatch_spelling", (("source", r"^callsuper::", True), ("rebuilt", r"^callsuper::", True))),
+    ("compiler_temporary_or_declaration_placement", (("rebuilt", DECLARATION, True),)),
+    ("powerbuilder_quote_escape_equivalence", (("sizes", r"^0 0$", True),)),
+    ("extra_or_missing_statement", (("sides", r"^both$", False),)),
+    ("return_expression_mapping", (("source", r"^return", True), ("rebuilt", r"^return", True))),
+    ("other_control_flow_mismatch", (("source", r"^if", True),)),
+    ("other_control_flow_mismatch", (("source", r"^(else|endif|for|do|loop|choosecase|case)", True),)),
+    ("call_or_receiver_mapping", (("source", r"\(", True),)),
+    ("call_or_receiver_mapping", (("rebuilt", r"\(", True),)),
+]
+ROOT_CAUSES = [
+    ("single_quote_literal_normalization", (("sizes", r"^0 0$", True),)),
+    ("datawindow_attribute_lowering", (("rebuilt_only", r"__get_attribute_item", True),)),
+    ("classdefinition_accessor_mapping", (("rebuilt_only", r"getclassdefinition\(\)", True),)),
+    ("compiler_scaffolding_not_collapsed", (("rebuilt_only", r"ancestorreturnvalue", True),)),
+    ("symbolic_constant_elided", (("source_only", r"invo_constants\.color_", True),)),
+    ("symbolic_constant_elided", (("source_only", r"cst_filetype_(reg|ini|xml)", True),)),
+    ("symbolic_constant_elided", (("source_only", r"=database", True), ("rebuilt_only", r'="(database|file)"', True))),
+    ("symbolic_constant_elided", (("source_only", r"=file", True), ("rebuilt_only", r'="(database|file)"', True))),
+    ("source_construct_optimized_away", (("source_only", r"^(long|boolean)[a-z0-9_]+=(0|false)( \|\| |$)", True), ("sizes", r" 0$", False))),
+    ("source_construct_optimized_away", (("source_only", r"^callsuper::", True), ("sizes", r" 0$", True))),
+    ("inline_if_vs_block_form", (("residual", r"^true$", True), ("source_lines", r"(?m)^if.+then.+", True))),
+    ("equivalent_expression_spelling", (("primary_family", r"^condition_expression$", True),)),
+    ("grouped_vs_split_declaration", (("source_only", r"^[a-z_][a-z0-9_]+[a-z_][a-z0-9_]+,[a-z_][a-z0-9_]+$", True),)),
+]
+BLOCKERS = [
+    ("resolved_by_safe_form_canonicalization", (("same_loose", r"^true$", True),)),
+    ("symbolic_constant_elided", (("root_cause", r"^symbolic_constant_elided$", True),)),
+    ("symbolic_constant_elided", (("source_only", r"(\bcache_id\b|\bis_pfckey\b|returnfailure)", True), ("rebuilt_only", r'("pfc listview"|"pfc_lvi_key"|-1)', True))),
+]
+#: Which kind names a function that differs in several.
+MIXED = [("assignment", "mixed_with_assignment"), ("call_or_event", "mixed_with_call_or_event"), ("return_expression", "mixed_with_return")]
+
+
+def _first(rules: list[tuple[str, Column]], default: str | Column) -> Column:
+    """The name of the first rule that holds."""
+    return F.coalesce(*[F.when(F.coalesce(holds, F.lit(False)), F.lit(name)) for name, holds in rules], F.lit(default) if isinstance(default, str) else default)
 
 
-def _first(rules: list[tuple[str, Column]], default: str) -> Column:
-    return reduce(lambda rest, r: F.when(F.coalesce(r[1], F.lit(False)), r[0]).otherwise(rest), reversed(rules), F.lit(default))
+def _class(table: list, fields: dict[str, Column], default: str | Column) -> Column:
+    """The class of the first row of `table` whose tests all hold; null fields are empty texts."""
+    found = lambda field, pattern: F.coalesce(fields[field].cast("string"), F.lit("")).rlike("(?i)" + pattern)
+    return _first([(name, reduce(lambda x, y: x & y, [found(f, p) == F.lit(wanted) for f, p, wanted in tests])) for name, tests in table], default)
 
 
 def is_declaration(statement: Column) -> Column:
-    return statement.rlike(DECLARATION)
+    return statement.rlike("(?i)" + DECLARATION)
 
 
 def control_statements(statements: Column) -> Column:
-    return F.filter(statements, lambda s: s.rlike(CONTROL))
+    return F.filter(statements, lambda s: s.rlike("(?i)" + CONTROL))
 
 
 def kinds(statements: Column) -> Column:
     """Sorted distinct kinds of statements."""
-    return F.array_sort(F.array_distinct(F.transform(statements, lambda s: _first([(k, s.rlike(p)) for k, p in KINDS], "other_statement"))))
+    return F.array_sort(F.array_distinct(F.transform(statements, lambda s: _first([(k, s.rlike("(?i)" + p)) for k, p in KINDS], "other_statement"))))
 
 
 def shape(statements: Column) -> Column:
     """Counts of ifs, elses, endifs, choose markers and gotos."""
-    count = lambda p: F.size(F.filter(statements, lambda s: s.rlike(p)))
-    patterns = (("ifs", r"^(if|elseif).+then$"), ("elses", r"^else$|^elseif"), ("endifs", r"^endif$"), ("chooses", r"^(choosecase|case|endchoose)"), ("gotos", r"goto"))
-    return F.struct(*[count(p).alias(n) for n, p in patterns])
+    count = lambda p: F.size(F.filter(statements, lambda s: s.rlike("(?i)" + p)))
+    return F.struct(*[count(p).alias(n) for n, p in SHAPE])
 
 
 def old_family(mnemonic: Column, reason: Column) -> Column:
     """The older, coarser families of gaps."""
-    direct = reason.contains("semantic rule not implemented")
-    return _first([("dependent_stack_or_context_failure", ~direct), *[(f, mnemonic.rlike(p)) for f, p in OLD_FAMILIES]], "other_direct_semantic_gap")
+    dependent = ("dependent_stack_or_context_failure", (("reason", "semantic rule not implemented", False),))
+    return _class([dependent, *[(f, (("mnemonic", p, True),)) for f, p in OLD_FAMILIES]], {"mnemonic": mnemonic, "reason": reason}, "other_direct_semantic_gap")
 
 
 def loose_body(statements: Column) -> Column:
@@ -83,66 +151,43 @@ def loose_body(statements: Column) -> Column:
     return F.transform(F.flatten(F.transform(statements, expand)), plain)
 
 
+def first_difference(source: Column, rebuilt: Column) -> Column:
+    """The index of the first statement that differs, or the length of the shorter."""
+    same = F.transform(F.sequence(F.lit(1), F.least(F.size(source), F.size(rebuilt)) + 1), lambda n: F.slice(source, 1, n) == F.slice(rebuilt, 1, n))
+    return F.size(F.filter(same, lambda x: x))
+
+
+def _sizes() -> Column:
+    return F.concat_ws(" ", F.size("source_only"), F.size("rebuilt_only"))
+
+
 def first_family(rows: DataFrame) -> Column:
     """The class of the first statements that differ."""
-    at = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.least(F.size("source"), F.size("rebuilt")) + 1), lambda n: F.slice("source", 1, n) == F.slice("rebuilt", 1, n)), lambda same: same))
-    s, r = F.get("source", at), F.get("rebuilt", at)
-    s, r = F.when(at < F.size("source"), s), F.when(at < F.size("rebuilt"), r)
-    a, b = F.coalesce(s, F.lit("")), F.coalesce(r, F.lit(""))
-    only = F.array_join("rebuilt_only", " || ")
-    every = F.array_join("rebuilt", " || ")
-    both = is_declaration(a) & is_declaration(b)
-    rules = [
-        ("implicit_this_event_receiver", a.rlike(r"^triggerevent\(this,") & b.rlike(r"^triggerevent\(")),
-        ("event_return_scaffolding", b.rlike(r"ancestorreturnvalue|^n_msg(?:::)?message$") | (only.rlike(r"ancestorreturnvalue|::message\.returnvalue") & a.rlike(r"^(callsuper::|call[a-z0-9_]+::)"))),
-        ("choose_case_lowering", b.contains("\u0001case") | a.rlike(r"^choosecase")),
-        ("structured_if_not_recovered", a.rlike(r"^if") & b.rlike(r"^if") & every.rlike(r"\bgoto")),
-        ("compiled_symbol_resolution_boundary", (a.rlike(r"\b(invo_constants|lnvo_constants)\.") & b.rlike(r"\d")) | (a.rlike(r"^return[a-z_][a-z0-9_]*$") & b.rlike(r"^return-?\d+$")) | (a.rlike(r"\bcst_[a-z0-9_]+") & b.rlike(r"\d")) | (a.rlike(r"is_msgsrc=(database|file)then") & b.rlike(r'="(database|file)"then'))),
-        ("source_initializer_not_preserved", both & a.contains("=") & ~b.contains("=")),
-        ("array_or_grouped_declaration_form", both & (a.contains(",") | (a.contains("[]") & ~b.contains("[]")))),
-        ("array_marker_not_preserved", (a.contains("[]") & ~b.contains("[]")) | (a.contains("item[]") & b.rlike(r"^item="))),
-        ("compiled_accessor_not_collapsed", b.rlike(r"__get_attribute_item|getclassdefinition\(\)|getis(userdefined|systemtype)|getsystemfunction")),
-        ("receiver_qualification_or_member_mapping", b.rlike(r"\bparent\.") & ~a.rlike(r"\bparent\.")),
-        ("source_super_call_absent_from_pcode", a.rlike(r"^callsuper::") & b.rlike(r"^returnof_")),
-        ("ancestor_dispatch_spelling", a.rlike(r"^call(super|[a-z0-9_]+)::") & b.rlike(r"^callsuper::")),
-        ("compiler_temporary_or_declaration_placement", is_declaration(b)),
-        ("powerbuilder_quote_escape_equivalence", (F.size("source_only") == 0) & (F.size("rebuilt_only") == 0)),
-        ("extra_or_missing_statement", s.isNull() | r.isNull()),
-        ("return_expression_mapping", a.rlike(r"^return") & b.rlike(r"^return")),
-        ("other_control_flow_mismatch", a.rlike(r"^(if|else|endif|for|do|loop|choosecase|case)")),
-        ("call_or_receiver_mapping", a.contains("(") | b.contains("(")),
-    ]
-    return _first(rules, "other_statement_mapping")
+    at = first_difference(F.col("source"), F.col("rebuilt"))
+    own = {side: F.when(at < F.size(side), F.get(side, at)) for side in ("source", "rebuilt")}
+    fields = own | {
+        "rebuilt_only": F.array_join("rebuilt_only", " || "),
+        "every_rebuilt": F.array_join("rebuilt", " || "),
+        "sizes": _sizes(),
+        "sides": F.when(own["source"].isNotNull() & own["rebuilt"].isNotNull(), "both").otherwise("one"),
+    }
+    return _class(FIRST_FAMILIES, fields, "other_statement_mapping")
 
 
 def analyse(rows: DataFrame) -> DataFrame:
     """rows with first_family, kinds (of what differs), residual (control structures differ), primary
     family, root cause, and blocker (what is left if both loose forms are equal or not)."""
-    out = rows.withColumns({"first_family": first_family(rows), "kinds": kinds(F.concat("source_only", "rebuilt_only")), "_s": shape(F.col("source")), "_r": shape(F.col("rebuilt")), "same_loose": loose_body(F.col("source")) == loose_body(F.col("rebuilt"))})
-    differs = reduce(lambda x, y: x | y, [F.col(f"_s.{n}") != F.col(f"_r.{n}") for n in ("ifs", "elses", "endifs", "chooses")])
-    out = out.withColumn("residual", differs | (F.col("_r.gotos") > 0))
+    source, rebuilt = shape(F.col("source")), shape(F.col("rebuilt"))
+    unlike = reduce(lambda x, y: x | y, [source[n] != rebuilt[n] for n, _ in SHAPE if n != "gotos"])
+    out = rows.withColumns({"first_family": first_family(rows), "kinds": kinds(F.concat("source_only", "rebuilt_only")), "same_loose": loose_body(F.col("source")) == loose_body(F.col("rebuilt")), "residual": unlike | (rebuilt["gotos"] > 0)})
     has = lambda k: F.array_contains("kinds", k)
-    primary = F.when(F.col("residual"), "residual_control_flow").when(has("condition_expression"), "condition_expression").when(F.size("kinds") == 1, F.get("kinds", F.lit(0)))
-    primary = primary.when(has("assignment"), "mixed_with_assignment").when(has("call_or_event"), "mixed_with_call_or_event").when(has("return_expression"), "mixed_with_return").otherwise("mixed_or_other")
-    out = out.withColumn("primary_family", primary)
-    s, r = F.array_join("source_only", " || "), F.array_join("rebuilt_only", " || ")
-    ns, nr = F.size("source_only"), F.size("rebuilt_only")
-    literal = s.rlike(r"=database|=file") & r.rlike(r'="(database|file)"')
-    causes = [
-        ("single_quote_literal_normalization", (ns == 0) & (nr == 0)),
-        ("datawindow_attribute_lowering", r.contains("__get_attribute_item")),
-        ("classdefinition_accessor_mapping", r.contains("getclassdefinition()")),
-        ("compiler_scaffolding_not_collapsed", r.contains("ancestorreturnvalue")),
-        ("symbolic_constant_elided", s.rlike(r"invo_constants\.color_|cst_filetype_(reg|ini|xml)") | literal),
-        ("source_construct_optimized_away", (s.rlike(r"^(long|boolean)[a-z0-9_]+=(0|false)( \|\| |$)") & (nr > 0)) | (s.rlike(r"^callsuper::") & (nr == 0))),
-        ("inline_if_vs_block_form", F.col("residual") & F.exists("source_only", lambda x: x.rlike(r"^if.+then.+"))),
-        ("equivalent_expression_spelling", F.col("primary_family") == "condition_expression"),
-        ("grouped_vs_split_declaration", s.rlike(r"^[a-z_][a-z0-9_]+[a-z_][a-z0-9_]+,[a-z_][a-z0-9_]+$")),
-    ]
-    out = out.withColumn("root_cause", _first(causes, "unclassified"))
-    elided = (F.col("root_cause") == "symbolic_constant_elided") | (s.rlike(r"(\bcache_id\b|\bis_pfckey\b|returnfailure)") & r.rlike(r'("pfc listview"|"pfc_lvi_key"|-1)'))
-    blocker = F.when(F.col("same_loose"), "resolved_by_safe_form_canonicalization").when(elided, "symbolic_constant_elided").otherwise(F.col("root_cause"))
-    return out.withColumn("blocker", blocker).drop("_s", "_r")
+    only = F.when(F.size("kinds") == 1, F.get("kinds", F.lit(0)))
+    mixed = _first([(name, has(kind)) for kind, name in MIXED], "mixed_or_other")
+    out = out.withColumn("primary_family", _first([("residual_control_flow", F.col("residual")), ("condition_expression", has("condition_expression"))], F.coalesce(only, mixed)))
+    joined = {c: F.array_join(c, " || ") for c in ("source_only", "rebuilt_only")}
+    fields = joined | {"sizes": _sizes(), "residual": F.col("residual"), "source_lines": F.array_join("source_only", "\n"), "primary_family": F.col("primary_family")}
+    out = out.withColumn("root_cause", _class(ROOT_CAUSES, fields, "unclassified"))
+    return out.withColumn("blocker", _class(BLOCKERS, joined | {"same_loose": F.col("same_loose"), "root_cause": F.col("root_cause")}, F.col("root_cause")))
 
 
 def counts(analysed: DataFrame, column: str) -> DataFrame:

@@ -78,7 +78,7 @@ def test_comparison(spark, tmp_path):
     previews = spark.createDataFrame(rows, "k long, entry_name string, signature string, statements array<string>, complete boolean")
     found = {r.k: (r.result, r.basis) for r in compare.compare(previews, known, ["k"], ["k"]).collect()}
     assert found[1] == ("verified", "normalized_equality") and found[2][0] == "normalized_body_mismatch" and found[3][0] == "ambiguous_source_routine"
-    assert found[4][0] == "source_file_not_found" and found[5] == ("verified", "safe_canonicalization") and found[6][0] == "source_routine_not_found" and found[7][0] == "source_routine_not_found"
+    assert found[4][0] == "source_file_not_found" and found[5] == ("verified", "safe_semantic_canonicalization") and found[6][0] == "source_routine_not_found" and found[7][0] == "source_routine_not_found"
     assert found[8][0] == "semantic_rules_incomplete"
     manifest = spark.createDataFrame([("o2", "W_main.win", "EVENT clicked()", ["beep (1)"]), ("o1", "w_main.win", "event clicked()", ["BEEP(1)"])], "oracle_id string, entry_name string, signature string, fragments array<string>")
     held = {r.k: (r.oracle_id, r.verified) for r in compare.oracle_constructs(previews, manifest, ["k"]).collect()}
