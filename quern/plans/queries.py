@@ -12,24 +12,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import relational as R
+from quern.streaming.events import totals
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+def registry():
+    """(queries, their SQL, a decorator that adds a query with its SQL)."""
+    queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    sqls: dict[str, str] = {}
 
+    def bound(sql: str | None = None):
+        def put(f):
+            queries[f.__name__] = f
+            if sql:
+                sqls[f.__name__] = sql
+            return f
 
-def bound(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
+        return put
 
-    return put
+    return queries, sqls, bound
+
+
+QUERIES, ORACLE_SQL, bound = registry()
 
 
 @bound("""
@@ -97,13 +104,14 @@ def sole_family(spark, sf_dir):
     return R.sole_family(_t(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag")
 
 
-@bound("""WITH pairs AS (SELECT DISTINCT l_returnflag AS family, l_linenumber, l_linestatus FROM lineitem WHERE l_quantity > 45),
-    known AS (SELECT l_linenumber, l_linestatus, l_orderkey FROM lineitem WHERE l_quantity < 3),
+@bound("""WITH pairs AS (SELECT DISTINCT l_returnflag AS family, l_linenumber, l_linestatus FROM lineitem),
+    known AS (SELECT (o_orderkey % 9)::INT AS l_linenumber, o_orderstatus AS l_linestatus, o_orderkey AS l_orderkey FROM orders),
     hits AS (SELECT family, count(*) AS known_rows, count(DISTINCT l_orderkey) AS known_functions FROM known JOIN pairs USING (l_linenumber, l_linestatus) GROUP BY family)
     SELECT family, count(*) AS pairs, coalesce(any_value(known_rows), 0) AS known_rows, coalesce(any_value(known_functions), 0) AS known_functions FROM pairs LEFT JOIN hits USING (family) GROUP BY family""")
 def exact_overlap(spark, sf_dir):
     lines = _t(spark, sf_dir, "lineitem")
-    return R.overlap(lines.where("l_quantity > 45").withColumnRenamed("l_returnflag", "family"), lines.where("l_quantity < 3"), "family", ["l_linenumber", "l_linestatus"], "l_orderkey")
+    known = _t(spark, sf_dir, "orders").select((F.col("o_orderkey") % 9).cast("int").alias("l_linenumber"), F.col("o_orderstatus").alias("l_linestatus"), F.col("o_orderkey").alias("l_orderkey"))
+    return R.overlap(lines.withColumnRenamed("l_returnflag", "family"), known, "family", ["l_linenumber", "l_linestatus"], "l_orderkey")
 
 
 @bound("""SELECT source, doc_id, n_chars, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 3""")
@@ -142,7 +150,7 @@ def fallback_lookup(spark, sf_dir):
 
 @bound("""WITH RECURSIVE e(c, p) AS (SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'r' || r_regionkey, 'root' FROM region UNION ALL SELECT 'root', NULL),
     up(node, ancestor, depth) AS (SELECT c, c, 0 FROM e UNION ALL SELECT node, p, depth + 1 FROM up JOIN e ON ancestor = c WHERE p IS NOT NULL),
-    m(owner, k, v) AS (SELECT 'root', 'a', 'base' UNION ALL SELECT 'r' || r_regionkey, 'a', r_name FROM region WHERE r_regionkey % 2 = 0 UNION ALL SELECT 'n' || n_nationkey, 'b', n_name FROM nation WHERE n_nationkey % 3 = 0)
+    m(owner, k, v) AS (SELECT 'root', 'a', 'base' UNION ALL SELECT 'r' || r_regionkey, 'a', r_name FROM region UNION ALL SELECT 'n' || n_nationkey, 'b', n_name FROM nation)
     SELECT node, k, min_by(v, depth) AS v, min(depth) AS depth FROM up JOIN m ON owner = ancestor GROUP BY node, k""")
 def inherited_lookup(spark, sf_dir):
     nation, region = _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "region")
@@ -150,7 +158,7 @@ def inherited_lookup(spark, sf_dir):
     own = F.concat(F.lit("r"), F.col("r_regionkey"))
     root = spark.range(1)
     edges = nation.select(n.alias("c"), r.alias("p")).union(region.select(own, F.lit("root"))).union(root.select(F.lit("root"), F.lit(None).cast("string")))
-    members = root.select(F.lit("root").alias("owner"), F.lit("a").alias("k"), F.lit("base").alias("v")).union(region.where("r_regionkey % 2 = 0").select(own, F.lit("a"), "r_name")).union(nation.where("n_nationkey % 3 = 0").select(n, F.lit("b"), "n_name"))
+    members = root.select(F.lit("root").alias("owner"), F.lit("a").alias("k"), F.lit("base").alias("v")).union(region.select(own, F.lit("a"), "r_name")).union(nation.select(n, F.lit("b"), "n_name"))
     return R.inherited(R.ancestors(edges, "c", "p"), members, "owner", "k", "v")
 
 
@@ -261,4 +269,4 @@ def report_nested(spark, sf_dir):
 
 @bound("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def event_projection(spark, sf_dir):
-    return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return totals(_t(spark, sf_dir, "events")).select("event_type", "n")

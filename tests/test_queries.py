@@ -3,12 +3,12 @@
 import duckdb
 import pytest
 
-from quern.plans import artifacts
+from quern.plans import artifacts, reports
 from quern.plans import queries as relational
 
 SF = "/root/testdata/sf0.001"
-QUERIES = {**relational.QUERIES, **artifacts.QUERIES}
-SQL = {**relational.ORACLE_SQL, **artifacts.ORACLE_SQL}
+QUERIES = {**relational.QUERIES, **reports.QUERIES, **artifacts.QUERIES}
+SQL = {**relational.ORACLE_SQL, **reports.ORACLE_SQL, **artifacts.ORACLE_SQL}
 
 
 def plain(v):
