@@ -76,12 +76,16 @@ def _send(batches: Iterator[pa.RecordBatch], ask: Callable, n_buckets: int, bits
     release()
     lows = _lows(n_buckets, bits)
     cuts = [*np.searchsorted(keys, lows).tolist(), len(keys)]
+    rows: list[tuple] = []
     for bucket in range(n_buckets):
         a, z = cuts[bucket], cuts[bucket + 1]
         if a < z:
             part = keys[a:z]
             gaps = np.concatenate([part[:1] - lows[bucket], np.diff(part)])
-            yield pa.RecordBatch.from_pylist([{"bucket": bucket, "split": split, "n": z - a, "total": _total(part), "keys": pack(gaps), "values": pack(values[a:z])}], _SENT_ARROW)
+            rows.append((bucket, split, z - a, _total(part), pack(gaps), pack(values[a:z])))
+        if rows and (len(rows) == 64 or bucket == n_buckets - 1):
+            yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _SENT_ARROW, strict=True)], schema=_SENT_ARROW)
+            rows = []
 
 
 def _answer(table: pa.Table, merge: Callable, n_buckets: int, bits: int) -> pa.Table:

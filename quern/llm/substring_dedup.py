@@ -38,7 +38,7 @@ _TOP = np.uint64(1 << 63)
 
 class Runs:
     """Runs of windows with one anchor in a piece of text: first window, number of windows, anchor's hash,
-    the run's hash, document (index in the split)."""
+    document (index in the split)."""
 
     def __init__(self, data: np.ndarray, owner: np.ndarray, base: int, depth: int):
         """owner: each byte's document in the split; base: the piece's first byte in the split."""
@@ -64,10 +64,13 @@ class Runs:
         count = np.diff(np.append(start, n))
         real = whole[start]
         self.start, self.count = start[real].astype(np.int32), count[real].astype(np.int32)
-        self.anchor = grams[where[self.start]]
+        # Anchors are the smallest hashes of many: mixed again, they are even over all numbers.
+        self.anchor = mix(grams[where[self.start]] * _FACTORS[3])
         self.doc = owner[self.start]
-        length = self.count.astype(np.int64) + depth - 1
-        self.hash = self._hashes(self.start, length, depth - GRAM)
+
+    def hash(self, chosen: np.ndarray) -> np.ndarray:
+        """The hashes of the chosen runs."""
+        return self._hashes(self.start[chosen], self.count[chosen].astype(np.int64) + self.depth - 1, self.depth - GRAM)
 
     def _hashes(self, at: np.ndarray, length: np.ndarray, more: int = 0) -> np.ndarray:
         """Hashes of the strings from `at`, `depth` bytes long and up to `more` longer: eight bytes at a time,
@@ -118,7 +121,7 @@ class Split:
             owner = np.searchsorted(self.ends, np.arange(a, z), side="right") if z - a < 256 else self._owners(a, z)
             runs = Runs(data[a:z], owner.astype(np.int32), a, self.depth)
             keep = self.named[runs.doc]
-            for name in ("start", "count", "anchor", "hash", "doc"):
+            for name in ("start", "count", "anchor", "doc"):
                 setattr(runs, name, getattr(runs, name)[keep])
             yield runs
 
@@ -187,14 +190,14 @@ def _shared(split: Split, anchors: str) -> Iterator[tuple[Runs, np.ndarray]]:
             yield runs, np.empty(0, int)
 
 
-def _run_keys(split: Split, anchors: str) -> tuple[np.ndarray, np.ndarray, list[tuple[Runs, np.ndarray]]]:
+def _run_keys(split: Split, anchors: str) -> tuple[np.ndarray, np.ndarray, list[tuple[Runs, np.ndarray, np.ndarray]]]:
     """Keys of the second digit: runs (leading bit 0) with their smallest document, anchors (leading bit
     1) with a print of their run, or 0 if they have several."""
-    pieces = list(_shared(split, anchors))
+    pieces = [(r, i, r.hash(i)) for r, i in _shared(split, anchors)]
     one = np.uint64(1)
-    hashes = _joined([r.hash[i] for r, i in pieces])
-    runs, low, _ = _smallest(hashes >> one, _joined([split.rank[r.doc[i]] for r, i in pieces], np.int32))
-    cells, least, most = _smallest(_joined([r.anchor[i] for r, i in pieces]) >> one | _TOP, hashes >> np.uint64(20) | one)
+    hashes = _joined([h for _, _, h in pieces])
+    runs, low, _ = _smallest(hashes >> one, _joined([split.rank[r.doc[i]] for r, i, _ in pieces], np.int32))
+    cells, least, most = _smallest(_joined([r.anchor[i] for r, i, _ in pieces]) >> one | _TOP, hashes >> np.uint64(20) | one)
     return np.concatenate([runs, cells]), np.concatenate([split.by_rank[low], np.where(least == most, least, np.uint64(0))]), pieces
 
 
@@ -230,8 +233,8 @@ def _edges(split: Split, anchors: str, runs_folder: str) -> Iterator[tuple[Runs,
     keys, values, pieces = _run_keys(split, anchors)
     answer = answers(runs_folder, keys)
     one = np.uint64(1)
-    for runs, chosen in pieces:
-        at = np.searchsorted(keys, runs.hash[chosen] >> one)
+    for runs, chosen, hashes in pieces:
+        at = np.searchsorted(keys, hashes >> one)
         gone = (answer[at] == 1) | (split.by_rank[split.rank[runs.doc[chosen]]] > values[at])
         several = answer[np.searchsorted(keys, runs.anchor[chosen] >> one | _TOP)] == 1
         yield runs, chosen[gone], chosen[~gone & several]
@@ -256,8 +259,10 @@ def _ask_windows(batches: Iterator[pa.RecordBatch], depth: int, anchors: str, ru
 def removed_bytes(split: Split, anchors: str, runs_folder: str, windows_folder: str) -> np.ndarray:
     """For each byte of the split's texts, whether it goes."""
     keys, low, found = _window_keys(split, anchors, runs_folder)
+    release()
     answer = answers(windows_folder, keys)
-    change = np.zeros(len(split.text) + 1, np.int32)
+    # A byte begins or ends one run and one window at most.
+    change = np.zeros(len(split.text) + 1, np.int8)
     for begin, end, at, value, rank in found:
         np.add.at(change, begin, 1)
         np.add.at(change, end, -1)
@@ -266,7 +271,11 @@ def removed_bytes(split: Split, anchors: str, runs_folder: str, windows_folder:
             at = at[(answer[k] == 1) | (rank > low[k])]
             np.add.at(change, at, 1)
             np.add.at(change, at + split.depth, -1)
-    return np.cumsum(change[:-1]) > 0
+    gone, depth = np.empty(len(split.text), bool), 0
+    for a in range(0, len(gone), PIECE):
+        inside = np.cumsum(change[a : min(a + PIECE, len(gone))], dtype=np.int32) + depth
+        gone[a : a + PIECE], depth = inside > 0, int(inside[-1])
+    return gone
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch], depth: int, anchors: str, runs_folder: str, windows_folder: str, text: bool) -> Iterator[pa.RecordBatch]:
