@@ -159,12 +159,31 @@ class _Dictionary(dict):
         self.starts.append(len(self.ids))
         return out
 
-    def of(self, words: list[str]) -> list[int]:
+    def of(self, words: list[str]) -> np.ndarray:
         """The ids of a text, by the positions of its words."""
         at = np.array([self[w] for w in words], np.int64)
         starts, ids = np.frombuffer(self.starts, np.int64), np.frombuffer(self.ids, np.uint32)
         many = starts[at + 1] - starts[at]
-        return ids[np.arange(int(many.sum())) + np.repeat(starts[at] - (np.cumsum(many) - many), many)].tolist() if len(at) else []
+        return ids[np.arange(int(many.sum())) + np.repeat(starts[at] - (np.cumsum(many) - many), many)]
+
+
+class _Written:
+    """What each id stands for in a joined text, with a space behind it: id by id, and in a table of WIDE bytes an
+    entry, zeros behind the shorter ones, for texts without a longer one."""
+
+    WIDE = 16
+
+    def __init__(self, names: list[str]):
+        self.names = [name.encode() + b" " for name in names]
+        self.long = np.array([len(name) > self.WIDE or b"\0" in name for name in self.names])
+        self.table = np.array([b" " if long else name for name, long in zip(self.names, self.long, strict=True)])
+
+    def digest(self, ids: np.ndarray) -> str:
+        if self.long[ids].any():
+            joined = b"".join([self.names[i] for i in ids.tolist()])
+        else:
+            joined = self.table[ids].tobytes().translate(None, b"\0")
+        return hashlib.sha256(memoryview(joined)[:-1]).hexdigest()
 
 
 def _dictionary(folder: str, split: int, path: str) -> _Dictionary:
@@ -180,9 +199,9 @@ def _dictionary(folder: str, split: int, path: str) -> _Dictionary:
 
 
 def _digest(batches: Iterator[pa.RecordBatch], path: str, folder: str, schema: pa.Schema, n_keep: int) -> Iterator[pa.RecordBatch]:
-    known, piece = None, resident("tokens", "pieces", path, lambda: pieces(path))
-    decimal = resident("tokens", "decimal", path, lambda: [str(i) for i in range(len(piece))])
-    sha = lambda names, ids: hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest()
+    known = None
+    piece = resident("tokens", "pieces", path, lambda: _Written(pieces(path)))
+    decimal = resident("tokens", "decimal", path, lambda: _Written([str(i) for i in range(len(piece.names))]))
     for whole in batches:
         if known is None:
             known = _dictionary(folder, TaskContext.get().partitionId(), path)
@@ -191,10 +210,10 @@ def _digest(batches: Iterator[pa.RecordBatch], path: str, folder: str, schema: p
             counts, digests, decoded = [], [], []
             for text in batch.column(n_keep).to_pylist():
                 words = split_words(text or "", path)
-                ids = known.of(words) if words is not None else tokenizer(path).encode(text, add_special_tokens=False).ids
+                ids = known.of(words) if words is not None else np.array(tokenizer(path).encode(text, add_special_tokens=False).ids, np.uint32)
                 counts.append(len(ids))
-                digests.append(sha(decimal, ids))
-                decoded.append(sha(piece, ids))
+                digests.append(decimal.digest(ids))
+                decoded.append(piece.digest(ids))
             yield pa.record_batch([*batch.columns[:n_keep], pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)], schema=schema)
     del known
     release()
@@ -215,7 +234,7 @@ def token_digests(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",
     encoded = found.mapInArrow(functools.partial(_encoded, path=path), "word string, splits array<int>, ids array<int>")
     folder = shared_path(spark, "words")
     needed = encoded.select(F.explode("splits").alias("split"), "word", "ids")
-    needed.repartition("split", F.pmod(F.hash("word"), F.lit(8))).write.option("compression", "zstd").partitionBy("split").parquet(folder)
+    needed.repartition("split", F.pmod(F.hash("word"), F.lit(4))).write.option("compression", "zstd").partitionBy("split").parquet(folder)
     schema = T.StructType([source.schema[c] for c in keep])
     for name, kind in (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())):
         schema = schema.add(name, kind)
