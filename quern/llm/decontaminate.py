@@ -28,7 +28,7 @@ LEAST, MAX_EDITS = 10, 0.15
 #: Lengths of the substrings of items under LONG characters and of others; bits of their hashes at most.
 SHORT_GRAM, LONG_GRAM, LONG, BITS = 3, 5, 64, 22
 #: Places found that are counted at a time; bits for a place; characters of documents that are searched at a time.
-PLACES, PLACE_BITS, CHUNK = 1 << 21, 40, 1 << 18
+PLACES, PLACE_BITS, CHUNK = 1 << 21, 40, 1 << 15
 #: A band is this power of two narrower than the diagonals that edits may lead over.
 FINE = 3
 #: Length of the substrings that an item and a place are compared by before their edit distance.
@@ -234,10 +234,14 @@ def find_items(docs: DataFrame, items: DataFrame, share: float = MAX_EDITS, key:
 def _clean(batches: Iterator[pa.RecordBatch], index: Index, share: float, at: int) -> Iterator[pa.RecordBatch]:
     entering("items")
     for batch in batches:
-        for a in range(0, len(batch), 128):
-            part = batch.slice(a, 128)
-            held = {d for d, _, _ in index.matches([normalise(t) for t in part.column(at).to_pylist()], share)}
-            yield part.filter(pa.array([i not in held for i in range(len(part))], pa.bool_()))
+        texts = [normalise(t) for t in batch.column(at).to_pylist()]
+        ends = np.cumsum([len(t) for t in texts])
+        a = 0
+        while a < len(texts):
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK, "right")))
+            held = {d for d, _, _ in index.matches(texts[a:z], share)}
+            yield batch.slice(a, z - a).filter(pa.array([i not in held for i in range(z - a)], pa.bool_()))
+            a = z
     release()
 
 
