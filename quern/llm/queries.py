@@ -15,6 +15,7 @@ from quern.llm.html_text import extract_text
 from quern.llm.line_dedup import dedup_lines
 from quern.llm.ngram_join import ngram_groups
 from quern.llm.shared import shared_path
+from quern.llm.spelling import spelling_variants
 from quern.llm.substring_dedup import remove_repeats
 from quern.llm.token_files import read_token_files, write_token_files
 from quern.llm.toxicity import score_toxicity
@@ -82,10 +83,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_embedding_dedup, op3_bpe, op4_token_files, op5_html_text, op6_url_filter, op7_line_dedup, op8_ngram_join, op9_substring_dedup, op10_decontamination)
-}
+    for f in (
+        op1_toxicity, op2_embedding_dedup, op3_bpe, op4_token_files, op5_html_text, op6_url_filter, op7_line_dedup, op8_ngram_join, op9_substring_dedup, op10_decontamination,
+        op13_spelling_variants,
+    )
+}
 
 _RULES_SQL = ", ".join(f"('{r.host}', '{r.path}', '{r.key}', '{r.verdict}')" for r in URL_RULES)
 
@@ -149,4 +157,23 @@ ORACLE_SQL: dict[str, str] = {
         parts AS (SELECT doc_id, sum(z - a) AS n, count(*) AS k, string_agg(hex(t[before:a - 1]), '' ORDER BY a) AS kept, max(z) AS last FROM holes JOIN d USING (doc_id) GROUP BY doc_id)
         SELECT d.doc_id, octet_length(t) AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(k, 0) AS n_spans,
             CASE WHEN n IS NULL THEN sha256(t) ELSE sha256(unhex(kept || hex(t[last:]))) END AS kept_sha256 FROM d LEFT JOIN parts USING (doc_id)""",
+    "op13_spelling_variants": r"""
+        WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+        runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+        each_one AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+        bytes AS (SELECT run, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [(192 | (unicode(c) >> 6))::BIGINT, (128 | (unicode(c) & 63))::BIGINT] END)) AS b FROM each_one),
+        hashed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+        cut AS (SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+        words AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+        places AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words),
+        without AS (SELECT word, i, substring(word, 1, i - 1) AS a, substring(word, i + 1) AS z FROM places),
+        pairs AS (
+            SELECT x.word AS word, y.word AS other FROM without x JOIN without y ON x.i = y.i AND x.a = y.a AND x.z = y.z AND x.word <> y.word
+            UNION SELECT x.word, y.word FROM without x JOIN words y ON x.a || x.z = y.word
+            UNION SELECT y.word, x.word FROM without x JOIN words y ON x.a || x.z = y.word),
+        ranked AS (SELECT pairs.word, other, n, row_number() OVER (PARTITION BY pairs.word ORDER BY n DESC, encode(other)) AS k, count(*) OVER (PARTITION BY pairs.word) AS n_near FROM pairs JOIN words ON words.word = other),
+        best AS (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN ranked.n >= 10 * words.n THEN other END AS form, CASE WHEN ranked.n >= 10 * words.n THEN ranked.n END AS form_n
+            FROM words LEFT JOIN ranked ON ranked.word = words.word AND k = 1),
+        chain(word, root) AS (SELECT word, word FROM best UNION ALL SELECT chain.word, best.form FROM chain JOIN best ON best.word = chain.root WHERE best.form IS NOT NULL)
+        SELECT best.word, best.form, chain.root, best.n, best.n_near, best.form_n FROM best JOIN chain ON chain.word = best.word JOIN best e ON e.word = chain.root AND e.form IS NULL""",
 }
