@@ -14,12 +14,14 @@ from quern.llm.embedding_dedup import near_duplicate_embeddings
 from quern.llm.html_text import extract_text
 from quern.llm.line_dedup import dedup_lines
 from quern.llm.ngram_join import ngram_groups
+from quern.llm.passage_dedup import remove_passages
 from quern.llm.shared import shared_path
 from quern.llm.spelling import spelling_variants
 from quern.llm.substring_dedup import remove_repeats
 from quern.llm.token_files import read_token_files, write_token_files
 from quern.llm.toxicity import score_toxicity
 from quern.llm.url_filter import Rule, filter_urls
+from quern.llm.whitening import whitened_components
 
 URL_RULES = [
     Rule("org", "/", "allow"),
@@ -83,6 +85,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+def op12_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_passages(table(spark, sf_dir, "documents")).drop("n_spans")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -91,7 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_embedding_dedup, op3_bpe, op4_token_files, op5_html_text, op6_url_filter, op7_line_dedup, op8_ngram_join, op9_substring_dedup, op10_decontamination,
-        op13_spelling_variants,
+        op11_whitening, op12_passage_dedup, op13_spelling_variants,
     )
 }
 
@@ -157,6 +167,14 @@ ORACLE_SQL: dict[str, str] = {
         parts AS (SELECT doc_id, sum(z - a) AS n, count(*) AS k, string_agg(hex(t[before:a - 1]), '' ORDER BY a) AS kept, max(z) AS last FROM holes JOIN d USING (doc_id) GROUP BY doc_id)
         SELECT d.doc_id, octet_length(t) AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(k, 0) AS n_spans,
             CASE WHEN n IS NULL THEN sha256(t) ELSE sha256(unhex(kept || hex(t[last:]))) END AS kept_sha256 FROM d LEFT JOIN parts USING (doc_id)""",
+    "op12_passage_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+        at AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+        hits AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS m FROM at) WHERE m < doc_id),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM hits),
+        every AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM every ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
     "op13_spelling_variants": r"""
         WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
         runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
