@@ -86,16 +86,18 @@ _ARROW = [
 ]
 
 
-def scan_regions(regions: DataFrame, keys: list[str], table: Opcodes, major: int, tolerant: bool = False, code: str = "pcode", debug: str | None = None) -> DataFrame:
-    """`keys` and SCANNED of every region; code and debug columns are binary. A null region is empty."""
-    source = regions.select(*keys, F.col(code).alias("_code"), (F.col(debug) if debug else F.lit(None)).cast("binary").alias("_debug"))
+def scan_regions(regions: DataFrame, keys: list[str], table: Opcodes, major: int | str, tolerant: bool = False, code: str = "pcode", debug: str | None = None) -> DataFrame:
+    """`keys` and SCANNED of every region; code and debug columns are binary. A null region is empty. `major` is a
+    version's, or the name of a column that has each region's (a null one is read as 12)."""
+    own = F.coalesce(F.col(major), F.lit(12)) if isinstance(major, str) else F.lit(major)
+    source = regions.select(*keys, F.col(code).alias("_code"), (F.col(debug) if debug else F.lit(None)).cast("binary").alias("_debug"), own.cast("int").alias("_major"))
     schema = ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for a, b in zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist(), strict=True):
-                found = scan(a or b"", major, table, tolerant)
+            for a, b, m in zip(*[batch.column(len(keys) + k).to_pylist() for k in range(3)], strict=True):
+                found = scan(a or b"", m, table, tolerant)
                 rows.append(found | {"debug": debug_map(b or b"", found["instructions"])})
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *[pa.array([r[n] for r in rows], t) for n, t in _ARROW]], [*keys, *[n for n, _ in _ARROW]])
 
