@@ -264,20 +264,47 @@ def source_routines(text: str, place: str = "") -> list[dict]:
     return out
 
 
+def _lcs_row(row: int, places: int, full: int) -> int:
+    """The next row of a longest-common-subsequence table, a bit a column: a zero where the length grows."""
+    shared = row & places
+    return ((row + shared) | (row - shared)) & full
+
+
 def alignment(a: list[str], b: list[str]) -> tuple[list[str], list[str], int]:
     """(only in a, only in b, matched) of a longest common subsequence; where both ways are as long, a is
-    passed over first."""
+    passed over first.
+
+    Rows of the table are numbers with a bit for each element of b, from the end of both lists. Every
+    `step`-th row is kept and the ones between are made again when the way comes to them: about the root
+    of a's length in rows of len(b) bits, and a 64th of a table's work.
+    """
     n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    full = (1 << m) - 1
+    places: dict[str, int] = {}
+    for j, x in enumerate(reversed(b)):
+        places[x] = places.get(x, 0) | 1 << j
+    step = max(1, int(n**0.5))
+    kept, row = [full], full
+    for k in range(1, n + 1):
+        row = _lcs_row(row, places.get(a[n - k], 0), full)
+        if not k % step:
+            kept.append(row)
+    # rows[k - low]: for the last k elements of a. A way from i uses those of n - i and n - i - 1.
+    low, rows = -1, []
     i = j = matched = 0
     left, right = [], []
     while i < n and j < m:
         if a[i] == b[j]:
             i, j, matched = i + 1, j + 1, matched + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+            continue
+        k = n - i
+        if low < 0 or k - 1 < low:
+            low = (k - 1) // step * step
+            rows = [kept[low // step]]
+            for q in range(low + 1, min(low + step, n) + 1):
+                rows.append(_lcs_row(rows[-1], places.get(a[n - q], 0), full))
+        mask = (1 << (m - j)) - 1
+        if (rows[k - low] & mask).bit_count() == (rows[k - 1 - low] & mask).bit_count():
             left.append(a[i])
             i += 1
         else:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from quern.functions.source_text import alignment, canonical_body, preview_body, routine_identity, source_routines
 from quern.operators.relational import ascii_lower
+from quern.operators.symbols import substituted
+from quern.sources.places import stored
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
@@ -63,16 +65,21 @@ def canonical(rows: DataFrame, column: str, out: str) -> DataFrame:
     return rows.withColumn(out, run(F.col(column)))
 
 
-def compare(previews: DataFrame, known: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def compare(previews: DataFrame, known: DataFrame, keys: list[str], order: list[str], constants: DataFrame | None = None) -> DataFrame:
     """`keys`, result, basis, source_reference of each preview, against routines of the same object and name
     whose parameter types are equal or not given. One candidate serves every occurrence; of several the
     n-th serves the n-th (by `order`), and beyond them the match is ambiguous.
 
     Results: source_file_not_found, source_routine_not_found, ambiguous_source_routine,
-    semantic_rules_incomplete, verified (basis normalized_equality or safe_semantic_canonicalization),
-    normalized_body_mismatch.
+    semantic_rules_incomplete, verified (basis normalized_equality, safe_semantic_canonicalization or
+    compiled_symbol_equivalence), normalized_body_mismatch.
+
+    With `constants` (owner, name, type_ref, value), what both canonical forms still differ in is compared with
+    the names of constants replaced (quern.operators.symbols), by the previews' object_type_name and
+    identifiers; equal forms count if anything was replaced. `keys` are then to be unique.
     """
-    mine = prepared(previews, [*keys, *[o for o in order if o not in keys]])
+    scope = [] if constants is None else ["object_type_name", "identifiers"]
+    mine = prepared(previews, [*keys, *[o for o in order if o not in keys], *scope])
     occurrence = Window.partitionBy("object", "name", "parameter_types").orderBy(*order)
     mine = mine.withColumn("_n", F.row_number().over(occurrence) - 1)
     source = canonical(known, "body", "s_canonical")
@@ -93,7 +100,49 @@ def compare(previews: DataFrame, known: DataFrame, keys: list[str], order: list[
         .otherwise("normalized_body_mismatch")
     )
     basis = F.when(F.col("_c.body") == F.col("body"), "normalized_equality").otherwise("safe_semantic_canonicalization")
-    return both.select(*keys, result.alias("result"), F.when(result == "verified", basis).alias("basis"), F.col("_c.source_reference").alias("source_reference"))
+    judged = [result.alias("result"), F.when(result == "verified", basis).alias("basis"), F.col("_c.source_reference").alias("source_reference")]
+    if constants is None:
+        return both.select(*keys, *judged)
+    differing = lambda c: F.when(result == "normalized_body_mismatch", F.col(c))
+    found = stored(both.select(*keys, *judged, F.col("object_type_name").alias("owner"), "identifiers", differing("canonical").alias("canonical"), differing("_c.s_canonical").alias("source")), "compared")
+    left = found.where("result = 'normalized_body_mismatch'")
+    equal = substituted(left, keys, ["canonical", "source"], constants).where((F.col("canonical_symbols") == F.col("source_symbols")) & (F.col("substitutions") > 0))
+    joined = found.join(equal.select(*keys, F.lit(True).alias("_equal")), keys, "left")
+    return joined.select(*keys, F.when(F.col("_equal"), "verified").otherwise(F.col("result")).alias("result"), F.when(F.col("_equal"), "compiled_symbol_equivalence").otherwise(F.col("basis")).alias("basis"), "source_reference")
+
+
+_CATCHES = "array<struct<exception_type: string, variable_name: string>>"
+
+
+def construct_evidence(previews: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFrame:
+    """`keys`, oracle_id, status (verified, mismatch), fragments: a row for each structure that a known source declares
+    for a preview (entry_name, signature, statements, try_catch) and that was looked at.
+
+    manifest: position, oracle_id, entry_name, signature, try_catch (array of struct catches), fragments; the
+    first row by position that has a preview's names, without regard to ASCII case, holds. The structures
+    are those declared, in order, each with the same catches in order (types and variables without regard
+    to ASCII case), or the first that differs is a mismatch and the rest is not looked at; another number
+    of them makes all a mismatch. If all agree, all of the fragments are to be in the normalised text, or all
+    are a mismatch; fragments counts those that were compared.
+    """
+    at = lambda c: ascii_lower(F.col(c))
+    wanted = manifest.groupBy(at("entry_name").alias("_e"), at("signature").alias("_s")).agg(F.min(F.struct("position", "oracle_id", "try_catch", "fragments")).alias("_m"))
+    found = previews.withColumns({"_e": at("entry_name"), "_s": at("signature")}).join(wanted, ["_e", "_s"])
+    plain = lambda structures: F.transform(F.coalesce(structures, F.array().cast(f"array<struct<catches: {_CATCHES}>>")), lambda x: F.transform(x["catches"], lambda c: F.struct(ascii_lower(c["exception_type"]).alias("t"), ascii_lower(c["variable_name"]).alias("v"))))
+    structures = F.transform(F.coalesce("try_catch", F.array().cast(f"array<struct<catches: {_CATCHES}>>")), lambda x: F.struct(x["catches"].alias("catches")))
+    bare = lambda text: F.regexp_replace(F.lower(text), r'("[^"]*")|\s+', "$1")
+    found = found.select(*keys, "_m", plain(structures).alias("_mine"), plain(F.col("_m.try_catch")).alias("_theirs"), bare(F.array_join("statements", "\n")).alias("_text"))
+    fragments = F.coalesce("_m.fragments", F.array().cast("array<string>"))
+    wrong = F.array_position(F.zip_with("_mine", "_theirs", lambda a, b: a == b), False)
+    found = found.withColumns({"_n": F.size("_theirs"), "_same": F.size("_mine") == F.size("_theirs"), "_fragments": fragments})
+    found = found.withColumns({"_wrong": F.when(F.col("_same"), wrong), "_held": F.forall("_fragments", lambda f: F.contains(F.col("_text"), bare(f)))})
+    last = F.when(F.col("_same") & (F.col("_wrong") > 0), F.col("_wrong").cast("int")).otherwise(F.col("_n"))
+    number = F.explode(F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>")))
+    each = found.withColumn("_k", number)
+    agreed = F.col("_same") & (F.col("_wrong") == 0)
+    status = F.when(~F.col("_same"), "mismatch").when(agreed, F.when(F.col("_held"), "verified").otherwise("mismatch")).when(F.col("_k") == F.col("_wrong"), "mismatch").otherwise("verified")
+    compared = F.when(agreed, F.size("_fragments")).otherwise(0).cast("long")
+    return each.select(*keys, F.concat(F.col("_m.oracle_id"), F.lit("#try_catch_"), F.col("_k")).alias("oracle_id"), status.alias("status"), compared.alias("fragments"))
 
 
 def oracle_constructs(previews: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFrame:

@@ -36,9 +36,11 @@ def read_opcodes(spark: SparkSession, path: str) -> DataFrame:
 
 def dimension(table: DataFrame) -> DataFrame:
     """opcode, mnemonic, hint, rule, words, major_from, major_to (null: open): a row for each opcode and range of
-    versions that has it. Beyond the old range, the words are those of the old column."""
+    versions that has it. Beyond the old range, the words are those of the old column. Of rows with equal
+    opcodes the smallest holds."""
     ranges = F.explode(F.array(*[F.struct(F.lit(a).alias("major_from"), F.lit(z).cast("int").alias("major_to"), F.lit(last).alias("last"), F.lit(words == "words").alias("new")) for a, z, last, words in RANGES]))
-    spread = table.dropDuplicates(["opcode"]).select("*", ranges.alias("r")).where(F.col("opcode").between(0, F.col("r.last")))
+    one = table.groupBy("opcode").agg(F.min(F.struct("mnemonic", "words_old", "words", "hint", "rule")).alias("o")).select("opcode", "o.*")
+    spread = one.select("*", ranges.alias("r")).where(F.col("opcode").between(0, F.col("r.last")))
     words = F.when(F.col("r.new") & (F.col("opcode") <= LAST_COMMON), F.coalesce("words", "words_old")).otherwise(F.col("words_old"))
     return spread.select("opcode", "mnemonic", "hint", "rule", words.alias("words"), "r.major_from", "r.major_to")
 

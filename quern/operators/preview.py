@@ -449,19 +449,21 @@ def single_arm_if(rows: list[dict], flow: dict, out: list[tuple[int, str]]) -> l
 
 def preview(rows: list[dict], length: int, complete: bool, rules: dict[int, str], context: Context, definition: dict | None = None) -> dict:
     """signature, declarations, statements, gaps (offset, opcode, mnemonic, reason), n_instructions,
-    n_supported, coverage (100 if there are no instructions), complete, flow_valid."""
+    n_supported, coverage (100 if there are no instructions), complete, flow_valid, try_catch (setup, end, catches
+    of the structures whose catches' variables are all known; none unless the flow is valid)."""
     f = Fold(context)
     flow = control_flow(rows, length, complete)
     quiet = scaffolding(flow) if flow["valid"] else set()
     marks: dict[int, list[str]] = {}
-    names = lambda k: (f"{context.variables[k]['type_name']} {context.variables[k]['name']}" if k < len(context.variables) else None)
-    for x in flow["exceptions"]:
-        catches = [(h["body"], names(h["variable"])) for h in x["handlers"]]
-        if all(c for _, c in catches):
-            marks.setdefault(x["setup"], []).append("try")
-            for at, c in catches:
-                marks.setdefault(at, []).append(f"catch ({c})")
-            marks.setdefault(x["end"], []).append("end try")
+    known = [x for x in flow["exceptions"] if all(h["variable"] < len(context.variables) for h in x["handlers"])] if flow["valid"] else []
+    structures = []
+    for x in known:
+        catches = [(h["body"], context.variables[h["variable"]]) for h in x["handlers"]]
+        structures.append({"setup": x["setup"], "end": x["end"], "catches": [{"exception_type": v["type_name"], "variable_name": v["name"]} for _, v in catches]})
+        marks.setdefault(x["setup"], []).append("try")
+        for at, v in catches:
+            marks.setdefault(at, []).append(f"catch ({v['type_name']} {v['name']})")
+        marks.setdefault(x["end"], []).append("end try")
     gaps, supported = [], 0
     for row in rows:
         for text in marks.get(row["offset"], []):
@@ -483,17 +485,20 @@ def preview(rows: list[dict], length: int, complete: bool, rules: dict[int, str]
     declared = context.variables[len(definition["parameters"]) if definition else 0 :]
     return {
         "signature": signature(definition) if definition else None, "declarations": [f"{v['type_name']} {v['name']}{v['array']}" for v in declared], "statements": [t for _, t in statements], "gaps": gaps,
-        "n_instructions": len(rows), "n_supported": supported, "coverage": 100.0 * supported / len(rows) if rows else 100.0, "complete": complete and flow["valid"] and not gaps and not f.stack, "flow_valid": flow["valid"],
+        "n_instructions": len(rows), "n_supported": supported, "coverage": 100.0 * supported / len(rows) if rows else 100.0, "complete": complete and flow["valid"] and not gaps and not f.stack, "flow_valid": flow["valid"], "try_catch": structures,
     }
 
 
-_PREVIEW = "signature string, declarations array<string>, statements array<string>, gaps array<struct<offset: long, opcode: int, mnemonic: string, reason: string>>, n_instructions long, n_supported long, coverage double, complete boolean, flow_valid boolean"
+_PREVIEW = "signature string, declarations array<string>, statements array<string>, gaps array<struct<offset: long, opcode: int, mnemonic: string, reason: string>>, n_instructions long, n_supported long, coverage double, complete boolean, flow_valid boolean, try_catch array<struct<setup: long, end: long, catches: array<struct<exception_type: string, variable_name: string>>>>"
+#: What the scan of a region's code and lines gives; for `measured`.
+_SCAN = "scanned boolean, length long, consumed long, branches long, invalid_branches long, debug_records long, debug_valid boolean"
 
 
-def preview_regions(regions: DataFrame, keys: list[str], table: dict, major: int, catalogue: Catalogue | None = None, corrected: bool = True) -> DataFrame:
+def preview_regions(regions: DataFrame, keys: list[str], table: dict, major: int, catalogue: Catalogue | None = None, corrected: bool = True, measured: bool = False) -> DataFrame:
     """Keys and a preview of each region: rows of `regions` have region (JSON of a row of a compiled object's
-    regions) and context (JSON: globals, types, enums, owner, parent; any may be missing)."""
-    from quern.operators.scan import scan
+    regions) and context (JSON: globals, types, enums, owner, parent; any may be missing). With `measured`
+    also _SCAN, from the same pass."""
+    from quern.operators.scan import debug_map, scan
 
     rules = {k: v[3] for k, v in table.items()}
     known = catalogue or Catalogue()
@@ -506,10 +511,13 @@ def preview_regions(regions: DataFrame, keys: list[str], table: dict, major: int
                 code = bytes.fromhex(r["pcode"])
                 found = scan(code, major, table)
                 context = Context(r.get("variables") or [], c.get("globals") or [], {t["type_ref"]: t["name"] for t in c.get("types") or []}, {(e["enum_type_ref"], e["item_index"]): e["name"] for e in c.get("enums") or []}, known, c.get("owner"), c.get("parent"), r.get("referenced_functions") or [], bytes.fromhex(r.get("stack_buffer") or ""), corrected)
-                rows.append(preview(found["instructions"], len(code), found["complete"], rules, context, r.get("definition")))
-            kinds = [("signature", pa.string()), ("declarations", pa.list_(pa.string())), ("statements", pa.list_(pa.string())), ("gaps", pa.list_(pa.struct([("offset", pa.int64()), ("opcode", pa.int32()), ("mnemonic", pa.string()), ("reason", pa.string())]))), ("n_instructions", pa.int64()), ("n_supported", pa.int64()), ("coverage", pa.float64()), ("complete", pa.bool_()), ("flow_valid", pa.bool_())]
+                debug = debug_map(bytes.fromhex(r.get("debug") or ""), found["instructions"])
+                counts = {"scanned": found["complete"], "length": len(code), "consumed": found["consumed"], "branches": len(found["branches"]), "invalid_branches": sum(not b["valid"] for b in found["branches"]), "debug_records": debug["records"], "debug_valid": debug["valid"]}
+                rows.append(counts | preview(found["instructions"], len(code), found["complete"], rules, context, r.get("definition")))
+            kinds = [("signature", pa.string()), ("declarations", pa.list_(pa.string())), ("statements", pa.list_(pa.string())), ("gaps", pa.list_(pa.struct([("offset", pa.int64()), ("opcode", pa.int32()), ("mnemonic", pa.string()), ("reason", pa.string())]))), ("n_instructions", pa.int64()), ("n_supported", pa.int64()), ("coverage", pa.float64()), ("complete", pa.bool_()), ("flow_valid", pa.bool_()), ("try_catch", pa.list_(pa.struct([("setup", pa.int64()), ("end", pa.int64()), ("catches", pa.list_(pa.struct([("exception_type", pa.string()), ("variable_name", pa.string())])))])))]
+            kinds += [("scanned", pa.bool_()), *[(n, pa.int64()) for n in ("length", "consumed", "branches", "invalid_branches", "debug_records")], ("debug_valid", pa.bool_())] if measured else []
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *[pa.array([x[n] for x in rows], t) for n, t in kinds]], [*keys, *[n for n, _ in kinds]])
 
     source = regions.select(*keys, F.col("region"), F.col("context"))
     schema = ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keys)
-    return source.mapInArrow(run, f"{schema}, {_PREVIEW}")
+    return source.mapInArrow(run, f"{schema}, {_PREVIEW}" + f", {_SCAN}" * measured)

@@ -7,10 +7,9 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions.source_text import normalise_body
 from quern.operators import scan as S
 from quern.operators.compare import differences
 from quern.operators.preview import preview_regions
@@ -81,15 +80,14 @@ def preview_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lcs_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statements of each benchmark item against those of the next."""
-
-    @F.arrow_udf("array<string>")
-    def body(texts: pa.Array) -> pa.Array:
-        return pa.array([normalise_body((t or "").replace(" ", "\n")) for t in texts.to_pylist()], pa.list_(pa.string()))
-
-    items = _t(spark, sf_dir, "benchmark").select("item_id", body("text").alias("a"))
-    pairs = items.join(items.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b")), "item_id")
-    return differences(pairs, ["item_id"], "a", "b").select("item_id", F.size("only_a").alias("only_a"), F.size("only_b").alias("only_b"), "matched")
+    """Words of each document against those of the document before it, by id, that begins with the same five words:
+    copies and near copies of whole texts. A frequent beginning is a chain, not all of its pairs."""
+    words = F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")), " ")
+    docs = _t(spark, sf_dir, "documents").select("doc_id", words.alias("a")).withColumn("head", F.xxhash64(F.slice("a", 1, 5)))
+    # The ids alone find their partners; texts are joined to them.
+    before = docs.select("doc_id", F.lag("doc_id").over(Window.partitionBy("head").orderBy("doc_id")).alias("other")).where("other IS NOT NULL")
+    pairs = docs.select("doc_id", "a").join(before, "doc_id").join(docs.select(F.col("doc_id").alias("other"), F.col("a").alias("b")), "other")
+    return differences(pairs, ["doc_id", "other"], "a", "b").select("doc_id", "other", F.size("only_a").alias("only_a"), F.size("only_b").alias("only_b"), "matched")
 
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,11 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators import compare as C
+from quern.operators import decode as D
 from quern.operators import opcodes as O
 from quern.operators import scan as S
+from quern.operators import symbols as Y
 from quern.operators import versions as V
 from quern.plans.queries import _t, registry
 
@@ -106,3 +109,95 @@ def version_selection(spark, sf_dir):
     chosen = V.select_version(files)
     opcode_set = F.when(own.isNotNull(), V.features(own)["opcode_set"])
     return chosen.select("o_orderkey", F.when(own.isNotNull(), V.spelled(own)).alias("version"), "basis", F.when(own.isNotNull(), V.spelled(V.decoder_version(own))).alias("decoder"), opcode_set.alias("opcode_set"))
+
+
+_RESULTS = ["verified", "normalized_body_mismatch", "semantic_rules_incomplete", "source_file_not_found", "source_routine_not_found", "ambiguous_source_routine"]
+_BASES = ["normalized_equality", "safe_semantic_canonicalization", "compiled_symbol_equivalence"]
+
+
+@bound(f"""WITH e AS (SELECT 'lib' || (c_custkey % 25) AS library, c_custkey::INT AS entry_index, ['compiled', 'datawindow', 'unknown'][c_custkey % 3 + 1] AS format, c_custkey % 4 AS cs, c_custkey % 2 AS ss, c_custkey % 5 // 4 AS us FROM customer),
+    r AS (SELECT 'lib' || (o_custkey % 25) AS library, o_custkey::INT AS entry_index, o_orderkey AS k, o_orderkey % 9 > 0 AS preview, o_orderkey % 4 > 0 AS complete, o_orderkey % 8 = 0 AS oracle, o_orderkey % 3 = 0 AS bad,
+        CASE WHEN o_orderkey % 5 > 0 THEN ({_RESULTS})[o_orderkey % 6 + 1] END AS result, CASE WHEN o_orderkey % 5 > 0 AND o_orderkey % 6 = 0 THEN ({_BASES})[o_orderkey % 7 % 3 + 1] END AS basis FROM orders),
+    u AS (SELECT library, entry_index, format, cs, ss, us, NULL::BIGINT AS k, NULL::BOOLEAN AS preview, NULL::BOOLEAN AS complete, NULL::BOOLEAN AS oracle, NULL::BOOLEAN AS bad, NULL AS result, NULL AS basis FROM e
+        UNION ALL SELECT library, entry_index, NULL, NULL, NULL, NULL, k, preview, complete, oracle, bad, result, basis FROM r),
+    s AS (SELECT CASE grouping(library, entry_index) WHEN 0 THEN 'entry' WHEN 1 THEN 'library' ELSE 'all' END AS level, library, entry_index, count(format) AS object_containers, sum(cs) AS compiled_constants, sum(ss) AS compiled_string_constants, sum(us) AS compiled_unresolved_constants,
+        count(*) FILTER (format = 'compiled') AS compiled_object_envelopes, count(*) FILTER (format = 'datawindow') AS datawindow_envelopes, count(k) AS validated_pcode_regions, sum(k % 500) AS validated_pcode_bytes, count(*) FILTER (k % 10 > 0) AS regions_scanned_to_end,
+        sum(k % 37) AS known_instructions_before_stop, sum(k % 300) AS bytes_consumed_without_guessing, sum(k % 6) AS branch_targets_checked, sum(k % 2) AS invalid_branch_targets, sum(k % 11) AS debug_records_checked, count(*) FILTER (bad) AS invalid_debug_maps,
+        count(*) FILTER (preview) AS semantic_previews, count(*) FILTER (preview AND complete) AS semantically_complete_previews, sum(k % 37 // 2) FILTER (preview) AS semantically_supported_instructions, count(*) FILTER (preview AND NOT bad) AS valid_semantic_cfgs, sum(k % 13 // 12) FILTER (preview) AS reconstructed_exception_regions,
+        count(*) FILTER (oracle) AS known_source_oracle_matches, count(*) FILTER (oracle AND complete) AS known_source_semantically_complete_matches, sum(k % 3) FILTER (oracle) AS known_source_constructs_verified, sum(k % 2) FILTER (oracle) AS known_source_construct_mismatches, sum(k % 4) FILTER (oracle) AS known_source_body_fragments_compared,
+        count(result) AS function_comparisons, count(*) FILTER (result = 'verified') AS function_reconstructions_verified, count(*) FILTER (basis = '{_BASES[0]}') AS function_reconstructions_verified_normalized, count(*) FILTER (basis = '{_BASES[1]}') AS function_reconstructions_verified_safe_canonicalization,
+        count(*) FILTER (basis = '{_BASES[2]}') AS function_reconstructions_verified_compiled_symbol_equivalence, count(*) FILTER (result = '{_RESULTS[1]}') AS function_reconstruction_mismatches, count(*) FILTER (result = '{_RESULTS[2]}') AS function_comparisons_semantic_rules_incomplete,
+        count(*) FILTER (result = '{_RESULTS[3]}') AS function_source_files_missing, count(*) FILTER (result = '{_RESULTS[4]}') AS function_source_routines_missing, count(*) FILTER (result = '{_RESULTS[5]}') AS function_source_routines_ambiguous
+        FROM u GROUP BY GROUPING SETS ((), (library), (library, entry_index)))
+    SELECT level, library, entry_index, {", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in D.COUNTERS)}, validated_pcode_regions - regions_scanned_to_end AS regions_stopped, semantic_previews - valid_semantic_cfgs AS invalid_semantic_cfgs,
+        CASE WHEN coalesce(known_instructions_before_stop, 0) = 0 THEN 100.0::DOUBLE ELSE round(coalesce(semantically_supported_instructions, 0) * 100.0::DOUBLE / known_instructions_before_stop, 6) END AS semantic_coverage_percent FROM s""")
+def decode_counters(spark, sf_dir):
+    """Customers as entries of 25 libraries, orders as their code regions."""
+    cust, key = F.col("c_custkey"), F.col("o_orderkey")
+    pick = lambda values, k: F.get(F.array(*[F.lit(v) for v in values]), k.cast("int"))
+    entries = _t(spark, sf_dir, "customer").select(
+        F.concat(F.lit("lib"), cust % 25).alias("library"), cust.cast("int").alias("entry_index"), F.lit("entry").alias("kind"), pick(["compiled", "datawindow", "unknown"], cust % 3).alias("format"),
+        (cust % 4).alias("constants"), (cust % 2).alias("string_constants"), F.floor(cust % 5 / 4).alias("unresolved_constants"),
+    )
+    oracle = lambda c: F.when(key % 8 == 0, c)
+    regions = _t(spark, sf_dir, "orders").select(
+        F.concat(F.lit("lib"), F.col("o_custkey") % 25).alias("library"), F.col("o_custkey").cast("int").alias("entry_index"), key.cast("int").alias("region_index"), F.lit("region").alias("kind"),
+        (key % 500).alias("length"), (key % 10 > 0).alias("scanned"), (key % 37).alias("instructions"), (key % 300).alias("consumed"), (key % 6).alias("branches"), (key % 2).alias("invalid_branches"),
+        (key % 11).alias("debug_records"), (key % 3 > 0).alias("debug_valid"), (key % 9 > 0).alias("preview"), (key % 4 > 0).alias("complete"), F.floor(key % 37 / 2).alias("supported"), (key % 3 > 0).alias("flow_valid"),
+        F.floor(key % 13 / 12).alias("try_catch"), (key % 8 == 0).alias("oracle"), oracle(key % 3).alias("constructs_verified"), oracle(key % 2).alias("constructs_mismatched"), oracle(key % 4).alias("fragments"),
+        F.when(key % 5 > 0, pick(_RESULTS, key % 6)).alias("result"), F.when((key % 5 > 0) & (key % 6 == 0), pick(_BASES, key % 7 % 3)).alias("basis"),
+    )
+    return D.summary(entries.unionByName(regions, allowMissingColumns=True)).withColumn("semantic_coverage_percent", F.round("semantic_coverage_percent", 6))
+
+
+_TOKEN_SQL = r"""'''(?:~[\s\S]|[^''~])*(?:''|~?\z)|"(?:~[\s\S]|[^"~])*(?:"|~?\z)|[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*|[^A-Za-z_''"]+'"""
+_FOLD_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@bound(rf"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT lang, unnest(regexp_extract_all(t, '[A-Za-z]{{8,}}')) AS name FROM d),
+    c AS (SELECT lang AS owner, name, length(name) % 3 AS k, count(*) AS i FROM w GROUP BY ALL UNION ALL SELECT '', name, length(name) % 3, count(*) FROM w GROUP BY ALL),
+    f AS (SELECT {_FOLD_SQL.format("owner")} AS owner, {_FOLD_SQL.format("name")} AS name, k, i FROM c),
+    u AS (SELECT owner, name, i FROM (SELECT *, count(*) OVER (PARTITION BY owner, name) AS a, count(*) OVER (PARTITION BY owner, k, i) AS b FROM f) WHERE a = 1 AND b = 1),
+    t AS (SELECT doc_id, lang, {_FOLD_SQL.format("regexp_extract(t, '[A-Za-z]+')")} AS first, regexp_extract_all(t, {_TOKEN_SQL}) AS ts FROM d),
+    p AS (SELECT doc_id, lang, first, unnest(ts) AS x, unnest(range(1, len(ts) + 1)) AS pos, unnest(list_transform(range(1, len(ts) + 1), lambda i: starts_with(coalesce(ts[i + 1], ''), '('))) AS called FROM t),
+    n AS (SELECT *, {_FOLD_SQL.format("regexp_extract(x, '[^.]*$')")} AS name, CASE WHEN contains(x, '.') THEN {_FOLD_SQL.format("regexp_extract(x, '^(.*)[.][^.]*$', 1)")} END AS before FROM p WHERE regexp_matches(x, '^[A-Za-z_]') AND NOT called),
+    q AS (SELECT n.*, CASE WHEN regexp_extract(before, '[^.]*$') = first AND first <> '' THEN {_FOLD_SQL.format("lang")} ELSE before END AS qualified FROM n),
+    l AS (SELECT doc_id, pos, CASE WHEN before IS NULL THEN CASE WHEN q.name <> first THEN coalesce(own.i, gl.i) END ELSE q2.i END AS i FROM q
+        LEFT JOIN u own ON own.owner = {_FOLD_SQL.format("lang")} AND own.name = q.name LEFT JOIN u gl ON gl.owner = '' AND gl.name = q.name LEFT JOIN u q2 ON q2.owner = qualified AND q2.name = q.name)
+    SELECT t.doc_id, coalesce(count(l.i), 0)::INT AS substitutions, sha256(coalesce(string_agg(coalesce(l.i::VARCHAR, p.x), '' ORDER BY p.pos), '')) AS body_sha256
+    FROM t LEFT JOIN p USING (doc_id) LEFT JOIN l ON l.doc_id = p.doc_id AND l.pos = p.pos GROUP BY t.doc_id""")
+def symbol_rewrite(spark, sf_dir):
+    """Documents as bodies of one statement; long words as constants of their language and as global ones, with their
+    number of occurrences as value. A document's first word hides the constant of its name."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("owner"), F.coalesce("text", F.lit("")).alias("text"))
+    words = docs.select("owner", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), F.lit(0))).alias("name"))
+    value = F.struct(F.lit("signed").alias("kind"), F.col("n").alias("i"), F.lit(None).cast("string").alias("s")).alias("value")
+    counted = lambda rows: rows.groupBy("owner", "name").agg(F.count("*").alias("n")).select("owner", "name", (F.length("name") % 3).alias("type_ref"), value)
+    constants = counted(words).unionByName(counted(words.withColumn("owner", F.lit(""))))
+    first = F.regexp_extract("text", "[A-Za-z]+", 0)
+    known = F.filter(F.array(F.struct(first.alias("name"), F.col("owner").alias("type_name"), F.lit(True).alias("shadows"), F.lit(0).alias("rank"))), lambda v: v["name"] != "")
+    bodies = docs.select("doc_id", "owner", known.alias("identifiers"), F.array("text").alias("body"))
+    return Y.substituted(bodies, ["doc_id"], ["body"], constants).select("doc_id", "substitutions", F.sha2(F.array_join("body_symbols", "").cast("binary"), 256).alias("body_sha256"))
+
+
+@bound("""WITH p AS (SELECT l_orderkey AS k, row_number() OVER w AS j, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
+    e AS (SELECT k, j, n - (k % 5 = 1)::INT AS m, k % 5 <> 1 AS same, k % 7 = 2 AND n - (k % 5 = 1)::INT >= 2 AS wrong, k % 3 > 0 AS held FROM p)
+    SELECT k AS l_orderkey, 'o' || k || '#try_catch_' || j AS oracle_id, CASE WHEN NOT same THEN 'mismatch' WHEN wrong THEN CASE WHEN j = 2 THEN 'mismatch' ELSE 'verified' END WHEN held THEN 'verified' ELSE 'mismatch' END AS status,
+        CASE WHEN same AND NOT wrong THEN 2 ELSE 0 END::BIGINT AS fragments FROM e WHERE j <= m AND (NOT same OR NOT wrong OR j <= 2)""")
+def typed_catches(spark, sf_dir):
+    """Order lines as try structures of the function that is their order; the known source differs in some."""
+    lines = _t(spark, sf_dir, "lineitem")
+    catch = lambda kind: F.array(F.struct(kind.alias("exception_type"), F.col("l_linestatus").alias("variable_name")), F.struct(F.lit("throwable").alias("exception_type"), F.lit("e").alias("variable_name")))
+    parts = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", catch(F.col("l_returnflag")).alias("catches"), catch(F.lower("l_returnflag")).alias("known"))))
+    key = F.col("l_orderkey")
+    grouped = lines.groupBy("l_orderkey").agg(parts.alias("p"))
+    size = F.size("p") - F.when(key % 5 == 1, 1).otherwise(0)
+    other = F.array(F.struct(F.lit("other").alias("exception_type"), F.lit("x").alias("variable_name")))
+    theirs = F.transform(F.slice("p", F.lit(1), size), lambda x, i: F.struct(F.when((i == 1) & (key % 7 == 2), other).otherwise(x["known"]).alias("catches")))
+    named = grouped.select(
+        "l_orderkey", F.concat(F.lit("W"), key).alias("entry_name"), F.lit("f()").alias("signature"), F.array(F.concat(F.lit("Status = "), key)).alias("statements"), F.transform("p", lambda x: F.struct(x["catches"].alias("catches"))).alias("try_catch"), theirs.alias("theirs")
+    )
+    fragments = F.array(F.concat(F.lit("status="), key), F.when(key % 3 > 0, "STATUS").otherwise("missing"))
+    manifest = named.select(F.lit(1).alias("position"), F.concat(F.lit("o"), key).alias("oracle_id"), F.lower("entry_name").alias("entry_name"), F.lit("F()").alias("signature"), F.col("theirs").alias("try_catch"), fragments.alias("fragments"))
+    return C.construct_evidence(named, manifest, ["l_orderkey"])

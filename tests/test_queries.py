@@ -3,12 +3,12 @@
 import duckdb
 import pytest
 
-from quern.plans import artifacts, decoding, reports
+from quern.plans import artifacts, decoding, files, projections, reports
 from quern.plans import queries as relational
 
 SF = "/root/testdata/sf0.001"
-QUERIES = {**relational.QUERIES, **reports.QUERIES, **artifacts.QUERIES, **decoding.QUERIES}
-SQL = {**relational.ORACLE_SQL, **reports.ORACLE_SQL, **artifacts.ORACLE_SQL, **decoding.ORACLE_SQL}
+QUERIES = {**relational.QUERIES, **reports.QUERIES, **artifacts.QUERIES, **decoding.QUERIES, **files.QUERIES, **projections.QUERIES}
+SQL = {**relational.ORACLE_SQL, **reports.ORACLE_SQL, **artifacts.ORACLE_SQL, **decoding.ORACLE_SQL, **files.ORACLE_SQL, **projections.ORACLE_SQL}
 
 
 def plain(v):

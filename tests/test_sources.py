@@ -1,6 +1,7 @@
 """Source text, comparison, reports and streams."""
 
 import json
+import random
 
 import pytest
 
@@ -59,6 +60,39 @@ def test_text_pieces():
     assert s.alignment(list("abcd"), list("bxd")) == (["a", "c"], ["x"], 2)
 
 
+def table_alignment(a, b):
+    n, m = len(a), len(b)
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    i = j = matched = 0
+    left, right = [], []
+    while i < n and j < m:
+        if a[i] == b[j]:
+            i, j, matched = i + 1, j + 1, matched + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            left.append(a[i])
+            i += 1
+        else:
+            right.append(b[j])
+            j += 1
+    return left + a[i:], right + b[j:], matched
+
+
+def test_alignment_is_that_of_the_whole_table():
+    rng = random.Random(5)
+    for k in range(400):
+        a, b = ([rng.choice("abcdefgh"[: 1 + k % 8]) for _ in range(rng.randrange(0, 40))] for _ in range(2))
+        if k % 3 == 0:
+            b = [x for x in a if rng.random() < 0.8] + b[:3]
+        assert s.alignment(a, b) == table_alignment(a, b)
+    long = [str(rng.randrange(500)) for _ in range(20_000)]
+    other = [x for x in long if rng.random() < 0.95]
+    left, right, matched = s.alignment(long, other)
+    assert matched == len(other) and len(left) == len(long) - matched and not right
+
+
 def test_comparison(spark, tmp_path):
     (tmp_path / "deep").mkdir()
     (tmp_path / "deep" / "W_MAIN.SRW").write_text(SOURCE + "event clicked;beep(1)\nend event\n")
