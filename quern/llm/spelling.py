@@ -24,8 +24,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A shard ends at the first of so many words and letters; the shards of a round have so many bytes in all.
 #: A single longer word is a shard, and a single larger shard a round.
 SHARD_WORDS, SHARD_LETTERS, ROUND_BYTES = 100_000, 2_000_000, 32 << 20
-#: Words whose automata run together.
-BLOCK = 4096
+#: Words whose automata run together, and words that a task searches for.
+BLOCK, TASK_WORDS = 4096, 50_000
 
 _NEAR = "word string, n_near long, form string, form_n long"
 _NEAR_ARROW = pa.schema([("word", pa.string()), ("n_near", pa.int64()), ("form", pa.string()), ("form_n", pa.int64())])
@@ -209,7 +209,7 @@ def _search(words: DataFrame, shards: Broadcast) -> DataFrame:
             for a in range(0, len(column), BLOCK):
                 yield _best(tries, column[a : a + BLOCK])
 
-    return words.select("word").mapInArrow(run, _NEAR)
+    return words.mapInArrow(run, _NEAR)
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -231,10 +231,12 @@ def near_words(words: DataFrame) -> DataFrame:
         rounds[-1].append(shard)
         room -= size
     parts = [words.select("word", "n", F.lit(0).cast("long").alias("n_near"), F.lit(None).cast("string").alias("form"), F.lit(None).cast("long").alias("form_n"))]
+    # The stored words lie in files of any size; they are dealt to tasks of even work.
+    asked = words.select("word").repartition(max(1, -(-n_words // TASK_WORDS)))
     for chosen in rounds:
         held = shards.where(F.col("shard").between(chosen[0], chosen[-1])).orderBy("shard").collect()
         sent = spark.sparkContext.broadcast([r.asDict() for r in held])
-        parts.append(stored(_search(words, sent), "near").select("word", F.lit(0).cast("long").alias("n"), "n_near", "form", "form_n"))
+        parts.append(stored(_search(asked, sent), "near").select("word", F.lit(0).cast("long").alias("n"), "n_near", "form", "form_n"))
         sent.destroy()
     every = parts[0]
     for part in parts[1:]:
