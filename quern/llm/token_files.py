@@ -105,8 +105,8 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int | Non
     order = (F.col("key").asc_nulls_first(), F.xxhash64("text"))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    # A table that Spark cannot size counts as endless there; then the session's partitions hold.
-    shards = max(1, -(-size // SHARD)) if size < 1 << 62 else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A shard a core at least. A table that Spark cannot size counts as endless there; then the session's partitions hold.
+    shards = max(spark.sparkContext.defaultParallelism, -(-size // SHARD)) if size < 1 << 62 else int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     write = functools.partial(_write_shard, path=path, folder=folder, end_id=end_id, kind=kind)
     found = sorted(tuple(r) for r in sorted_rows.mapInArrow(write, "shard int, n_docs long, n_ids long").collect())
