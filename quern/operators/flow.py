@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 # Opcodes with a part in control flow.
 RETURN, JUMP_TRUE, JUMP_FALSE, JUMP, POP_TRY, PUSH_TRY, CATCH, THROW = 0x0000, 0x0002, 0x0003, 0x0004, 0x01E6, 0x01E5, 0x01E7, 0x01E8
 PUSH_LOCAL_RP = 0x01A9
@@ -106,3 +109,33 @@ def scaffolding(flow: dict) -> set[int]:
 def loops(flow: dict) -> list[tuple[int, int]]:
     """(first, last) blocks of each back edge."""
     return [(e["to"], e["from"]) for e in flow["edges"] if e["to"] < e["from"]]
+
+
+def region_blocks(instructions: DataFrame, keys: list[str], length: str) -> DataFrame:
+    """`keys`, block (from 0), start, end, n, and the last instruction's last_opcode and last_target, of instruction rows
+    (keys, offset, opcode, operands, and the region's length): as `blocks`, without Python. A region, a function's
+    code, is one group; offsets are unique in it."""
+    ends = F.col("opcode").isin(RETURN, JUMP_TRUE, JUMP_FALSE, JUMP, PUSH_TRY, THROW)
+    jumps = F.col("opcode").isin(JUMP_TRUE, JUMP_FALSE, JUMP)
+    aims = F.when(jumps, F.slice("operands", 1, 1)).when(F.col("opcode") == PUSH_TRY, F.col("operands"))
+    target = F.when(jumps, F.get("operands", F.lit(0)))
+    # What a region's jumps aim at is a set of places, found in its own rows.
+    aimed = instructions.select(*keys, F.explode(F.transform(aims, lambda x: x.cast("long"))).alias("offset")).distinct().withColumn("_aimed", F.lit(True))
+    order = Window.partitionBy(*keys).orderBy("offset")
+    marked = instructions.select(*keys, F.col("offset").cast("long").alias("offset"), "opcode", target.cast("long").alias("_target"), ends.alias("_ends"), F.col(length).cast("long").alias("_length")).join(aimed, [*keys, "offset"], "left")
+    lead = F.coalesce("_aimed", F.lit(False)) | F.coalesce(F.lag("_ends").over(order), F.lit(True))
+    numbered = marked.withColumn("_leads", lead.cast("int")).withColumn("block", F.sum("_leads").over(order) - 1)
+    found = numbered.groupBy(*keys, "block").agg(F.min("offset").alias("start"), F.count("*").alias("n"), F.max_by(F.struct("opcode", "_target"), "offset").alias("_last"), F.first("_length").alias("_length"))
+    after = F.lead("start").over(Window.partitionBy(*keys).orderBy("block"))
+    return found.select(*keys, F.col("block").cast("int").alias("block"), "start", F.coalesce(after, "_length").alias("end"), "n", F.col("_last.opcode").alias("last_opcode"), F.col("_last._target").alias("last_target"))
+
+
+def region_edges(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """`keys`, source, target, kind (taken, fallthrough, jump) between the blocks of `region_blocks`, as `edges`. A target
+    that is no block's start, or past the last block, has no edge."""
+    starts = blocks.select(*keys, F.col("start").alias("last_target"), F.col("block").alias("target"))
+    two = F.col("last_opcode").isin(JUMP_TRUE, JUMP_FALSE)
+    aimed = blocks.where(two | (F.col("last_opcode") == JUMP)).join(starts, [*keys, "last_target"]).select(*keys, F.col("block").alias("source"), "target", F.when(two, "taken").otherwise("jump").alias("kind"))
+    following = F.lead("block").over(Window.partitionBy(*keys).orderBy("block"))
+    through = blocks.withColumn("target", following).where(~F.col("last_opcode").isin(JUMP, RETURN, THROW) & F.col("target").isNotNull()).select(*keys, F.col("block").alias("source"), "target", F.lit("fallthrough").alias("kind"))
+    return aimed.unionByName(through)

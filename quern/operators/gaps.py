@@ -94,8 +94,8 @@ def statement_kinds(statements: str) -> Column:
 
 
 def nested_report(instructions: DataFrame) -> DataFrame:
-    """library, entries (index, regions (region_index, instructions by offset)) of instruction rows; a
-    region is one task's work."""
+    """library, index, regions (region_index, instructions by offset) of instruction rows: a row an entry. A region,
+    and an entry's regions, are one task's work; a library is as many rows as it has entries, for a report
+    written by library (`partitionBy`)."""
     region = instructions.groupBy("library", "entry_index", "region_index").agg(F.array_sort(F.collect_list(F.struct("offset", "opcode", "mnemonic"))).alias("instructions"))
-    entry = region.groupBy("library", "entry_index").agg(F.array_sort(F.collect_list(F.struct("region_index", "instructions"))).alias("regions"))
-    return entry.groupBy("library").agg(F.array_sort(F.collect_list(F.struct(F.col("entry_index").alias("index"), "regions"))).alias("entries"))
+    return region.groupBy("library", F.col("entry_index").alias("index")).agg(F.array_sort(F.collect_list(F.struct("region_index", "instructions"))).alias("regions"))

@@ -98,15 +98,15 @@ def unique_by_both(df: DataFrame, one: Sequence[str], other: Sequence[str]) -> D
 def ancestors(parents: DataFrame, child: str, parent: str, max_depth: int = 64) -> DataFrame:
     """(child, ancestor, depth): each node itself at depth 0 and all above it, by recursion over the edges,
     at most max_depth up. Cycles end at that bound and give each pair's least depth."""
-    spark = parents.sparkSession
-    parents.select(F.col(child).alias("c"), F.col(parent).alias("p")).createOrReplaceTempView("_quern_parents")
-    closure = spark.sql(f"""
-        WITH RECURSIVE up(node, ancestor, depth) AS (
-            SELECT c, c, 0 FROM _quern_parents
-            UNION ALL SELECT up.node, e.p, up.depth + 1 FROM up JOIN _quern_parents e ON up.ancestor = e.c
-            WHERE e.p IS NOT NULL AND up.depth < {int(max_depth)})
-        SELECT node, ancestor, min(depth) AS depth FROM up GROUP BY node, ancestor""")
-    return closure
+    edges = parents.select(F.col(child).alias("c"), F.col(parent).alias("p"))
+    return parents.sparkSession.sql(
+        """WITH RECURSIVE up(node, ancestor, depth) AS (
+            SELECT c, c, 0 FROM {edges}
+            UNION ALL SELECT up.node, e.p, up.depth + 1 FROM up JOIN {edges} e ON up.ancestor = e.c
+            WHERE e.p IS NOT NULL AND up.depth < {most})
+        SELECT node, ancestor, min(depth) AS depth FROM up GROUP BY node, ancestor""",
+        edges=edges, most=int(max_depth),
+    )
 
 
 def inherited(closure: DataFrame, members: DataFrame, owner: str, key: str, value: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import scan as S
 from quern.operators.compare import differences
+from quern.operators.opcodes import assemble
 from quern.operators.preview import preview_regions
 from quern.sources.container import build_library, entries, parse_libraries
 from quern.streaming.events import windows
@@ -45,13 +46,12 @@ def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _coded(lines: DataFrame) -> DataFrame:
     """Order lines as code: per order, a 32-bit constant (part), a 16-bit one (quantity) per line, a return."""
-
-    def code(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("l_linenumber").to_pylist(), table.column("l_partkey").to_pylist(), table.column("l_quantity").to_pylist(), strict=True))
-        out = b"".join(struct.pack("<HiHh", 0x34, part, 0x32, int(q)) for _, part, q in rows) + struct.pack("<H", 0)
-        return pa.table({"l_orderkey": pa.array([table.column("l_orderkey")[0].as_py()], pa.int64()), "pcode": pa.array([out], pa.binary())})
-
-    return lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").groupBy("l_orderkey").applyInArrow(code, "l_orderkey long, pcode binary")
+    part, quantity = F.col("l_partkey"), F.col("l_quantity").cast("int")
+    words = lambda *w: F.array(*[x.cast("int") for x in w])
+    step = lambda k, opcode, operands: F.struct(F.lit(k).alias("step"), F.lit(opcode).alias("opcode"), operands.alias("operands"))
+    steps = F.explode(F.array(step(0, 0x34, words(part % 65536, F.floor(part / 65536))), step(1, 0x32, words(quantity))))
+    rows = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", steps.alias("s")).select("*", "s.*").drop("s")
+    return assemble(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_quantity", "step"]).select("l_orderkey", F.concat("pcode", F.unhex(F.lit("0000"))).alias("pcode"))
 
 
 def pcode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

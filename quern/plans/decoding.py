@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.operators import compare as C
 from quern.operators import decode as D
+from quern.operators import flow as W
 from quern.operators import opcodes as O
 from quern.operators import scan as S
 from quern.operators import symbols as Y
 from quern.operators import versions as V
+from quern.operators import views as X
 from quern.plans.queries import _t, registry
 
 QUERIES, ORACLE_SQL, bound = registry()
@@ -201,3 +203,42 @@ def typed_catches(spark, sf_dir):
     fragments = F.array(F.concat(F.lit("status="), key), F.when(key % 3 > 0, "STATUS").otherwise("missing"))
     manifest = named.select(F.lit(1).alias("position"), F.concat(F.lit("o"), key).alias("oracle_id"), F.lower("entry_name").alias("entry_name"), F.lit("F()").alias("signature"), F.col("theirs").alias("try_catch"), fragments.alias("fragments"))
     return C.construct_evidence(named, manifest, ["l_orderkey"])
+
+
+_FLOW_SQL = """i AS (SELECT l_orderkey AS k, 10 * (row_number() OVER w - 1) AS pos, ([2, 3, 4, 0, 50, 50, 50, 52, 52])[l_partkey % 9 + 1] AS op, 10 * (l_suppkey % (count(*) OVER (PARTITION BY l_orderkey) + 1)) AS aim, 10 * count(*) OVER (PARTITION BY l_orderkey) AS len
+        FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
+    leaders AS (SELECT k, 0 AS pos FROM i UNION SELECT k, pos + 10 FROM i WHERE op IN (0, 2, 3, 4) AND pos + 10 < len UNION SELECT k, aim FROM i WHERE op IN (2, 3, 4) AND aim < len),
+    b AS (SELECT k, pos AS start, row_number() OVER (PARTITION BY k ORDER BY pos) - 1 AS block, lead(pos) OVER (PARTITION BY k ORDER BY pos) AS nxt FROM leaders),
+    full_b AS (SELECT b.k, block, start, coalesce(nxt, l.len) AS finish FROM b JOIN (SELECT DISTINCT k, len FROM i) l ON l.k = b.k),
+    tails AS (SELECT f.*, i.op, i.aim FROM full_b f JOIN i ON i.k = f.k AND i.pos = f.finish - 10)"""
+
+
+@bound(f"WITH {_FLOW_SQL} SELECT k AS l_orderkey, block::INT AS block, start::BIGINT AS start, finish::BIGINT AS \"end\", ((finish - start) // 10)::BIGINT AS n FROM full_b")
+def flow_blocks(spark, sf_dir):
+    return _flow(spark, sf_dir).select("l_orderkey", "block", "start", "end", "n")
+
+
+@bound(f"""WITH {_FLOW_SQL} SELECT t.k AS l_orderkey, t.block::INT AS source, a.block::INT AS target, CASE WHEN op = 4 THEN 'jump' ELSE 'taken' END AS kind FROM tails t JOIN full_b a ON a.k = t.k AND a.start = t.aim WHERE op IN (2, 3, 4)
+    UNION ALL SELECT t.k, t.block::INT, a.block::INT, 'fallthrough' FROM tails t JOIN full_b a ON a.k = t.k AND a.block = t.block + 1 WHERE op NOT IN (0, 4)""")
+def flow_edges(spark, sf_dir):
+    return W.region_edges(_flow(spark, sf_dir), ["l_orderkey"])
+
+
+def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of orders, whose lines are instructions of ten bytes; some are jumps into the order, or past its end."""
+    lines = _t(spark, sf_dir, "lineitem")
+    own = Window.partitionBy("l_orderkey")
+    n = F.count("*").over(own)
+    opcode = F.get(F.array(*[F.lit(o) for o in (2, 3, 4, 0, 50, 50, 50, 52, 52)]), (F.col("l_partkey") % 9).cast("int"))
+    at = 10 * (F.row_number().over(own.orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1)
+    rows = lines.select("l_orderkey", at.alias("offset"), opcode.alias("opcode"), F.array((10 * (F.col("l_suppkey") % (n + 1))).cast("int")).alias("operands"), (10 * n).alias("length"))
+    return W.region_blocks(rows, ["l_orderkey"], "length")
+
+
+@bound(r"""SELECT o_orderkey, CASE WHEN o_custkey % 9 > 0 THEN printf('0x%04X', o_custkey * 77) ELSE '—' END AS code, CASE WHEN o_orderkey % 5 > 0 THEN printf('%.2f', o_orderkey / 7) || '%' ELSE '—' END AS share,
+    CASE o_orderkey % 4 WHEN 0 THEN o_orderpriority WHEN 1 THEN o_orderpriority || '.pbd' ELSE 'PBD' END AS file, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus WHEN o_orderkey % 3 = 1 THEN 'compiled' ELSE 'unknown' END AS object_type FROM orders""")
+def report_columns(spark, sf_dir):
+    key = F.col("o_orderkey")
+    path = F.when(key % 4 == 0, F.concat(F.lit("a/b\\"), "o_orderpriority")).when(key % 4 == 1, F.concat(F.lit("a\\b/"), "o_orderpriority", F.lit(".pbd"))).when(key % 4 == 2, "a/")
+    kind = X.object_kind(F.when(key % 3 == 0, F.col("o_orderstatus")).when(key % 3 == 1, ""), F.when(key % 3 == 1, "compiled"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", X.hex_text(F.when(F.col("o_custkey") % 9 > 0, F.col("o_custkey") * 77)).alias("code"), X.percent_text(F.when(key % 5 > 0, key / 7)).alias("share"), X.basename(path).alias("file"), kind.alias("object_type"))

@@ -114,9 +114,10 @@ def nested_report(spark, sf_dir):
     """Instructions nested to libraries, entries and regions, and read from there again."""
     lines = _t(spark, sf_dir, "lineitem")
     flat = lines.select(F.concat(F.lit("lib"), F.col("l_suppkey") % 50).alias("library"), F.col("l_orderkey").alias("entry_index"), F.col("l_linestatus").alias("region_index"), F.col("l_linenumber").cast("long").alias("offset"), F.lit(1).alias("opcode"), F.col("l_returnflag").alias("mnemonic"))
-    regions, sizes = F.flatten("entries.regions"), F.aggregate("entries", F.lit(0).cast("long"), lambda n, e: n + F.aggregate(e["regions"], F.lit(0).cast("long"), lambda m, r: m + F.size(r["instructions"])))
-    first = F.get("entries", F.lit(0))
-    return G.nested_report(flat).select("library", F.size("entries").cast("long").alias("entries"), F.size(regions).cast("long").alias("regions"), sizes.alias("instructions"), first["index"].alias("first_entry"), first["regions"][0]["instructions"][0]["offset"].alias("first_offset"))
+    entries = G.nested_report(flat)
+    sizes = F.aggregate("regions", F.lit(0).cast("long"), lambda n, r: n + F.size(r["instructions"]))
+    first = F.get(F.get("regions", F.lit(0))["instructions"], F.lit(0))["offset"]
+    return entries.groupBy("library").agg(F.count("*").alias("entries"), F.sum(F.size("regions")).alias("regions"), F.sum(sizes).alias("instructions"), F.min("index").alias("first_entry"), F.min_by(first, "index").alias("first_offset"))
 
 
 #: Statements of a function, those rebuilt, and the classes that they are to get: first family, root cause, blocker.

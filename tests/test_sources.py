@@ -153,8 +153,8 @@ def test_reports(spark, tmp_path):
     assert ("added", "", "INT") in changes and ("gone", "direct", "INCR_X") in changes
     assert gaps.comparison_histogram(a).count() == 2
     flat = spark.createDataFrame([("l", 0, 0, 4, 2, "B"), ("l", 0, 0, 0, 1, "A"), ("l", 1, 0, 0, 1, "A")], "library string, entry_index int, region_index int, offset long, opcode int, mnemonic string")
-    (nested,) = gaps.nested_report(flat).collect()
-    assert [[i.mnemonic for i in r.instructions] for e in nested.entries for r in e.regions] == [["A", "B"], ["A"]]
+    nested = gaps.nested_report(flat).orderBy("index").collect()
+    assert [[i.mnemonic for i in r.instructions] for e in nested for r in e.regions] == [["A", "B"], ["A"]] and [e["index"] for e in nested] == [0, 1]
     kinds = spark.sql("SELECT array('if a then', 'goto L_1', 'end if') AS s").select(gaps.statement_kinds("s").alias("k")).first().k
     assert (kinds.ifs, kinds.endifs, kinds.gotos) == (1, 1, 1)
 
