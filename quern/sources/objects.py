@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +15,8 @@ from quern.functions.bytesio import MISSING, FormatError, Reader, array_shape, t
 
 VERSIONS = (0x0152, 0x0153)
 SYSTEM_ENTRY = 0x00010000
+#: A place that is none, as it is written.
+NONE = 0xFFFF
 
 _VARIABLE = "struct<index: int, name: string, type_ref: int, type_name: string, array: string, flags: int, is_shared: boolean, is_referenced_global: boolean, is_instance: boolean, is_indirect: boolean, is_constant: boolean, raw: long>"
 _PARAMETER = "struct<index: int, name: string, type_ref: int, type_name: string, array: string, is_read_only: boolean, is_reference: boolean>"
@@ -159,6 +162,58 @@ def parse_object(data: bytes) -> dict:
     return {"version": version, "flags": flags, "entry_type": entry_type, "types": own, "enum_values": enums, "global_variables": globals_, "objects": objects, "constants": constants, "regions": regions}
 
 
+class _Strings:
+    """A buffer of UTF-16 texts that end with a NUL word, by their places."""
+
+    def __init__(self):
+        self.data = bytearray()
+
+    def place(self, text: str) -> int:
+        at = len(self.data)
+        self.data += text.encode("utf-16-le") + b"\0\0"
+        return at
+
+    def bytes(self) -> bytes:
+        return struct.pack("<II", len(self.data), 0) + bytes(self.data)
+
+
+def _table(strings: _Strings, records: list[bytes]) -> bytes:
+    return b"\0" * 6 + strings.bytes() + struct.pack("<H", 20 * len(records)) + b"".join(records)
+
+
+def _variable_table(variables: list[tuple[str, int, int, int]]) -> bytes:
+    """(name, type_ref, raw, head): the head's bit 4 makes a constant."""
+    strings = _Strings()
+    return _table(strings, [struct.pack("<B3xIIIBBH", head, NONE, strings.place(name), raw & 0xFFFFFFFF, 0, 0, ref) for name, ref, raw, head in variables])
+
+
+def build_object(type_name: str, base_name: str, constants: list[tuple[str, int, int | str]], functions: list[dict], version: int = 0x0153) -> bytes:
+    """A compiled object with one type: constants (name, type_ref, a number or a text), and functions: name, return_ref,
+    flags, parameters (name, type_ref, 2 for reference or 4 for read only), code, locals (name, type_ref), lines
+    (line, offset). What `parse_object` reads again."""
+    values, names, parameters = _Strings(), _Strings(), bytearray()
+    raws = [(n, ref, 0x80000000 | values.place(v) if isinstance(v, str) else v, 4) for n, ref, v in constants]
+    records, regions = [], []
+    for k, f in enumerate(functions):
+        start = len(parameters) if f["parameters"] else NONE
+        record = bytearray(48)
+        record[0:4] = struct.pack("<I", names.place("+" + f["name"]))
+        record[8:16] = struct.pack("<II", start if start == NONE else 0x80000000 | start, NONE)
+        record[28:32] = struct.pack("<HBB", f["return_ref"], len(f["parameters"]), f["flags"])
+        for name, ref, mode in f["parameters"]:
+            parameters += struct.pack("<IIHBB", names.place(name), NONE, ref, mode, 0)
+        records.append(bytes(record))
+        lines = b"".join(struct.pack("<HH", *x) for x in f["lines"])
+        regions.append((k, struct.pack("<HHH", len(f["code"]), len(f["lines"]), 0) + f["code"] + lines + _variable_table([(n, ref, 0, 0) for n, ref in f["locals"]]) + _Strings().bytes()))
+    own = _Strings()
+    types = [struct.pack("<8xI4xB3x", own.place(type_name), 0x40), struct.pack("<8xI4xB3x", own.place(base_name), 0)]
+    out = struct.pack("<HHI", version, 0, 0) + b"\0" * 24 + struct.pack("<H", 0) + values.bytes() + _variable_table([]) + struct.pack("<HH", 1, 1)
+    out += names.bytes() + struct.pack("<II", len(parameters), 0) + bytes(parameters) + _table(own, types) + _variable_table([])
+    out += struct.pack("<BxH12x", 0, 0x8000) + struct.pack("<HHH", 0x8001, 0, len(records)).ljust(28, b"\0") + struct.pack("<HH", len(raws), 0)
+    out += struct.pack("<H", len(regions)) + b"".join(struct.pack("<HH", 0, k) for k, _ in regions) + b"".join(r for _, r in regions)
+    return out + _variable_table([]) + _variable_table(raws) + b"\0" * (8 * len(raws)) + b"".join(records)
+
+
 def text_strings(data: bytes, limit: int = 512) -> dict:
     """Printable texts with their places: ASCII of four characters, UTF-16 of three, mostly letters and
     digits; the first `limit` by place, and whether there are more."""

@@ -109,6 +109,18 @@ def test_compiled_object(spark):
     assert catalogue_of([found]).parents == {"n_cache": "n_base"}
 
 
+def test_built_object_is_read_again():
+    functions = [
+        {"name": "of_a", "return_ref": 6, "flags": 0, "parameters": [("al_key", 2, 2), ("as_name", 6, 4), ("ab", 7, 0)], "code": b"\x32\0\1\0\0\0", "locals": [("ll_x", 2), ("ls_é", 6)], "lines": [(1, 0), (2, 4)]},
+        {"name": "of_b", "return_ref": 0, "flags": 0x20, "parameters": [], "code": b"\0\0", "locals": [], "lines": []},
+    ]
+    found = objects.parse_object(objects.build_object("n_own", "n_base", [("A", 2, -5), ("B", 6, "tèxt"), ("C", 7, 1)], functions))
+    assert [(c["name"], c["owner"], c["value"]["i"], c["value"]["s"]) for c in found["constants"]] == [("A", "n_own", -5, None), ("B", "n_own", None, "tèxt"), ("C", "n_own", 1, None)]
+    assert [signature(f) for f in found["objects"][0]["functions"]] == ["public function string of_a(ref long al_key, readonly string as_name, boolean ab)", "private subroutine of_b()"]
+    assert [(r["function_index"], bytes.fromhex(r["pcode"]), len(r["debug"]) // 8, [v["name"] for v in r["variables"]]) for r in found["regions"]] == [(0, functions[0]["code"], 2, ["ll_x", "ls_é"]), (1, b"\0\0", 0, [])]
+    assert objects.parse_object(objects.build_object("n", "m", [], []))["regions"] == []
+
+
 def test_values():
     assert [typed_value(t, r, b"")["i"] for t, r in ((1, 0xFFFF), (2, 0xFFFFFFFE), (7, 1), (9, 0x1FFFF), (10, 0xFFFFFFFF), (18, 65), (21, 300))] == [-1, -2, 1, 0xFFFF, 0xFFFFFFFF, 65, 44]
     assert typed_value(7, 2, b"")["kind"] == typed_value(5, 2, b"")["kind"] == typed_value(6, 0xFFFF, b"")["kind"] == "unresolved"
