@@ -47,11 +47,10 @@ def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _coded(lines: DataFrame) -> DataFrame:
     """Order lines as code: per order, a 32-bit constant (part), a 16-bit one (quantity) per line, a return."""
     part, quantity = F.col("l_partkey"), F.col("l_quantity").cast("int")
-    words = lambda *w: F.array(*[x.cast("int") for x in w])
-    step = lambda k, opcode, operands: F.struct(F.lit(k).alias("step"), F.lit(opcode).alias("opcode"), operands.alias("operands"))
-    steps = F.explode(F.array(step(0, 0x34, words(part % 65536, F.floor(part / 65536))), step(1, 0x32, words(quantity))))
-    rows = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", steps.alias("s")).select("*", "s.*").drop("s")
-    return assemble(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_quantity", "step"]).select("l_orderkey", F.concat("pcode", F.unhex(F.lit("0000"))).alias("pcode"))
+    # A line is one row, its first opcode and all words after it: equal lines stay apart.
+    words = F.array(*[x.cast("int") for x in (part % 65536, F.floor(part / 65536), F.lit(0x32), quantity)])
+    rows = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.lit(0x34).alias("opcode"), words.alias("operands"))
+    return assemble(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_quantity"]).select("l_orderkey", F.concat("pcode", F.unhex(F.lit("0000"))).alias("pcode"))
 
 
 def pcode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from quern.operators import scan as S
 from quern.operators import symbols as Y
 from quern.operators import versions as V
 from quern.operators import views as X
+from quern.operators.preview import preview_regions
 from quern.plans.queries import _t, registry
 
 QUERIES, ORACLE_SQL, bound = registry()
@@ -242,3 +243,28 @@ def report_columns(spark, sf_dir):
     path = F.when(key % 4 == 0, F.concat(F.lit("a/b\\"), "o_orderpriority")).when(key % 4 == 1, F.concat(F.lit("a\\b/"), "o_orderpriority", F.lit(".pbd"))).when(key % 4 == 2, "a/")
     kind = X.object_kind(F.when(key % 3 == 0, F.col("o_orderstatus")).when(key % 3 == 1, ""), F.when(key % 3 == 1, "compiled"))
     return _t(spark, sf_dir, "orders").select("o_orderkey", X.hex_text(F.when(F.col("o_custkey") % 9 > 0, F.col("o_custkey") * 77)).alias("code"), X.percent_text(F.when(key % 5 > 0, key / 7)).alias("share"), X.basename(path).alias("file"), kind.alias("object_type"))
+
+
+@bound("""WITH p AS (SELECT l_orderkey AS k, row_number() OVER w AS j, l_partkey AS a, l_quantity::INT AS b, l_suppkey AS c, 'll_' || (l_linenumber % 3) AS v, l_partkey % 4 AS f FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity))
+    SELECT k AS l_orderkey, 'public function long of_' || k || '()' AS signature, string_agg(CASE f WHEN 0 THEN v || ' = ' || a || ' * ' || b || ' + ' || c WHEN 1 THEN v || ' = (' || a || ' + ' || b || ') * ' || c WHEN 2 THEN v || ' = ' || a || ' - (' || b || ' - ' || c || ')'
+        ELSE v || ' = ' || a || ' - ' || b || ' - ' || c END, '; ' ORDER BY j) || '; return ll_0' AS statements, 7 * count(*) + 3 AS instructions, 0 AS gaps, true AS complete FROM p GROUP BY k""")
+def fold_expressions(spark, sf_dir):
+    """Order lines as assignments of expressions on an operand stack, in four groupings; an order is a function."""
+    part, quantity, supplier, form = F.col("l_partkey"), F.col("l_quantity").cast("long"), F.col("l_suppkey"), F.col("l_partkey") % 4
+    words = lambda *w: F.array(*[(F.lit(x) if isinstance(x, int) else x).cast("int") for x in w])
+    push = lambda value: words(0x34, value % 65536, F.floor(value / 65536))
+    # ADD, SUB and MULT of long numbers, and their assignment.
+    add, sub, mult, assign = 0x55, 0x5C, 0x63, 0x82
+    first, second = F.when(form == 0, mult).when(form == 1, add).otherwise(sub), F.when(form == 0, add).when(form == 1, mult).otherwise(sub)
+    # Left to right: a b op c op; nested: a b c op op. A line is one row: its first opcode, and all other words.
+    inner = F.when(form == 2, F.concat(push(supplier), words(first))).otherwise(F.concat(words(first), push(supplier)))
+    line = F.concat(words(F.col("l_linenumber") % 3), push(part), push(quantity), inner, words(second, assign, 0))
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.lit(0x1E).alias("opcode"), line.alias("operands"))
+    ending = F.unhex(F.lit("1E000000" + "01000100" + "0000"))
+    code = O.assemble(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]).withColumn("pcode", F.concat("pcode", ending))
+    variables = F.array(*[F.struct(F.lit(f"ll_{k}").alias("name"), F.lit("long").alias("type_name"), F.lit("").alias("array"), F.lit(False).alias("is_referenced_global"), F.lit(0).alias("raw")) for k in range(3)])
+    definition = F.struct(F.concat(F.lit("of_"), "l_orderkey").alias("name"), F.lit(0).alias("flags"), F.lit("long").alias("return_type_name"), F.array().cast("array<string>").alias("parameters"))
+    regions = code.select("l_orderkey", F.to_json(F.struct(F.hex("pcode").alias("pcode"), variables.alias("variables"), definition.alias("definition"))).alias("region"), F.lit("{}").alias("context"))
+    table = S.opcodes(O.read_opcodes(spark, str(TABLE)).select("opcode", "mnemonic", "words_old", "words", "rule"))
+    found = preview_regions(regions, ["l_orderkey"], table, 12)
+    return found.select("l_orderkey", "signature", F.array_join("statements", "; ").alias("statements"), F.col("n_instructions").alias("instructions"), F.size("gaps").alias("gaps"), "complete")
