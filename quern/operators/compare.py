@@ -114,6 +114,20 @@ def compare(previews: DataFrame, known: DataFrame, keys: list[str], order: list[
 _CATCHES = "array<struct<exception_type: string, variable_name: string>>"
 
 
+_MANIFEST = f"report_version int, functions array<struct<oracle_id: string, entry_name: string, signature: string, source_reference: string, try_catch: array<struct<catches: {_CATCHES}>>, normalized_body_fragments: array<string>>>"
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """position, oracle_id, entry_name, signature, source_reference, try_catch, fragments of the functions that JSON
+    manifests (a file each) declare. Positions are the order in the file, files by their names; what a
+    function leaves out is empty. A file that is no manifest raises an error when it is read."""
+    files = spark.read.schema(_MANIFEST).option("multiLine", True).option("mode", "FAILFAST").json(path).select("functions", F.col("_metadata.file_path").alias("file"))
+    rows = files.select("file", F.posexplode("functions").alias("at", "f"))
+    fields = F.col("f.try_catch"), F.col("f.normalized_body_fragments")
+    empty = [F.array().cast(f"array<struct<catches: {_CATCHES}>>"), F.array().cast("array<string>")]
+    return rows.select(F.struct("file", "at").alias("position"), "f.oracle_id", "f.entry_name", "f.signature", "f.source_reference", F.coalesce(fields[0], empty[0]).alias("try_catch"), F.coalesce(fields[1], empty[1]).alias("fragments"))
+
+
 def construct_evidence(previews: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFrame:
     """`keys`, oracle_id, status (verified, mismatch), fragments: a row for each structure that a known source declares
     for a preview (entry_name, signature, statements, try_catch) and that was looked at.

@@ -46,16 +46,15 @@ def library_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("r.*", "object_type", "entry_index", (F.col("n") == F.ceil(F.col("size") / 502)).alias("whole"))
 
 
-@bound("""SELECT format('{:06d}', o_orderkey % 100000) || '.txt' AS name, sha256(o_orderkey || ':' || o_orderpriority) AS sha256, length(o_orderkey || ':' || o_orderpriority) AS size, o_orderstatus AS status FROM orders WHERE o_orderstatus = 'P'""")
+@bound("""SELECT s_suppkey::INT AS entry_index, s_name || '.txt' AS name, sha256(s_name || ':' || s_nationkey) AS sha256, length(s_name || ':' || s_nationkey) AS size, s_acctbal AS balance FROM supplier""")
 def entry_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open orders as raw files with a manifest."""
-    rows = _t(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
-    body = F.concat_ws(":", "o_orderkey", "o_orderpriority")
-    name = F.format_string("%06d.txt", F.col("o_orderkey") % 100000)
+    """Suppliers as raw files with a manifest, read back from there."""
+    rows = _t(spark, sf_dir, "supplier")
     folder = scratch(spark, "entries")
-    write_entry_folder(rows.select((F.col("o_orderkey") % 10000).cast("int").alias("entry_index"), name.alias("name"), body.cast("binary").alias("data"), F.col("o_orderstatus").alias("status")), folder)
-    line = F.from_json("entry", "name string, status string")
-    return read_entry_folder(spark, folder).withColumn("line", line).select("line.name", "sha256", "size", "line.status")
+    body = F.concat_ws(":", "s_name", "s_nationkey").cast("binary")
+    write_entry_folder(rows.select(F.col("s_suppkey").cast("int").alias("entry_index"), F.concat("s_name", F.lit(".txt")).alias("name"), body.alias("data"), F.col("s_acctbal").alias("balance")), folder)
+    line = F.from_json("entry", "entry_index int, name string, balance double")
+    return read_entry_folder(spark, folder).withColumn("line", line).select("line.entry_index", "line.name", "sha256", "size", "line.balance")
 
 
 @bound("""SELECT s_suppkey, 'n_' || s_suppkey AS type_name, 'n_supplier' AS inherits, s_nationkey::BIGINT AS nation, trunc(s_acctbal)::BIGINT AS balance, s_name AS name, s_nationkey % 2 = 0 AS even,

@@ -1,5 +1,6 @@
 """Versions, the opcode dimension, symbols, typed catches, and the decode of libraries from end to end."""
 
+import json
 import random
 from pathlib import Path
 
@@ -93,6 +94,18 @@ def test_typed_catches(spark):
     assert got == {i: [(f"o{i}#try_catch_{n}", *x) for n, x in enumerate(want, 1)] for i, (*_, want) in enumerate(cases) if want}
 
 
+def test_manifest_file(spark, tmp_path):
+    functions = [{"oracle_id": "a", "entry_name": "A0.udo", "signature": "f()", "source_reference": "x:1", "try_catch": [{"catches": [{"exception_type": "exception", "variable_name": "e"}]}], "normalized_body_fragments": ["li_x=1"]}, {"oracle_id": "b", "entry_name": "a0.udo", "signature": "F()", "source_reference": "x:2"}]
+    (tmp_path / "m.json").write_text(json.dumps({"report_version": 1, "functions": functions}, indent=2))
+    manifest = compare.read_manifest(spark, str(tmp_path / "m.json"))
+    assert [(r.position.at, r.oracle_id, len(r.try_catch), r.fragments) for r in manifest.orderBy("position").collect()] == [(0, "a", 1, ["li_x=1"]), (1, "b", 0, [])]
+    previews = spark.createDataFrame([(1, "a0.udo", "f()", ["li_x = 1"], [([("Exception", "E")],)])], f"k int, entry_name string, signature string, statements array<string>, try_catch array<struct<catches: {CATCH}>>")
+    assert [tuple(r) for r in compare.construct_evidence(previews, manifest, ["k"]).collect()] == [(1, "a#try_catch_1", "verified", 1)]
+    (tmp_path / "bad.json").write_text("[1")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        compare.read_manifest(spark, str(tmp_path / "bad.json")).collect()
+
+
 def test_versions(spark):
     wide = lambda *words: b"".join(w.to_bytes(2, "little") for w in words)
     rows = [
@@ -176,8 +189,8 @@ def test_flow_of_rows_is_that_of_regions(spark):
 def test_decode_of_a_library(spark, tmp_path, empty):
     """Counters of every level against sums over the collected rows, and the observed totals of the same pass."""
     from quern.plans.artifacts import SOME_OPCODES
-    from quern.sources import container, objects
-    from quern.sources.files import numbered, read_libraries
+    from quern.sources import container, objects, sinks
+    from quern.sources.files import numbered, read_entry_folder, read_libraries
     from test_artifacts import compiled
 
     data = [compiled(), b"PDW1 some window", b"other"]
@@ -210,5 +223,9 @@ def test_decode_of_a_library(spark, tmp_path, empty):
     assert tuple(views.header(counted).first()) == (4, len(regions), 0, 0, "—")
     shown = views.header(counted, decode.summary(spark.createDataFrame(kept, decode.FACTS)).where("level = 'all'")).first()
     assert shown.object_containers == 4 and shown.coverage == f"{total['semantic_coverage_percent']:.2f}%"
+    sinks.write_decode(decoded, decode.summary(spark.createDataFrame(kept, decode.FACTS)), str(tmp_path / "out"))
+    texts = {json.loads(r.entry)["library"].rpartition("/")[2]: r.content.decode() for r in read_entry_folder(spark, str(tmp_path / "out" / "functions")).collect()}
+    assert set(texts) == {"a.pbd", "b.pbd"} and all(t.startswith("public function string of_get(ref long al_key)\n") and t.endswith("\nend") for t in texts.values())
+    assert spark.read.json(str(tmp_path / "out" / "regions")).count() == len(regions) and spark.read.json(str(tmp_path / "out" / "summary")).count() == len(levels)
     counts = decode.catalogue_counts(inspected).first()
     assert counts.runtime_entry_count == 4 and counts.runtime_object_definition_count == inspected.select(F.sum(F.size("object.objects"))).first()[0]
