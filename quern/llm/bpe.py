@@ -91,6 +91,7 @@ class WordEncoder:
 
     def __init__(self, path: str, bound: int = 400_000, known: dict[str, np.ndarray] | None = None):
         self.path, self.bound, self.known = path, bound, {} if known is None else known
+        self.model = tokenizer(path).model
 
     def ids(self, text: str) -> np.ndarray:
         words = split_words(text, self.path)
@@ -100,7 +101,9 @@ class WordEncoder:
         if len(known) > self.bound:
             known.clear()
         for word in set(words).difference(known):
-            known[word] = np.array(encode_word(word, self.path), "<u4").tobytes()
+            # The tokenizer hands words of ASCII letters to its model as they are; only others need its byte mapping.
+            own = [t.id for t in self.model.tokenize(word)] if word.isascii() and word.isalpha() else encode_word(word, self.path)
+            known[word] = np.array(own, "<u4").tobytes()
         return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
 
 
