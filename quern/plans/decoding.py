@@ -176,8 +176,9 @@ def symbol_rewrite(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("owner"), F.coalesce("text", F.lit("")).alias("text"))
     words = docs.select("owner", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), F.lit(0))).alias("name"))
     value = F.struct(F.lit("signed").alias("kind"), F.col("n").alias("i"), F.lit(None).cast("string").alias("s")).alias("value")
-    counted = lambda rows: rows.groupBy("owner", "name").agg(F.count("*").alias("n")).select("owner", "name", (F.length("name") % 3).alias("type_ref"), value)
-    constants = counted(words).unionByName(counted(words.withColumn("owner", F.lit(""))))
+    counted = words.groupBy("owner", "name").agg(F.count("*").alias("n"))
+    everywhere = counted.groupBy("name").agg(F.sum("n").alias("n")).withColumn("owner", F.lit(""))
+    constants = counted.unionByName(everywhere).select("owner", "name", (F.length("name") % 3).alias("type_ref"), value)
     first = F.regexp_extract("text", "[A-Za-z]+", 0)
     known = F.filter(F.array(F.struct(first.alias("name"), F.col("owner").alias("type_name"), F.lit(True).alias("shadows"), F.lit(0).alias("rank"))), lambda v: v["name"] != "")
     bodies = docs.select("doc_id", "owner", known.alias("identifiers"), F.array("text").alias("body"))
