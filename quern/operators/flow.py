@@ -114,28 +114,43 @@ def loops(flow: dict) -> list[tuple[int, int]]:
 def region_blocks(instructions: DataFrame, keys: list[str], length: str) -> DataFrame:
     """`keys`, block (from 0), start, end, n, and the last instruction's last_opcode and last_target, of instruction rows
     (keys, offset, opcode, operands, and the region's length): as `blocks`, without Python. A region, a function's
-    code, is one group; offsets are unique in it."""
-    ends = F.col("opcode").isin(RETURN, JUMP_TRUE, JUMP_FALSE, JUMP, PUSH_TRY, THROW)
+    code, is one group; offsets are unique in it. The input is shuffled and sorted once: what jumps aim at stands
+    before the instruction of its place, and blocks are told by neighbouring rows, without joins."""
+    ends = F.coalesce(F.col("opcode").isin(RETURN, JUMP_TRUE, JUMP_FALSE, JUMP, PUSH_TRY, THROW), F.lit(True))
     jumps = F.col("opcode").isin(JUMP_TRUE, JUMP_FALSE, JUMP)
     aims = F.when(jumps, F.slice("operands", 1, 1)).when(F.col("opcode") == PUSH_TRY, F.col("operands"))
-    target = F.when(jumps, F.get("operands", F.lit(0)))
-    # What a region's jumps aim at is a set of places, found in its own rows.
-    aimed = instructions.select(*keys, F.explode(F.transform(aims, lambda x: x.cast("long"))).alias("offset")).distinct().withColumn("_aimed", F.lit(True))
-    order = Window.partitionBy(*keys).orderBy("offset")
-    marked = instructions.select(*keys, F.col("offset").cast("long").alias("offset"), "opcode", target.cast("long").alias("_target"), ends.alias("_ends"), F.col(length).cast("long").alias("_length")).join(aimed, [*keys, "offset"], "left")
-    lead = F.coalesce("_aimed", F.lit(False)) | F.coalesce(F.lag("_ends").over(order), F.lit(True))
-    numbered = marked.withColumn("_leads", lead.cast("int")).withColumn("block", F.sum("_leads").over(order) - 1)
-    found = numbered.groupBy(*keys, "block").agg(F.min("offset").alias("start"), F.count("*").alias("n"), F.max_by(F.struct("opcode", "_target"), "offset").alias("_last"), F.first("_length").alias("_length"))
-    after = F.lead("start").over(Window.partitionBy(*keys).orderBy("block"))
-    return found.select(*keys, F.col("block").cast("int").alias("block"), "start", F.coalesce(after, "_length").alias("end"), "n", F.col("_last.opcode").alias("last_opcode"), F.col("_last._target").alias("last_target"))
+    target = F.when(jumps, F.get("operands", F.lit(0))).cast("long")
+    row = lambda place, real: F.struct(place.cast("long").alias("offset"), F.lit(real).alias("_real"), *[F.when(F.lit(real), c).alias(n) for n, c in (("_opcode", F.col("opcode")), ("_target", target), ("_ends", ends), ("_length", F.col(length).cast("long")))])
+    both = F.concat(F.array(row(F.col("offset"), True)), F.coalesce(F.transform(aims, lambda x: row(x, False)), F.array()))
+    places = instructions.select(*keys, F.explode(both).alias("_x")).select(*keys, "_x.*")
+    order = Window.partitionBy(*keys).orderBy("offset", "_real")
+    ended = F.last("_ends", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    aimed = F.lag("offset").over(order) == F.col("offset")
+    marked = places.withColumn("_leads", F.coalesce(ended, F.lit(True)) | F.coalesce(aimed, F.lit(False))).where("_real")
+    own = {"_at": F.row_number().over(order), "_block": F.sum(F.col("_leads").cast("int")).over(order) - 1, "_next": F.lead("offset").over(order), "_last": F.coalesce(F.lead("_leads").over(order), F.lit(True))}
+    # A block's first row and its last one, which may be the same, are next to each other here.
+    edge = marked.withColumns(own).where("_leads OR _last")
+    of_last = lambda c: F.when(F.col("_last"), F.col(c)).otherwise(F.lead(c).over(order))
+    found = edge.withColumns({"_end": of_last("_next"), "_n": of_last("_at") - F.col("_at") + 1, "_last_opcode": of_last("_opcode"), "_last_target": of_last("_target")}).where("_leads")
+    return found.select(*keys, F.col("_block").cast("int").alias("block"), F.col("offset").alias("start"), F.coalesce("_end", "_length").alias("end"), F.col("_n").cast("long").alias("n"), F.col("_last_opcode").alias("last_opcode"), F.col("_last_target").alias("last_target"))
 
 
 def region_edges(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """`keys`, source, target, kind (taken, fallthrough, jump) between the blocks of `region_blocks`, as `edges`. A target
-    that is no block's start, or past the last block, has no edge."""
-    starts = blocks.select(*keys, F.col("start").alias("last_target"), F.col("block").alias("target"))
-    two = F.col("last_opcode").isin(JUMP_TRUE, JUMP_FALSE)
-    aimed = blocks.where(two | (F.col("last_opcode") == JUMP)).join(starts, [*keys, "last_target"]).select(*keys, F.col("block").alias("source"), "target", F.when(two, "taken").otherwise("jump").alias("kind"))
-    following = F.lead("block").over(Window.partitionBy(*keys).orderBy("block"))
-    through = blocks.withColumn("target", following).where(~F.col("last_opcode").isin(JUMP, RETURN, THROW) & F.col("target").isNotNull()).select(*keys, F.col("block").alias("source"), "target", F.lit("fallthrough").alias("kind"))
-    return aimed.unionByName(through)
+    that is no block's start, or past the last block, has no edge. A jump is put behind the block that starts where it
+    aims, in one more sort of the same partitions."""
+    two, jumps = F.col("last_opcode").isin(JUMP_TRUE, JUMP_FALSE), F.col("last_opcode").isin(JUMP_TRUE, JUMP_FALSE, JUMP)
+    following = F.lead("block").over(Window.partitionBy(*keys).orderBy("start"))
+    row = lambda place, target, kind, source: F.struct(place.alias("_place"), target.cast("int").alias("target"), kind.cast("string").alias("kind"), source.cast("int").alias("source"))
+    none = F.lit(None)
+    start = row(F.col("start"), F.col("block"), none, none)
+    jump = row(F.col("last_target"), none, F.when(two, "taken").otherwise("jump"), F.col("block"))
+    through = row(F.lit(None).cast("long"), F.col("_following"), F.lit("fallthrough"), F.col("block"))
+    goes = ~F.col("last_opcode").isin(JUMP, RETURN, THROW) & F.col("_following").isNotNull()
+    every = F.concat(F.array(start), F.when(jumps & F.col("last_target").isNotNull(), F.array(jump)).otherwise(F.array()), F.when(goes, F.array(through)).otherwise(F.array()))
+    rows = blocks.withColumn("_following", following).select(*keys, F.explode(every).alias("_x")).select(*keys, "_x.*")
+    # A place's start, which has no source, comes first.
+    order = Window.partitionBy(*keys).orderBy("_place", F.col("source").asc_nulls_first())
+    known = F.last(F.when(F.col("source").isNull(), F.struct("_place", "target")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    met = F.when(F.col("kind") == "fallthrough", F.col("target")).when(known["_place"] == F.col("_place"), known["target"])
+    return rows.withColumn("_met", met).where("source IS NOT NULL AND _met IS NOT NULL").select(*keys, "source", F.col("_met").alias("target"), "kind")
