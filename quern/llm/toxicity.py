@@ -7,10 +7,11 @@ These examples are its evidence.
 
 The index is inverted: each word has a list of the examples that hold it, with their weights, and a list of
 the blocks of BLOCK examples that hold it, with the largest weight in each. A query's words are taken by
-falling bounds (their weight times the word's largest weight) until what is left adds up to SKIP at most.
-The sums so far give a least cosine that the nearest examples have; the block maxima of the words left say
-which examples may reach it, and only these are computed in full. No example is lost. The longest lists are
-held as rows over all examples, and many queries at a time are multiplied with them.
+falling worth (their bound, that is their weight times the word's largest weight, an entry of the list) until
+the bounds of what is left add up to SKIP at most. The sums so far give a least cosine that the nearest
+examples have; the block maxima of the words left say which examples may reach it, and only these are
+computed in full. No example is lost. The longest lists are held as rows over all examples, and many queries
+at a time are multiplied with them; the longest lists of blocks are rows as well.
 """
 
 from __future__ import annotations
@@ -34,9 +35,11 @@ from quern.llm.shingles import run_hashes
 #: Labelled examples that the index holds at most (by the order of a hash of their ids); with their words
 #: these bound what is broadcast.
 MAX_EXAMPLES = 20_000
-NEIGHBOURS, BLOCK, NEAR, PRIOR_WEIGHT, SKIP = 15, 64, 0.05, 1.0, 0.02
+NEIGHBOURS, BLOCK, NEAR, PRIOR_WEIGHT, SKIP = 15, 64, 0.05, 1.0, 0.08
 #: Lists held as rows: at most so many, of words that this share of the examples have; queries at a time.
-ROWS, SHARE, QUERIES = 512, 0.05, 64
+ROWS, SHARE, QUERIES = 192, 0.05, 64
+#: Lists of blocks held as rows at most.
+TOPS = 4096
 #: Bytes of texts whose words are read at a time; texts that are taken from a batch at a time.
 CHUNK, TEXTS = 1 << 18, 512
 #: More than single precision errs by.
@@ -68,19 +71,31 @@ def words_of(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np
             parts, a, size = [], z, 0
 
 
-def _counted(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, value, how often) of the distinct pairs, in order."""
-    order = np.lexsort((values, owner))
-    owner, values = owner[order], values[order]
-    first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (values[1:] != values[:-1]))[: len(owner)])
-    return owner[first], values[first], np.diff(np.append(first, len(owner)))
+def _counted(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values, and of the distinct pairs, in order: owner, which value, how often)."""
+    names, which = np.unique(values, return_inverse=True)
+    pairs, count = np.unique(owner * len(names) + which, return_counts=True)
+    return names, *np.divmod(pairs, max(1, len(names))), count
+
+
+def _known(words: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(column of each name among the sorted words, whether it is one of them)."""
+    if not len(words):
+        return np.zeros(len(names), int), np.zeros(len(names), bool)
+    column = np.minimum(np.searchsorted(words, names), len(words) - 1)
+    return column, words[column] == names
 
 
 class Lists:
-    """One list of places and values after another: list i is from starts[i] to starts[i + 1]."""
+    """One list of places and values after another: list i is from starts[i] to starts[i + 1]. A place and its
+    value in single precision are one number of 64 bits, so that lists are put together by copying bytes."""
 
     def __init__(self, starts: np.ndarray, places: np.ndarray, values: np.ndarray):
-        self.starts, self.places, self.values = starts, places, values
+        self.starts = starts
+        pairs = np.empty(len(places), "<u8")
+        self.places, self.values = pairs.view("<u4")[::2], pairs.view("<f4")[1::2]
+        self.places[:], self.values[:] = places, values
+        self._pairs = memoryview(pairs)
 
     @staticmethod
     def of(matrix: np.ndarray | Lists) -> Lists:
@@ -90,22 +105,24 @@ class Lists:
         rows, places = np.nonzero(matrix)
         return Lists(np.searchsorted(rows, np.arange(len(matrix) + 1)), places, matrix[rows, places])
 
-    def at(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(where the entries of some lists are, how many each has)."""
-        low = self.starts[lists]
-        many = self.starts[lists + 1] - low
-        return np.arange(int(many.sum())) + np.repeat(low - (np.cumsum(many) - many), many), many
+    def joined(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, values, how many each has) of some lists, one after another."""
+        low, high = self.starts[lists], self.starts[lists + 1]
+        parts = b"".join([self._pairs[a:z] for a, z in zip(low.tolist(), high.tolist(), strict=True)])
+        pairs = np.frombuffer(parts, "<u8") if parts else np.empty(0, "<u8")
+        return (pairs & np.uint64(0xFFFFFFFF)).view(np.int64), pairs.view("<f4")[1::2], high - low
 
     def sums(self, lists: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
-        """The sums of weighted values by place. Short lists are gathered together, long ones taken one by one."""
-        many = self.starts[lists + 1] - self.starts[lists]
-        short, long = np.flatnonzero(many < 32), np.flatnonzero(many >= 32)
-        at, _ = self.at(lists[short])
-        cuts = list(zip(self.starts[lists[long]].tolist(), self.starts[lists[long] + 1].tolist(), strict=True))
-        places = np.concatenate([self.places[at], *[self.places[a:z] for a, z in cuts]])
-        values = np.concatenate([self.values[at], *[self.values[a:z] for a, z in cuts]])
-        values *= np.repeat(weights[both := np.concatenate([short, long])].astype(values.dtype), many[both])
-        return np.bincount(places, values, size)
+        """The sums of weighted values by place."""
+        places, values, many = self.joined(lists)
+        return np.bincount(places, values * np.repeat(weights, many), size)
+
+
+def _numbered(chosen: np.ndarray, size: int) -> np.ndarray:
+    """The place of each of `size` numbers among the chosen ones, or -1."""
+    place = np.full(size, -1)
+    place[chosen] = np.arange(len(chosen))
+    return place
 
 
 class Index:
@@ -126,29 +143,37 @@ class Index:
         first = np.flatnonzero(np.append(True, (column[1:] != column[:-1]) | (block[1:] != block[:-1]))[: len(column)])
         top = np.maximum.reduceat(self.by_word.values, first) if len(first) else self.by_word.values
         self.tops = Lists(np.searchsorted(column[first], np.arange(len(idf) + 1)), block[first], top)
-        self.most = np.zeros(len(idf))
-        np.maximum.at(self.most, column[first], top)
+        most = np.zeros(len(idf))
+        np.maximum.at(most, column[first], top)
         del rows, order, column, block, inside, first
         many = np.diff(self.by_word.starts)
+        self.most, self.worth = most, most / np.maximum(many, 1)
         long = np.argsort(-many, kind="stable")[:ROWS]
         long = long[many[long] > SHARE * len(ids)]
-        self.row_of = np.full(len(idf), -1)
-        self.row_of[long] = np.arange(len(long))
+        self.row_of = _numbered(long, len(idf))
         self.rows = np.zeros((len(long), self.blocks * BLOCK), np.float32)
         for i, word in enumerate(long.tolist()):
             a, z = self.by_word.starts[word], self.by_word.starts[word + 1]
             self.rows[i, self.by_word.places[a:z]] = self.by_word.values[a:z]
-        self.query = np.zeros(len(idf))
+        many = np.diff(self.tops.starts)
+        wide = np.argsort(-many, kind="stable")[:TOPS]
+        wide = wide[many[wide] > self.blocks / 8]
+        self.top_of = _numbered(wide, len(idf))
+        self.top_rows = np.zeros((len(wide), self.blocks), np.float32)
+        places, values, many = self.tops.joined(wide)
+        self.top_rows[np.repeat(np.arange(len(wide)), many), places] = values
+        self.query, self.asked = np.zeros(len(idf)), np.zeros(len(idf), bool)
 
     def columns(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(columns, counts) of each text's words that the index has."""
         for a, z, owner, words in words_of(texts):
-            owner, words, count = _counted(owner, words)
-            column = np.minimum(np.searchsorted(self.words, words), max(0, len(self.words) - 1))
-            known = np.flatnonzero(self.words[column] == words) if len(self.words) else np.empty(0, int)
+            names, owner, which, count = _counted(owner, words)
+            column, known = _known(self.words, names)
+            known = np.flatnonzero(known[which])
+            column, count = column[which[known]], count[known]
             cuts = np.searchsorted(owner[known], np.arange(z - a + 1))
             for b, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                yield column[known[b:e]], count[known[b:e]]
+                yield column[b:e], count[b:e]
 
     def by_rows(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Queries x examples: what the words with rows add to the cosines, in single precision."""
@@ -164,22 +189,25 @@ class Index:
         found = self.by_rows([(columns, weights)])[0] if found is None else found
         short = self.row_of[columns] < 0
         own, values = columns[short], weights[short]
-        bounds = values * self.most[own]
-        order = np.argsort(-bounds, kind="stable")
-        cut = len(order) - int(np.searchsorted(np.cumsum(bounds[order][::-1]), SKIP, "right"))
+        # Lists whose entries are worth least go last: the bounds of what is skipped add up to SKIP at most.
+        order = np.argsort(-values * self.worth[own], kind="stable")
+        cut = len(order) - int(np.searchsorted(np.cumsum((values * self.most[own])[order][::-1]), SKIP, "right"))
         heavy, light = order[:cut], order[cut:]
         found = (self.by_word.sums(own[heavy], values[heavy], len(found)).astype(np.float32) + found).reshape(BLOCK, self.blocks)
         best = found.max(axis=0)
         # the best of so many blocks are so many examples
         least = np.partition(best, len(best) - NEIGHBOURS)[len(best) - NEIGHBOURS] if len(best) > NEIGHBOURS else 0.0
-        reach = self.tops.sums(own[light], values[light], self.blocks).astype(np.float32)
+        top = self.top_of[own[light]]
+        wide, narrow = light[top >= 0], light[top < 0]
+        reach = values[wide].astype(np.float32) @ self.top_rows[top[top >= 0]] + self.tops.sums(own[narrow], values[narrow], self.blocks).astype(np.float32)
         at = np.flatnonzero(found >= np.maximum(least - SLACK, 1e-30) - reach)
         rows = np.sort(at % self.blocks * BLOCK + at // self.blocks)
         rows = rows[rows < len(self.ids)]
-        self.query[columns] = weights
-        at, many = self.examples.at(rows)
-        cosines = np.bincount(np.repeat(np.arange(len(rows)), many), self.examples.values[at] * self.query[self.examples.places[at]], len(rows))
-        self.query[columns] = 0
+        self.query[columns], self.asked[columns] = weights, True
+        places, held, many = self.examples.joined(rows)
+        common = np.flatnonzero(self.asked[places])
+        cosines = np.bincount(np.repeat(np.arange(len(rows)), many)[common], held[common] * self.query[places[common]], len(rows))
+        self.asked[columns] = False
         best = np.lexsort((rows, -np.round(cosines, 12)))[:NEIGHBOURS]
         best = best[cosines[best] > 0]
         return rows[best], cosines[best]
@@ -225,7 +253,9 @@ def _unpacked(packed: bytes) -> Index:
     values *= idf.astype(np.float32)[columns]
     if len(ids):
         values /= np.repeat(np.sqrt(np.add.reduceat(values**2, starts[:-1])), np.diff(starts))
-    index = Index(words, idf, Lists(starts, columns, values), ids, labels, prior)
+    examples = Lists(starts, columns, values)
+    del planes, counts, columns, values
+    index = Index(words, idf, examples, ids, labels, prior)
     release()
     return index
 
@@ -240,9 +270,8 @@ def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         labels = batch.column(1).to_numpy()
         for a, _, owner, words in words_of(batch.column(0).to_pylist()):
-            owner, words, _ = _counted(owner, words)
-            names, group = np.unique(words, return_inverse=True)
-            n, toxic = np.bincount(group, minlength=len(names)), np.bincount(group, labels[a + owner], len(names))
+            names, owner, which, _ = _counted(owner, words)
+            n, toxic = np.bincount(which, minlength=len(names)), np.bincount(which, labels[a + owner], len(names))
             yield pa.record_batch([pa.array(names), pa.array(n), pa.array(toxic)], ["word", "n", "toxic"])
 
 
@@ -252,10 +281,9 @@ def _frequencies(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterat
     for batch in batches:
         docs += len(batch)
         for _, _, owner, found in words_of(batch.column(0).to_pylist()):
-            _, found, _ = _counted(owner, found)
-            if len(words):
-                column = np.minimum(np.searchsorted(words, found), len(words) - 1)
-                n += np.bincount(column[words[column] == found], minlength=len(words))
+            names, _, which, _ = _counted(owner, found)
+            column, known = _known(words, names)
+            n[column[known]] += np.bincount(which, minlength=len(names))[known]
     held = np.flatnonzero(n)
     yield pa.record_batch([pa.array(np.append(held, -1)), pa.array(np.append(n[held], docs))], ["column", "n"])
 

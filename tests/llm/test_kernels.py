@@ -13,7 +13,7 @@ from quern.llm.exchange import pack, unpack
 from quern.llm.html_text import main_text, min_cut
 from quern.llm.ngram_join import count_vector, needed_overlap, tree_pairs
 from quern.llm.shingles import shingle_set, word_hashes
-from quern.llm.toxicity import NEIGHBOURS, words_of
+from quern.llm.toxicity import NEIGHBOURS, Lists, words_of
 from quern.llm.toxicity import Index as ToxicIndex
 
 
@@ -219,6 +219,37 @@ def test_nearest_examples_are_exact():
         assert np.allclose(every[rows], cosines)
 
 
+def test_nearest_examples_skip_long_lists_of_little_worth(monkeypatch):
+    """Words that may be skipped are those with many entries for what they add, whatever their bounds."""
+    rng = np.random.default_rng(11)
+    n, common, rare = 3000, 20, 40
+    vectors = np.zeros((n, common + rare + 1))
+    for j in range(common):
+        vectors[rng.choice(n, 140, replace=False), j] = rng.random(140) * 0.5 + 0.5
+    for j in range(rare):
+        vectors[rng.choice(n, 2, replace=False), common + j] = rng.random(2) * 0.5 + 0.5
+    vectors[:, -1] = rng.random(n) + 1
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    index = ToxicIndex(np.arange(vectors.shape[1]), np.ones(vectors.shape[1]), vectors, np.arange(n), np.zeros(n), 0.0)
+    monkeypatch.setattr("quern.llm.toxicity.SKIP", 0.02)
+    read, sums = [], Lists.sums
+    monkeypatch.setattr(Lists, "sums", lambda self, lists, weights, size: (self is index.by_word and read.append(int((self.starts[lists + 1] - self.starts[lists]).sum())), sums(self, lists, weights, size))[1])
+    columns = np.arange(vectors.shape[1])
+    weights = np.concatenate([np.full(common, 0.0012), np.full(rare, 0.0009), [1.0]])
+    weights /= np.linalg.norm(weights)
+    every = vectors @ weights
+    rows, cosines = index.nearest(columns, weights)
+    assert np.allclose(np.sort(every)[::-1][:NEIGHBOURS], cosines) and np.allclose(every[rows], cosines)
+    assert len(read) == 1 and read[0] < 140 * common / 3
+    for _ in range(60):
+        columns = np.sort(rng.choice(vectors.shape[1], 30, replace=False))
+        weights = rng.random(30) ** 3
+        weights /= np.linalg.norm(weights)
+        every = vectors[:, columns] @ weights
+        rows, cosines = index.nearest(columns, weights)
+        assert np.allclose(np.sort(every)[::-1][:NEIGHBOURS], cosines) and np.allclose(every[rows], cosines)
+
+
 def test_words_of_texts():
     texts = ["A b1c  É\u00e9_x", None, "", "\u201cvile\u201d", "\ud800 z" + "y" * 200, "vile VILE"] * 3
     want = [re.findall(r"[a-z\x80-\U0010ffff]+", re.sub(r"[^\x00-\x7f\w]", " ", (t or "").lower())) for t in texts]
